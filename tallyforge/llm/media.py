@@ -2,8 +2,8 @@
 
 `encode` stores a payload losslessly as the samples of a mono 8-bit WAV file; `decode` reads
 them back. `fingerprints` takes a short-time Fourier transform of the samples, picks the
-strongest spectral peaks of each frame and pairs each with peaks of the next frames; a pair
-(frequency bin, frequency bin, frame distance) with its time makes one code of a bigint array:
+strongest spectral peaks of each frame and pairs each with the weaker ones of its frame and peaks of the next
+frames; a pair (frequency bin, frequency bin, frame distance) with its time makes one code of a bigint array:
 time << 32 | first bin << 16 | second bin << 4 | distance.
 
 Null text counts as empty text, whose payload is 64 zero bytes. Equal texts give equal values.
@@ -79,13 +79,13 @@ def _peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprints(samples: bytes) -> np.ndarray:
     """Time-coded peak pairs of 8-bit samples, in order of time, then of bins."""
     time, bins = _peaks(np.frombuffer(samples, dtype=np.uint8).astype(np.float64) - 128.0)
-    codes = []
-    for ahead in range(1, AHEAD + 1):
+    codes, n = [], len(time)
+    for ahead in range(AHEAD + 1):
         for i in range(PEAKS):
-            for j in range(PEAKS):
-                a, b = bins[:-ahead, i], bins[ahead:, j]
+            for j in range(0 if ahead else i + 1, PEAKS):
+                a, b = bins[: max(0, n - ahead), i], bins[ahead:, j]
                 both = (a >= 0) & (b >= 0)
-                codes.append(time[:-ahead][both] << 32 | a[both] << 16 | b[both] << 4 | ahead)
+                codes.append(time[: len(a)][both] << 32 | a[both] << 16 | b[both] << 4 | ahead)
     return np.sort(np.concatenate(codes))
 
 
