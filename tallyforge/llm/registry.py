@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, exact_dedup, media
+from tallyforge.llm import bpe, exact_dedup, media, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii": pii.op1_pii,
         "op6_bpe": bpe.op6_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_media_columns": media.op10_media_columns,
