@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, exact_dedup, media, pii
+from tallyforge.llm import bpe, exact_dedup, media, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": pii.op1_pii,
+        "op5_packing": packing.op5_packing,
         "op6_bpe": bpe.op6_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_media_columns": media.op10_media_columns,
