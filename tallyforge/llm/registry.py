@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, exact_dedup, media, packing, pii
+from tallyforge.llm import bpe, exact_dedup, media, packing, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_pii": pii.op1_pii,
         "op5_packing": packing.op5_packing,
         "op6_bpe": bpe.op6_bpe,
+        "op8_quality": quality.op8_quality,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_media_columns": media.op10_media_columns,
     }
