@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, exact_dedup, media, packing, pii, quality
+from tallyforge.llm import bpe, exact_dedup, media, ngram_join, packing, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": pii.op1_pii,
+        "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
         "op5_packing": packing.op5_packing,
         "op6_bpe": bpe.op6_bpe,
         "op8_quality": quality.op8_quality,
