@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.batches import id_and_text, map_batches, pieces, texts
+from tallyforge.llm.bpe import Merges, WordTable
 from tallyforge.session import table
 
 CONTEXTS = (2048, 1024, 512, 256)
@@ -36,15 +37,18 @@ POOL_TOKENS = 1 << 19
 STEP_TOKENS = 64 * 2048
 END_ID = 1
 #: Chunks whose ids are kept at a time.
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 400_000
+#: Fixed value: the vocabulary's splitting rule, its classes of letters and numbers spelled out within Latin-1 in lower case.
+LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
 
 
 class ChunkTokenizer:
-    """Ids by the `tokenizers` library, asked once for each white-space-free chunk of plain texts.
+    """Ids as the `tokenizers` library gives them, found once for each white-space-free chunk of plain texts.
 
     The vocabulary's rule drops white space and never looks across it, so a text's ids are those
-    of its chunks. Texts with letters beyond Latin-1 (where normal forms could reach further),
-    with information separators, or with a special token's string go to the library whole.
+    of its chunks; chunks met first go through the rank array encoder. Texts with letters beyond
+    Latin-1 (where normal forms could reach further), with information separators, or with a
+    special token's string go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -55,21 +59,27 @@ class ChunkTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.odd = re.compile("[\x1c-\x1fĀ-\U0010ffff]|<\\|").search
+        self.split = re.compile(LATIN_PIECES).findall
         self.kept: dict[str, bytes] = {}
+        self.pieces = WordTable(Merges(path), str.encode)
 
-    def _ask(self, batch: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(batch, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _learn(self, chunks: list[str]) -> None:
+        found = [self.split(x.lower()) for x in chunks]
+        self.pieces.learn(found)
+        get = self.pieces.__getitem__
+        self.kept.update((chunk, get(x[0]) if len(x) == 1 else b"".join(map(get, x))) for chunk, x in zip(chunks, found, strict=True))
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.kept) > KEPT_CHUNKS:
             self.kept.clear()
         lists = [None if self.odd(x) else x.split() for x in batch]
-        new = [x for x in set().union(*(x for x in lists if x)) if x not in self.kept]
-        self.kept.update(zip(new, self._ask(new), strict=True))
+        self._learn([x for x in set().union(*(x for x in lists if x)) if x not in self.kept])
         get = self.kept.__getitem__
-        return [self._ask([text])[0] if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(batch, lists, strict=True)]
+        return [self._whole(text) if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(batch, lists, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 class Packer:
