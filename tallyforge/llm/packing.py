@@ -38,6 +38,8 @@ STEP_TOKENS = 64 * 2048
 END_ID = 1
 #: Chunks whose ids are kept at a time.
 KEPT_CHUNKS = 400_000
+#: White space to Python's `split`, but not to the vocabulary's rule.
+SEPARATORS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 #: Fixed value: the vocabulary's splitting rule, its classes of letters and numbers spelled out within Latin-1 in lower case.
 LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
 
@@ -58,11 +60,19 @@ class ChunkTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.odd = re.compile("[\x1c-\x1fĀ-\U0010ffff]|<\\|").search
         self.split = re.compile(LATIN_PIECES).findall
         self.kept: dict[str, bytes] = {}
         self.pieces = WordTable(Merges(path), str.encode)
 
+    @staticmethod
+    def odd(text: str) -> bool:
+        """Whether a text must go to the library whole."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return True
+        return b"<|" in raw or any(x in raw for x in SEPARATORS)
+
     def _learn(self, chunks: list[str]) -> None:
         found = [self.split(x.lower()) for x in chunks]
         self.pieces.learn(found)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, exact_dedup, langid, media, ngram_join, packing, pii, quality
+from tallyforge.llm import bpe, exact_dedup, hmm, langid, media, ngram_join, packing, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pii": pii.op1_pii,
         "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+        "op3_hmm": hmm.op3_hmm,
         "op4_language_id": langid.op4_language_id,
         "op5_packing": packing.op5_packing,
         "op6_bpe": bpe.op6_bpe,
