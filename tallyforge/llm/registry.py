@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe, exact_dedup, hmm, langid, media, ngram_join, packing, pii, quality
+from tallyforge.llm import bpe, exact_dedup, hmm, langid, line_dedup, media, ngram_join, packing, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_language_id": langid.op4_language_id,
         "op5_packing": packing.op5_packing,
         "op6_bpe": bpe.op6_bpe,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_quality": quality.op8_quality,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_media_columns": media.op10_media_columns,
