@@ -1,0 +1,3 @@
+"""Registered queries; importing this package fills the registry."""
+
+from tallyforge.plans import economics_queries  # noqa: F401
