@@ -289,7 +289,7 @@ def _four_places(found: DataFrame) -> DataFrame:
 
 def _counterfactual_sql(simulated: str) -> str:
     return f"""WITH {COMPONENTS},
-    t AS (SELECT orderkey, component_type, sum(amount) AS amount FROM components WHERE component_type <> 'customer_total' GROUP BY ALL),
+    t AS (SELECT orderkey, component_type, CAST(sum(amount) AS DECIMAL(18,2)) AS amount FROM components WHERE component_type <> 'customer_total' GROUP BY ALL),
     s AS (SELECT orderkey, sum(CASE component_type WHEN 'coupon_discount' THEN -amount ELSE amount END) AS o, {simulated} AS s FROM t GROUP BY ALL)
     SELECT orderkey, CAST(o AS DECIMAL(38,2)) AS observed_total, CAST(s AS DECIMAL(38,4)) AS simulated_total, CAST(s - o AS DECIMAL(38,4)) AS difference FROM s"""
 
@@ -301,7 +301,7 @@ def counterfactual_no_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "counterfactual_discount_cut",
-    _counterfactual_sql("sum(CASE component_type WHEN 'coupon_discount' THEN -(CAST(amount AS DECIMAL(18,2)) * CAST(0.5 AS DECIMAL(4,2))) ELSE amount END)"),
+    _counterfactual_sql("sum(CASE component_type WHEN 'coupon_discount' THEN -(amount * CAST(0.5 AS DECIMAL(4,2))) ELSE amount END)"),
 )
 def counterfactual_discount_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _four_places(finance.counterfactual(_order_types(spark, sf_dir), [("coupon_discount", "scale", "-0.5")], ["orderkey"]))
