@@ -20,6 +20,7 @@ all counts are 0. Only id and text are read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -41,7 +42,7 @@ HEAVY = 20_000
 #: Words kept at a time by a task.
 KEPT = 300_000
 #: Tokens whose forward values are held at a time.
-SPAN = 400_000
+SPAN = 1_500_000
 #: The end token; no word holds a space.
 END = b" "
 SMOOTH = 0.1
@@ -58,16 +59,31 @@ def held_out(id_col: Column) -> Column:
 
 
 class Words(dict):
-    """word -> (signed 64-bit hash, class)"""
+    """word -> place in the arrays `hash` (signed 64 bits), `group` (class), `log` and `heavy`."""
 
-    def __init__(self, bits: int):
+    def __init__(self, bits: int, heavy: dict[int, int] | None = None):
         super().__init__()
-        self.bits = bits
-
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        found = self[word] = (xxhash.xxh64_intdigest(word) - (1 << 63), word_class(word, self.bits))
+        self.bits, self.counts = bits, heavy or {}
+        self.rows: list[tuple[int, int, float, bool]] = []
+        self.arrays()
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word) - (1 << 63)
+        c = self.counts.get(h)
+        found = self[word] = len(self)
+        self.rows.append((h, word_class(word, self.bits), 0.0 if c is None else math.log10(c + SMOOTH), c is not None))
         return found
 
+    def arrays(self) -> None:
+        """Brings the arrays up to the words met by now."""
+        columns = list(zip(*self.rows, strict=True)) or [(), (), (), ()]
+        self.hash, self.group = np.array(columns[0], dtype=np.int64), np.array(columns[1], dtype="<u2")
+        self.log, self.heavy = np.array(columns[2], dtype=float), np.array(columns[3], dtype=bool)
+
+    def forget(self) -> None:
+        self.clear()
+        self.rows.clear()
+
 
 def tokens_of(text: bytes) -> list[bytes]:
     """The words of a UTF-8 text, A-Z lower-cased and split at ASCII white space, then the end."""
@@ -82,9 +98,7 @@ def _count_words(docs: DataFrame, bits: int) -> DataFrame:
 
         def out():
             keys = list(counts)
-            words = Words(bits)
-            made = [words[x] for x in keys]
-            yield {"hash": [x[0] for x in made], "class": [x[1] for x in made], "c": [counts[x] for x in keys]}
+            yield {"hash": [xxhash.xxh64_intdigest(x) - (1 << 63) for x in keys], "class": [word_class(x, bits) for x in keys], "c": list(counts.values())}
             counts.clear()
 
         for batch in pieces(batches, "text"):
@@ -142,27 +156,22 @@ def _columns(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
-def _forward(model: Model, flat: np.ndarray, begins: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """log10 likelihood of each sequence; scales; and, if kept, scaled forward values by time."""
-    emitted = np.ascontiguousarray(model.emit.T)
-    n = begins[1]
-    logs = np.zeros(n)
-    scales = np.empty(len(flat))
-    held = np.empty((len(flat), len(model.start))) if keep else None
-    now = np.broadcast_to(model.start, (n, len(model.start)))
-    for t in range(len(begins) - 1):
-        a, b = begins[t], begins[t + 1]
-        now = (now[: b - a] if t == 0 else now[: b - a] @ model.move) * emitted[flat[a:b]]
-        scale = now.sum(axis=1)
-        now = now / scale[:, None]
-        scales[a:b] = scale
-        if keep:
-            held[a:b] = now
-    np.log10(scales, out=scales)
+def _forward(model: Model, flat: np.ndarray, begins: np.ndarray, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward values by time, and the scale of each."""
+    values = np.ascontiguousarray(model.emit.T, dtype=kind)[flat]
+    scales = np.empty(len(flat), dtype=kind)
+    values[: begins[1]] *= model.start.astype(kind)
+    move, before = model.move.astype(kind), None
+    space = np.empty((begins[1], len(model.start)), dtype=kind)
     for t in range(len(begins) - 1):
         a, b = begins[t], begins[t + 1]
-        logs[: b - a] += scales[a:b]
-    return logs, scales, held
+        now, scale = values[a:b], scales[a:b]
+        if before is not None:
+            now *= np.matmul(before[: b - a], move, out=space[: b - a])
+        np.add.reduce(now, axis=1, out=scale)
+        now /= scale[:, None]
+        before = now
+    return values, scales
 
 
 def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
@@ -170,36 +179,57 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(sequences))
     for group in _batches(sequences):
         flat, begins = _columns([sequences[i] for i in group])
-        out[group] = _forward(model, flat, begins, keep=False)[0]
+        scales = np.log10(_forward(model, flat, begins)[1])
+        logs = np.zeros(len(group))
+        for a, b in zip(begins[:-1], begins[1:], strict=True):
+            logs[: b - a] += scales[a:b]
+        out[group] = logs
     return out
 
 
-def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions (states x classes) of the sequences."""
+def expected_counts(model: Model, sequences: list[np.ndarray], kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions (states x classes) of the sequences.
+
+    `kind` is the type of the recursions' numbers, which stay near 1 by scaling; sums are doubles.
+    """
     k, classes = model.emit.shape
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k))
-    emitted = np.ascontiguousarray(model.emit.T)
     for group in _batches(sequences):
         flat, begins = _columns([sequences[i] for i in group])
-        _, scales, alpha = _forward(model, flat, begins, keep=True)
-        scales = 10.0**scales
-        steps = len(begins) - 1
-        back = np.ones((begins[steps] - begins[steps - 1], k))
-        gamma = np.empty_like(alpha)
-        gamma[begins[steps - 1] :] = alpha[begins[steps - 1] :]
-        for t in range(steps - 2, -1, -1):
-            a, b, c = begins[t], begins[t + 1], begins[t + 2]
-            after = back * emitted[flat[b:c]] / scales[b:c, None]
-            move += (alpha[a : a + c - b].T @ after) * model.move
-            back = np.ones((b - a, k))
-            back[: c - b] = after @ model.move.T
-            gamma[a:b] = alpha[a:b] * back
-        start += gamma[: begins[1]].sum(axis=0)
+        alpha, scales = _forward(model, flat, begins, kind)
+        after = np.ascontiguousarray(model.emit.T, dtype=kind)[flat]
+        after /= scales[:, None]
+        back, turned = np.ones_like(after), np.ascontiguousarray(model.move.T, dtype=kind)
+        for t in range(len(begins) - 2, 0, -1):
+            b, c = begins[t], begins[t + 1]
+            a = begins[t - 1]
+            after[b:c] *= back[b:c]
+            np.matmul(after[b:c], turned, out=back[a : a + c - b])
+        # Each token but the first of its text comes after the one in the same place of the time before.
+        sizes = np.diff(begins)
+        before = np.arange(begins[1], len(flat)) - np.repeat(sizes[:-1], sizes[1:])
+        move += (alpha[before].T @ after[begins[1] :]) * model.move
+        back *= alpha
+        start += back[: begins[1]].sum(axis=0, dtype=np.float64)
         for s in range(k):
-            emit[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=classes)
+            emit[:, s] += np.bincount(flat, weights=back[:, s], minlength=classes)
     return start, move, emit.T
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], tokens: int = 4_000_000) -> Iterator[list[np.ndarray]]:
+    """Class sequences in lists of up to about `tokens` tokens."""
+    held, size = [], 0
+    for batch in pieces(batches, "classes"):
+        for x in texts(batch, "classes"):
+            held.append(np.frombuffer(x, dtype="<u2"))
+            size += len(held[-1])
+        if size >= tokens:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def train(sequences: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all rows of `sequences` (classes: little-endian 16-bit integers as bytes).
 
@@ -214,8 +244,8 @@ def train(sequences: DataFrame, mass: np.ndarray, states: int = STATES, rounds:
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[dict]:
             total = None
-            for batch in pieces(batches, "classes"):
-                found = expected_counts(shared.value, [np.frombuffer(x, dtype="<u2") for x in texts(batch, "classes")])
+            for sequences in _gathered(batches):
+                found = expected_counts(shared.value, sequences, np.float32)
                 total = found if total is None else tuple(x + y for x, y in zip(total, found, strict=True))
             if total is not None:
                 start, move, emit = total
@@ -255,31 +285,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     shared = spark.sparkContext.broadcast((heavy, np.log10(mass)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        words, (heavy, logs) = Words(bits), shared.value
+        heavy, logs = shared.value
+        words = Words(bits, heavy)
         for batch in pieces(batches, "text"):
             if len(words) > KEPT:
-                words.clear()
+                words.forget()
             out: dict[str, list] = {x: [] for x in ("n_tokens", "n_known", "classes", "class_log", "known_log", "rest", "rest_n")}
-            for text in texts(batch):
-                bag = Counter(tokens := tokens_of(text))
-                made = [words[x] for x in tokens]
-                classes = np.array([x[1] for x in made], dtype="<u2")
-                known, log, rest, rest_n = 0, 0.0, [], []
-                for word, n in bag.items():
-                    h = words[word][0]
-                    if (c := heavy.get(h)) is None:
-                        rest.append(h)
-                        rest_n.append(n)
-                    else:
-                        known += n
-                        log += n * np.log10(c + SMOOTH)
-                out["n_tokens"].append(len(tokens))
-                out["n_known"].append(known)
+            lists = [np.fromiter(map(words.__getitem__, x), dtype=np.int64, count=len(x)) for x in map(tokens_of, texts(batch))]
+            words.arrays()
+            for places in lists:
+                classes, easy = words.group[places], words.heavy[places]
+                rest, n = np.unique(places[~easy], return_counts=True)
+                out["n_tokens"].append(len(places))
+                out["n_known"].append(int(easy.sum()))
                 out["classes"].append(classes.tobytes())
                 out["class_log"].append(float(logs[classes].sum()))
-                out["known_log"].append(float(log))
-                out["rest"].append(rest)
-                out["rest_n"].append(rest_n)
+                out["known_log"].append(float(words.log[places].sum()))
+                out["rest"].append(words.hash[rest])
+                out["rest_n"].append(n.astype(np.int32))
             yield out | {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
 
     kind = frame.schema["doc_id"].dataType.simpleString()
@@ -296,7 +319,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     fitted = spark.sparkContext.broadcast(model)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in pieces(batches, "classes"):
+        for batch in batches:
             logs = log_likelihoods(fitted.value, [np.frombuffer(x, dtype="<u2") for x in texts(batch, "classes")])
             yield {name: batch.column(name) for name in ("row", "doc_id", "held_out", "n_tokens", "n_known", "class_log", "known_log")} | {"hmm": logs}
 
