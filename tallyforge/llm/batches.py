@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,8 +37,17 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list:
     return [empty if x is None else x for x in column.to_pylist()]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_BYTES, so that rows with long values don't pile up in a task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("bB"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_batches(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """`mapInArrow` for functions that yield columns as dicts of lists; `schema` is DDL."""
+    bound_batches(frame.sparkSession)
     kind = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
