@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.session import table
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -28,5 +26,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders per status, until the economics queries are in."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").count()
+    """Components of one type on one platform, with their evidence, summed exactly."""
+    return QUERIES["financial_component_sum"](spark, sf_dir)

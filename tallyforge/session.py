@@ -62,7 +62,19 @@ def materialise(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/tallyforge/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(frame.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found.materialised_at = path
+    return found
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(frame: DataFrame) -> None:
+    """Deletes the files of a materialised frame that nothing will read any more."""
+    place, files = _place(frame.sparkSession, frame.materialised_at)
+    files.delete(place, True)
