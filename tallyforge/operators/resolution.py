@@ -58,9 +58,9 @@ def preferred_names(mentions: DataFrame, keys: list[str], name: str, policy: str
     `most_frequent`: the commonest spelling, ties by lower case then spelling. `first_alias`: the
     first spelling in that order, however common.
     """
-    spelled = mentions.groupBy(*keys, name).agg(F.count("*").alias("n"))
-    rank = F.struct(*([-F.col("n")] if policy == "most_frequent" else []), F.lower(name), F.col(name))
-    return spelled.groupBy(*keys).agg(F.min_by(name, rank).alias("display_name"), F.count("*").alias("aliases"), F.sum("n").alias("mentions"))
+    spelled = mentions.groupBy(*keys, name).agg(F.count("*").alias("__times"))
+    rank = F.struct(*([-F.col("__times")] if policy == "most_frequent" else []), F.lower(name), F.col(name))
+    return spelled.groupBy(*keys).agg(F.min_by(name, rank).alias("display_name"), F.count("*").alias("aliases"), F.sum("__times").alias("mentions"))
 
 
 def resolve_merchants(mentions: DataFrame) -> DataFrame:
