@@ -31,8 +31,8 @@ from tallyforge.session import materialise, table
 
 WIDTH = 8
 BANDS, ROWS = 16, 5
-#: Buckets of up to this many lines are compared pair by pair.
-SMALL_BUCKET = 16
+#: Buckets of up to this many lines are compared pair by pair; in later rounds, when few lines are left, of up to LATER_BUCKET.
+SMALL_BUCKET, LATER_BUCKET = 16, 256
 #: Id lists up to this size are broadcast; longer ones are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 #: Lines a task remembers having signed.
@@ -164,26 +164,29 @@ def line_links(frame: DataFrame, signed: DataFrame) -> DataFrame:
     chosen = materialise(entries.select("id").distinct(), "chosen")
     lines = materialise(_texts_of(frame, F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen), "texts")
     found = entries.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    tested = found
+    tested, part, small_bucket = found, None, SMALL_BUCKET
     while not entries.isEmpty():
         buckets = entries.groupBy("key").agg(
             F.count("*").alias("n"), F.min(F.struct("id", "component")).alias("leader"), F.min("component").alias("least"), F.max("component").alias("most")
         )
         buckets = materialise(buckets.where("least < most"), "leaders")
         placed = entries.join(buckets.select("key", "n", "leader"), "key")
-        few = placed.where(F.col("n") <= SMALL_BUCKET)
+        few = placed.where(F.col("n") <= small_bucket)
         other = few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
         each = few.select("key", F.col("id").alias("a"), "component").join(other, "key").where("a < b and component <> cb").select("a", "b")
-        many = placed.where(F.col("n") > SMALL_BUCKET)
+        many = placed.where(F.col("n") > small_bucket)
         star = many.where("component <> leader.component").select(F.col("leader.id").alias("a"), F.col("id").alias("b"))
         pairs = materialise(each.unionByName(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = materialise(tested.unionByName(pairs), "tested")
-        found = materialise(found.unionByName(similar(pairs, lines)), "found")
+        new = materialise(similar(pairs, lines), "found")
+        found = found.unionByName(new)
+        if part is None or not new.isEmpty():
+            part = materialise(connected_components(found), "parts")
         # What isn't with its bucket's leader by now meets the next leader.
-        part = materialise(connected_components(found), "parts")
         rest = many.where("id <> leader.id").select("key", "id", F.col("leader.id").alias("head")).join(part.withColumnRenamed("node", "id"), "id", "left")
         rest = rest.withColumn("component", F.coalesce("component", "id")).join(part.select(F.col("node").alias("head"), F.col("component").alias("first")), "head", "left")
         entries = materialise(rest.where("component <> coalesce(first, head)").select("id", "key", "component"), "buckets")
+        small_bucket = min(4 * small_bucket, LATER_BUCKET)
     return found
 
 

@@ -33,14 +33,18 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.batches import id_and_text, map_batches, pieces, texts
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.shingles import Shingler, set_key
-from tallyforge.session import materialise, table
-
-#: Counters of the sketch (2**bits); a corpus of many TB wants more, for shorter lists.
-SKETCH_BITS = 21
+from tallyforge.llm.shingles import set_key, shingle_arrays
+from tallyforge.session import discard, materialise, table
+
+#: Counters of the sketch (2**bits); more of them tell rare shingles from common ones in a larger corpus.
+SKETCH_BITS = 24
+#: Lists with more entries than this in a first index have their shingle moved to the end of the order.
+LONG_LIST = 32
+#: How many such shingles there are at most; they are broadcast as 32-bit halves of hashes.
+MOST_LONG = 2_000_000
 CHUNK = 1 << 14
 #: Lists of ids up to this size are broadcast; longer ones are joined by shuffling.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 2_000_000
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -52,12 +56,12 @@ def shingle_sets(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[DataFrame, n
     """(doc_id, n_shingles, key) of every row, and the sketch's frequency level of each hash bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        shingler, counts = Shingler(), np.zeros(1 << bits, dtype=np.uint32)
+        counts = np.zeros(1 << bits, dtype=np.uint16)
         for batch in pieces(batches, "text"):
-            sets = [shingler.set_of(x) for x in texts(batch)]
+            sets = shingle_arrays(texts(batch))
             for start in range(0, len(sets), 256):
                 held = np.concatenate(sets[start : start + 256])
-                np.add.at(counts, (held.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+                np.add.at(counts, (held.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), np.uint16(1))
             n = len(sets)
             yield {"doc_id": batch.column("doc_id"), "n_shingles": [len(x) for x in sets], "key": [set_key(x) for x in sets], "chunk": [None] * n, "counts": [None] * n}
         if counts.any():
@@ -71,36 +75,44 @@ def shingle_sets(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[DataFrame, n
 
 
 def _levels(chunks: DataFrame, bits: int) -> np.ndarray:
-    """Sums the tasks' counters chunk by chunk; level: the log2 of a counter over the counters' mean."""
+    """Sums the tasks' counters chunk by chunk; a counter's level grows with its logarithm."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column("chunk").to_pylist(), texts(batch, "counts"), strict=True):
-                counts = np.frombuffer(zlib.decompress(packed), dtype=np.uint32)
+                counts = np.frombuffer(zlib.decompress(packed), dtype=np.uint16)
                 sums[chunk] = sums[chunk] + counts if chunk in sums else counts.astype(np.uint64)
         for chunk, counts in sums.items():
-            yield {"chunk": [chunk], "counts": [zlib.compress(counts.tobytes(), 1)]}
+            # 4 * log2 of a counter, as a byte: the order needs no more.
+            yield {"chunk": [chunk], "levels": [zlib.compress((4 * np.log2(counts + 1)).astype(np.uint8).tobytes(), 1)]}
 
-    total = np.zeros(1 << bits)
+    levels = np.zeros(1 << bits, dtype=np.uint8)
     # One row for each chunk of the fixed-size sketch.
-    for row in map_batches(chunks.repartition("chunk"), add, "chunk int, counts binary").collect():
-        counts = np.frombuffer(zlib.decompress(bytes(row["counts"])), dtype=np.uint64)
-        total[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(counts)] += counts
-    return np.log2(np.maximum(total / max(total.mean(), 1.0), 1.0)).astype(np.uint8)
+    for row in map_batches(chunks.repartition("chunk"), add, "chunk int, levels binary").toLocalIterator():
+        found = np.frombuffer(zlib.decompress(bytes(row["levels"])), dtype=np.uint8)
+        levels[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(found)] = found
+    return levels
+
 
+def prefixes(docs: DataFrame, levels: np.ndarray, long: np.ndarray | None = None) -> DataFrame:
+    """(doc, n, prefix): each set's size and its first n/5 + 1 shingles, rare ones first.
 
-def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(doc, n, prefix): each set's size and its first n/5 + 1 shingles, rare ones first."""
-    shared, bits = docs.sparkSession.sparkContext.broadcast(levels), int(len(levels)).bit_length() - 1
+    Shingles whose halves are in `long` (sorted) come after all others.
+    """
+    shared, bits = docs.sparkSession.sparkContext.broadcast((levels, long)), int(len(levels)).bit_length() - 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        shingler = Shingler()
+        levels, long = shared.value
         for batch in pieces(batches, "text"):
             sizes, out = [], []
-            for text in texts(batch):
-                hashes = shingler.set_of(text)
-                order = np.argsort(shared.value[hashes.view(np.uint64) >> np.uint64(64 - bits)], kind="stable")
+            for hashes in shingle_arrays(texts(batch)):
+                rank = levels[hashes.view(np.uint64) >> np.uint64(64 - bits)]
+                if long is not None and len(long):
+                    half = (hashes & 0x7FFFFFFF).astype(np.int32)
+                    at = np.minimum(np.searchsorted(long, half), len(long) - 1)
+                    rank = np.where(long[at] == half, np.uint8(255), rank)
+                order = np.argsort(rank, kind="stable")
                 sizes.append(len(hashes))
                 out.append(hashes[order[: len(hashes) // 5 + 1]])
             yield {"doc": batch.column("doc_id"), "n": sizes, "prefix": out}
@@ -109,13 +121,28 @@ def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return map_batches(docs, work, f"doc {kind}, n bigint, prefix array<bigint>")
 
 
+def _long_lists(halves: DataFrame) -> np.ndarray:
+    """Halves of the shingles in more than LONG_LIST lists' entries, sorted.
+
+    Entries over `limit` bound how many there can be, so a limit that keeps them within MOST_LONG
+    always exists; the least power of two of them is taken.
+    """
+    sizes = halves.where(F.col("count") > LONG_LIST).groupBy(F.floor(F.log2("count")).cast("int").alias("power")).agg(F.count("*").alias("n")).collect()
+    limit, kept = LONG_LIST, sum(r["n"] for r in sizes)
+    for row in sorted(sizes, key=lambda r: r["power"]):
+        if kept <= MOST_LONG:
+            break
+        limit, kept = 2 ** (row["power"] + 1) - 1, kept - row["n"]
+    found = [np.empty(0, dtype=np.int32), *(np.array([r["half"]], dtype=np.int32) for r in halves.where(F.col("count") > limit).select("half").toLocalIterator())]
+    return np.sort(np.concatenate(found))
+
+
 def _whole_sets(docs: DataFrame) -> DataFrame:
     """(doc, hashes): whole sets as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        shingler = Shingler()
         for batch in pieces(batches, "text"):
-            yield {"doc": batch.column("doc_id"), "hashes": [shingler.set_of(x).tobytes() for x in texts(batch)]}
+            yield {"doc": batch.column("doc_id"), "hashes": [x.tobytes() for x in shingle_arrays(texts(batch))]}
 
     return map_batches(docs, work, f"doc {docs.schema['doc_id'].dataType.simpleString()}, hashes binary")
 
@@ -162,18 +189,30 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     copies = copies if own.isEmpty() else copies.join(own, "doc_id", "left_anti")
     sources = frame.where("doc_id is not null").join(_small(copies), "doc_id", "left_anti")
 
-    heads = materialise(prefixes(sources, levels).where("n > 0"), "prefixes")
-    index = _blocks(heads.select("doc", "n", F.posexplode("prefix").alias("pos", "token")))
-    index = index.withColumn("short", F.col("pos") <= F.floor(F.col("n") / 9))
-    # Lists with a short entry and another one; the leader is the least id among the short entries.
-    shared = index.groupBy("token").agg(F.count("*").alias("entries"), F.max("short").alias("any_short")).where("entries > 1 and any_short").select("token")
-    live = materialise(index.join(shared, "token"), "lists")
-
-    leaders = live.where("short").groupBy("token", "block").agg(F.min("doc").alias("leader"))
-    star = live.join(leaders, ["token", "block"]).where("leader <> doc").groupBy("doc", "leader").agg(F.count("*").alias("met"))
+    # Most shingles stand in one list only. Half of a hash is enough to leave out nearly all of those before any entry moves.
+    half = F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    repeated = lambda heads: materialise(heads.select(F.explode("prefix").alias("token")).groupBy(half.alias("half")).count().where("count > 1"), "twice")
+    first = materialise(prefixes(sources, levels).where("n > 0"), "prefixes")
+    heads, twice = first, repeated(first)
+    work = twice.agg(F.sum("count").alias("entries"), F.sum(F.when(F.col("count") > LONG_LIST, F.col("count") * F.col("count"))).alias("pairs")).first()
+    if (work["pairs"] or 0) > 10 * (work["entries"] or 0):
+        # Long lists would cost more than another pass over the texts; which order is used doesn't change the links.
+        heads = materialise(prefixes(sources, levels, _long_lists(twice)).where("n > 0"), "prefixes")
+        discard(first)
+        twice = repeated(heads)
+    index = _blocks(heads.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("short", F.col("pos") <= F.floor(F.col("n") / 9)))
+    live = materialise(index.withColumn("half", half).join(_small(twice.select("half")), "half", "left_semi").drop("half"), "lists")
+
+    discard(heads)
+
+    leaders = live.where("short").groupBy("token", "block").agg(F.min(F.struct("doc", F.col("n").alias("size"), F.col("pos").alias("place"))).alias("head"))
+    star = live.join(leaders, ["token", "block"]).select("*", F.col("head.doc").alias("leader"), "head.size", "head.place").where(
+        "leader <> doc and 5 * least(n, size) >= 4 * greatest(n, size) and 9 * (1 + least(n - 1 - pos, size - 1 - place)) >= 4 * (n + size)"
+    )
+    star = star.groupBy("doc", "leader").agg(F.count("*").alias("met"))
     star = star.groupBy("doc").agg(F.max(F.struct("met", (-F.col("leader")).alias("less"))).alias("best"))
     star = materialise(star.select(F.col("doc").alias("b"), (-F.col("best.less")).alias("a")), "stars")
-    chosen = materialise(live.select(F.col("doc").alias("doc_id")).distinct(), "chosen")
+    chosen = materialise(_ends(star), "chosen")
     sets = materialise(_whole_sets(sources.join(_small(chosen), "doc_id", "left_semi")), "wholes")
     starred = materialise(overlaps(star, sets).where(LINKED), "starred")
 
@@ -183,13 +222,24 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     placed = materialise(
         live.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed"
     )
+    discard(live)
     mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
     mixed = materialise(placed.join(mixed, "token"), "mixed")
+    discard(placed)
     pairs = materialise(_meetings(mixed), "pairs")
-    more = _answer(pairs, known, sets) if not pairs.isEmpty() else starred.select("a", "b").limit(0)
+    if pairs.isEmpty():
+        return rows, starred.select("a", "b")
+    others = materialise(_ends(pairs).join(chosen, "doc_id", "left_anti"), "others")
+    sets = sets.unionByName(materialise(_whole_sets(sources.join(_small(others), "doc_id", "left_semi")), "wholes"))
+    more = _answer(pairs, known, sets)
     return rows, starred.select("a", "b").unionByName(more)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids in pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
 def _meetings(lists: DataFrame) -> DataFrame:
     """Distinct pairs (a, b, na, nb) of different components whose sizes and positions allow a link."""
     x = lists.select("token", "block", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))

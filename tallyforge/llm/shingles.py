@@ -5,39 +5,46 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
+
+from tallyforge.llm.words import Words, blocks
 
 WIDTH = 5
-#: Words whose hashes are kept at a time.
-KEPT = 300_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(29)
 
 
-class Shingler(dict):
-    """Maps words (bytes) to hashes; `sets` maps texts to shingle hashes."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-    def set_of(self, text: bytes, width: int = WIDTH) -> np.ndarray:
-        """Sorted distinct hashes of the `width`-word windows of a UTF-8 text, A-Z lower-cased and split at ASCII white space.
-
-        A text of fewer words has one shingle, its whole sequence; one without words has none.
-        """
-        words = text.lower().split()
-        if not words:
-            return np.empty(0, dtype=np.int64)
-        if len(self) > KEPT:
-            self.clear()
-        hashes = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-        size = min(width, len(words))
-        out = np.full(len(words) - size + 1, np.uint64(size), dtype=np.uint64)
-        for k in range(size):
-            out = (out ^ hashes[k : len(hashes) - size + 1 + k]) * _PRIME
-            out ^= out >> _TURN
-        return np.unique(out.view(np.int64))
+def _windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` neighbouring words."""
+    out = np.full(len(hashes) - size + 1, np.uint64(size), dtype=np.uint64)
+    for k in range(size):
+        out = (out ^ hashes[k : len(hashes) - size + 1 + k]) * _PRIME
+        out ^= out >> _TURN
+    return out.view(np.int64)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.empty(len(values), dtype=bool)
+    new[:1] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
+def shingle_arrays(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
+    """For each UTF-8 text the sorted distinct hashes of its `width`-word windows, A-Z lower-cased and split at ASCII white space.
+
+    A text of fewer words has one shingle, its whole sequence; one without words has none.
+    """
+    out = []
+    for begin, end in blocks(texts):
+        words = Words(texts[begin:end])
+        windows = _windows(words.hashes, width) if len(words.hashes) >= width else np.empty(0, dtype=np.int64)
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            if b - a >= width:
+                out.append(_distinct(windows[a : b - width + 1]))
+            else:
+                out.append(_windows(words.hashes[a:b], b - a) if b > a else np.empty(0, dtype=np.int64))
+    return out
 
 
 def set_key(hashes: np.ndarray) -> str | None:
