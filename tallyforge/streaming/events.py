@@ -105,7 +105,7 @@ def limited(events: DataFrame, limit: int, window: float) -> DataFrame:
 
 
 def limited_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """The same for a stream: the log of a user is kept between batches and forgotten after a window without events."""
+    """The same for a stream: the log of a user is kept between batches and forgotten when the watermark has passed its window."""
 
     def work(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -115,8 +115,8 @@ def limited_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         out = [(e, key[0], *log.ask(at)) for e, at in zip(rows.event_id, rows["at"], strict=True)]
         state.update((log.log,))
-        state.setTimeoutDuration(int(window * 1000))
+        state.setTimeoutTimestamp(max(int(rows["at"].max() * 1000), state.getCurrentWatermarkMs()) + int(window * 1000) + 1)
         yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed", "retry_after"])
 
-    rows = events.select("event_id", "user_id", F.col("ts").cast("double").alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(work, DECISIONS, "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark("ts", LATE).select("event_id", "user_id", "ts", F.col("ts").cast("double").alias("at"))
+    return rows.groupBy("user_id").applyInPandasWithState(work, DECISIONS, "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
