@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,6 +38,21 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list:
     return [empty if x is None else x for x in column.to_pylist()]
 
 
+def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; before the first and after the last, memory that earlier tasks of this worker have freed goes back to the system."""
+    give_back()
+    yield from batches
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch size to BATCH_BYTES, so that rows with long values don't pile up in a task."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -52,7 +68,7 @@ def map_batches(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Ite
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in work(batches):
+        for out in work(_trimmed(batches)):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, field.type) for field, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
 
     return frame.mapInArrow(run, kind)
