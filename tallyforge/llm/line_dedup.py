@@ -7,9 +7,9 @@ with probability 1 - (1 - s**5)**16, which is over 0.998 from s = 0.8 on. Candid
 compared exactly, and lines of similarity 0.8 or more are linked. Of each component of links the
 first line (least doc_id, then place) stays.
 
-Large buckets are compared as stars: with the bucket's least line, then, for the lines not yet in
-its component, with the least of those, until none is left; small ones pair by pair. Lines
-already in one component aren't compared. So no bucket is expanded into all pairs, and none is cut.
+Buckets of up to SMALL_BUCKET lines are compared pair by pair. The lines of larger ones go through
+the exact prefix join, with their character shingles, which finds all their links among one
+another without expanding a bucket; so no bucket is cut, and none costs its square.
 
 Blank lines stay. Null text has no lines. Lines of rows with a null id come after all others.
 Repeated rows are separate documents, so the second one's lines go. Only id and text are read.
@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.batches import map_batches, pieces, texts
 from tallyforge.llm.components import connected_components
+from tallyforge.llm.ngram_join import links
 from tallyforge.session import materialise, table
 
 WIDTH = 8
 BANDS, ROWS = 16, 5
-#: Buckets of up to this many lines are compared pair by pair; in later rounds, when few lines are left, of up to LATER_BUCKET.
-SMALL_BUCKET, LATER_BUCKET = 16, 256
+#: Buckets of up to this many lines are compared pair by pair.
+SMALL_BUCKET = 16
+#: Counters (2**bits) of the exact join's sketch, for the lines of large buckets only.
+LINE_SKETCH_BITS = 20
 #: Id lists up to this size are broadcast; longer ones are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 #: Lines a task remembers having signed.
@@ -155,39 +158,36 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return map_batches(joined.select("a", "b", "la", "lb"), work, "a bigint, b bigint")
 
 
+def line_arrays(lines: list[bytes]) -> list[np.ndarray]:
+    """Shingle hashes of lines in their compared form, as the exact join takes them."""
+    return [np.sort(shingles(x.decode("utf-8", "surrogatepass")).view(np.int64)) for x in lines]
+
+
 def line_links(frame: DataFrame, signed: DataFrame) -> DataFrame:
-    """Links (a, b) between similar lines, enough to connect every component; the bands are gone through round by round."""
+    """Links (a, b) between similar lines, enough of them to connect every component.
+
+    Lines that share a bucket of up to SMALL_BUCKET lines are compared with one another. Larger
+    buckets would cost the square of their size (lines that share a common passage meet in them),
+    so their lines go through the exact join, which orders shingles by rarity.
+    """
     keys = signed.select("id", F.explode("keys").alias("key"))
-    shared = materialise(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key"), "shared")
-    small = shared.count() <= BROADCAST_IDS
-    entries = materialise(keys.join(F.broadcast(shared) if small else shared, "key").distinct().withColumn("component", F.col("id")), "buckets")
-    chosen = materialise(entries.select("id").distinct(), "chosen")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    buckets = materialise(buckets.select("key", (F.col("n") <= SMALL_BUCKET).alias("small")), "shared")
+    buckets = F.broadcast(buckets) if buckets.count() <= BROADCAST_IDS else buckets
+    entries = materialise(keys.join(buckets, "key").distinct(), "buckets")
+    one, other = entries.where("small").select("key", F.col("id").alias("a")), entries.where("small").select("key", F.col("id").alias("b"))
+    pairs = materialise(one.join(other, "key").where("a < b").select("a", "b").distinct(), "pairs")
+    large = entries.where("not small").select("id").distinct()
+    chosen = materialise(_ends(pairs).unionByName(large).distinct(), "chosen")
     lines = materialise(_texts_of(frame, F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen), "texts")
-    found = entries.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    tested, part, small_bucket = found, None, SMALL_BUCKET
-    while not entries.isEmpty():
-        buckets = entries.groupBy("key").agg(
-            F.count("*").alias("n"), F.min(F.struct("id", "component")).alias("leader"), F.min("component").alias("least"), F.max("component").alias("most")
-        )
-        buckets = materialise(buckets.where("least < most"), "leaders")
-        placed = entries.join(buckets.select("key", "n", "leader"), "key")
-        few = placed.where(F.col("n") <= small_bucket)
-        other = few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-        each = few.select("key", F.col("id").alias("a"), "component").join(other, "key").where("a < b and component <> cb").select("a", "b")
-        many = placed.where(F.col("n") > small_bucket)
-        star = many.where("component <> leader.component").select(F.col("leader.id").alias("a"), F.col("id").alias("b"))
-        pairs = materialise(each.unionByName(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = materialise(tested.unionByName(pairs), "tested")
-        new = materialise(similar(pairs, lines), "found")
-        found = found.unionByName(new)
-        if part is None or not new.isEmpty():
-            part = materialise(connected_components(found), "parts")
-        # What isn't with its bucket's leader by now meets the next leader.
-        rest = many.where("id <> leader.id").select("key", "id", F.col("leader.id").alias("head")).join(part.withColumnRenamed("node", "id"), "id", "left")
-        rest = rest.withColumn("component", F.coalesce("component", "id")).join(part.select(F.col("node").alias("head"), F.col("component").alias("first")), "head", "left")
-        entries = materialise(rest.where("component <> coalesce(first, head)").select("id", "key", "component"), "buckets")
-        small_bucket = min(4 * small_bucket, LATER_BUCKET)
-    return found
+    found = similar(pairs, lines)
+    rows, more = links(lines.join(large, "id", "left_semi"), "id", "line", LINE_SKETCH_BITS, line_arrays)
+    same = rows.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return materialise(found.unionByName(more).unionByName(same), "found")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
 def line_decisions(frame: DataFrame) -> DataFrame:

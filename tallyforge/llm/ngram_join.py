@@ -24,7 +24,7 @@ Only id and text columns are read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,18 +47,22 @@ CHUNK = 1 << 14
 BROADCAST_IDS = 2_000_000
 
 
+#: Makes sorted distinct 64-bit hashes of each UTF-8 text.
+Arrays = Callable[[list[bytes]], list[np.ndarray]]
+
+
 def _small(ids: DataFrame) -> DataFrame:
     """`ids` (written before), marked for broadcast if it is small enough."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def shingle_sets(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[DataFrame, np.ndarray]:
+def shingle_sets(docs: DataFrame, bits: int = SKETCH_BITS, arrays: Arrays = shingle_arrays) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, key) of every row, and the sketch's frequency level of each hash bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts = np.zeros(1 << bits, dtype=np.uint16)
         for batch in pieces(batches, "text"):
-            sets = shingle_arrays(texts(batch))
+            sets = arrays(texts(batch))
             for start in range(0, len(sets), 256):
                 held = np.concatenate(sets[start : start + 256])
                 np.add.at(counts, (held.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), np.uint16(1))
@@ -95,7 +99,7 @@ def _levels(chunks: DataFrame, bits: int) -> np.ndarray:
     return levels
 
 
-def prefixes(docs: DataFrame, levels: np.ndarray, long: np.ndarray | None = None) -> DataFrame:
+def prefixes(docs: DataFrame, levels: np.ndarray, long: np.ndarray | None = None, arrays: Arrays = shingle_arrays) -> DataFrame:
     """(doc, n, prefix): each set's size and its first n/5 + 1 shingles, rare ones first.
 
     Shingles whose halves are in `long` (sorted) come after all others.
@@ -106,7 +110,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, long: np.ndarray | None = None
         levels, long = shared.value
         for batch in pieces(batches, "text"):
             sizes, out = [], []
-            for hashes in shingle_arrays(texts(batch)):
+            for hashes in arrays(texts(batch)):
                 rank = levels[hashes.view(np.uint64) >> np.uint64(64 - bits)]
                 if long is not None and len(long):
                     half = (hashes & 0x7FFFFFFF).astype(np.int32)
@@ -137,12 +141,12 @@ def _long_lists(halves: DataFrame) -> np.ndarray:
     return np.sort(np.concatenate(found))
 
 
-def _whole_sets(docs: DataFrame) -> DataFrame:
+def _whole_sets(docs: DataFrame, arrays: Arrays = shingle_arrays) -> DataFrame:
     """(doc, hashes): whole sets as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in pieces(batches, "text"):
-            yield {"doc": batch.column("doc_id"), "hashes": [x.tobytes() for x in shingle_arrays(texts(batch))]}
+            yield {"doc": batch.column("doc_id"), "hashes": [x.tobytes() for x in arrays(texts(batch))]}
 
     return map_batches(docs, work, f"doc {docs.schema['doc_id'].dataType.simpleString()}, hashes binary")
 
@@ -177,11 +181,13 @@ def _blocks(index: DataFrame) -> DataFrame:
     return index.withColumn("block", F.floor(F.log("n") / F.lit(float(np.log(1.25)))).cast("int"))
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = SKETCH_BITS, arrays: Arrays = shingle_arrays) -> tuple[DataFrame, DataFrame]:
     """Rows with their representatives (doc_id, n_shingles, rep), and verified links (a, b) between
-    representatives, enough of them to connect every component."""
+    representatives, enough of them to connect every component.
+
+    `arrays` makes the sets; five-word shingles if not given."""
     frame = id_and_text(docs, id_col, text_col, raw=True)
-    rows, levels = shingle_sets(frame, bits)
+    rows, levels = shingle_sets(frame, bits, arrays)
     groups = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     rows = materialise(rows.join(groups, "key", "left").select("doc_id", "n_shingles", "rep"), "rows")
     copies = materialise(rows.where("doc_id <> rep or n_shingles = 0").select("doc_id").distinct(), "copies")
@@ -192,12 +198,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     # Most shingles stand in one list only. Half of a hash is enough to leave out nearly all of those before any entry moves.
     half = F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     repeated = lambda heads: materialise(heads.select(F.explode("prefix").alias("token")).groupBy(half.alias("half")).count().where("count > 1"), "twice")
-    first = materialise(prefixes(sources, levels).where("n > 0"), "prefixes")
+    first = materialise(prefixes(sources, levels, arrays=arrays).where("n > 0"), "prefixes")
     heads, twice = first, repeated(first)
     work = twice.agg(F.sum("count").alias("entries"), F.sum(F.when(F.col("count") > LONG_LIST, F.col("count") * F.col("count"))).alias("pairs")).first()
     if (work["pairs"] or 0) > 10 * (work["entries"] or 0):
         # Long lists would cost more than another pass over the texts; which order is used doesn't change the links.
-        heads = materialise(prefixes(sources, levels, _long_lists(twice)).where("n > 0"), "prefixes")
+        heads = materialise(prefixes(sources, levels, _long_lists(twice), arrays).where("n > 0"), "prefixes")
         discard(first)
         twice = repeated(heads)
     index = _blocks(heads.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("short", F.col("pos") <= F.floor(F.col("n") / 9)))
@@ -205,7 +211,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
 
     discard(heads)
 
-    leaders = live.where("short").groupBy("token", "block").agg(F.min(F.struct("doc", F.col("n").alias("size"), F.col("pos").alias("place"))).alias("head"))
+    # The set with the fewest shingles of its own in its prefix leads: the original of a family of edited copies, if it is there.
+    spare = live.groupBy("doc", "n").agg((F.floor(F.col("n") / 5) + 1 - F.count("*")).alias("spare")).drop("n")
+    first = F.min(F.struct("spare", "doc", F.col("n").alias("size"), F.col("pos").alias("place")))
+    leaders = live.where("short").join(spare, "doc").groupBy("token", "block").agg(first.alias("head"))
     star = live.join(leaders, ["token", "block"]).select("*", F.col("head.doc").alias("leader"), "head.size", "head.place").where(
         "leader <> doc and 5 * least(n, size) >= 4 * greatest(n, size) and 9 * (1 + least(n - 1 - pos, size - 1 - place)) >= 4 * (n + size)"
     )
@@ -213,7 +222,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     star = star.groupBy("doc").agg(F.max(F.struct("met", (-F.col("leader")).alias("less"))).alias("best"))
     star = materialise(star.select(F.col("doc").alias("b"), (-F.col("best.less")).alias("a")), "stars")
     chosen = materialise(_ends(star), "chosen")
-    sets = materialise(_whole_sets(sources.join(_small(chosen), "doc_id", "left_semi")), "wholes")
+    sets = materialise(_whole_sets(sources.join(_small(chosen), "doc_id", "left_semi"), arrays), "wholes")
     starred = materialise(overlaps(star, sets).where(LINKED), "starred")
 
     # What each set knows of its leader: |set - leader| and |leader - set|.
@@ -230,7 +239,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     if pairs.isEmpty():
         return rows, starred.select("a", "b")
     others = materialise(_ends(pairs).join(chosen, "doc_id", "left_anti"), "others")
-    sets = sets.unionByName(materialise(_whole_sets(sources.join(_small(others), "doc_id", "left_semi")), "wholes"))
+    sets = sets.unionByName(materialise(_whole_sets(sources.join(_small(others), "doc_id", "left_semi"), arrays), "wholes"))
     more = _answer(pairs, known, sets)
     return rows, starred.select("a", "b").unionByName(more)
 
@@ -260,7 +269,9 @@ def _answer(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     led = materialise(led.withColumns({"x": F.least("p", "q"), "y": F.greatest("p", "q")}), "led")
     heads = led.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     heads = materialise(overlaps(heads, sets), "heads")
-    of = led.join(heads.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("both").alias("core")), ["x", "y"])
+    # Where leaders link, so do their components.
+    apart = heads.where(f"not ({LINKED})")
+    of = led.join(apart.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("both").alias("core")), ["x", "y"])
     sure = of.where("9 * (core - fewer_a - fewer_b) >= 4 * (na + nb)").select("a", "b")
     open_pairs = of.where("9 * (core - fewer_a - fewer_b) < 4 * (na + nb) and 9 * (core + more_a + more_b) >= 4 * (na + nb) and not (p = a and q = b)")
     exact = overlaps(open_pairs.select("a", "b"), sets).where(LINKED).select("a", "b")

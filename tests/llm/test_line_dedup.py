@@ -58,6 +58,7 @@ def corpus(seed):
 @pytest.mark.parametrize("bucket", [16, 2])
 def test_equals_all_pairs(spark, bucket, monkeypatch):
     monkeypatch.setattr(line_dedup, "SMALL_BUCKET", bucket)
+    monkeypatch.setattr(line_dedup, "LINE_SKETCH_BITS", 14)
     rows = corpus(bucket)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, row int").coalesce(1)
     got = line_decisions(numbered(docs)).collect()
