@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows and text bytes that a task's Python side works on at a time.
+#: Rows and text bytes that a task's Python side works on at a time; a word list takes some ten times a text's bytes.
 BATCH_ROWS = 2_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and Python.
+ARROW_BYTES = 4 << 20
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str | None = None) -> Iterator[pa.RecordBatch]:
@@ -54,11 +56,11 @@ def give_back() -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to BATCH_BYTES, so that rows with long values don't pile up in a task."""
+    """Lowers the session's Arrow batch size to ARROW_BYTES, so that rows with long values don't pile up in a task."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(name).rstrip("bB"))
-    if now <= 0 or now > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if now > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def map_batches(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:

@@ -54,12 +54,7 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path, self.library = path, None
         self.split = re.compile(LATIN_PIECES).findall
         self.kept: dict[str, bytes] = {}
         self.pieces = WordTable(Merges(path), str.encode)
@@ -89,6 +84,13 @@ class ChunkTokenizer:
         return [self._whole(text) if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(batch, lists, strict=True)]
 
     def _whole(self, text: str) -> bytes:
+        if self.library is None:  # few texts need it, and it takes memory
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
