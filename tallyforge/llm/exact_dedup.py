@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyforge.session import materialise, table
 
 SUPPORT = 0.001
+BROADCAST_ROWS = 500_000
 
 
 def digest(text: Column) -> Column:
@@ -67,6 +68,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other = gone.where(~F.col("gone_id").eqNullSafe(F.col("keep_id"))).select("gone_id", "text_sha256").distinct()
     same = gone.where(F.col("gone_id").eqNullSafe(F.col("keep_id"))).select("gone_id", "text_sha256").distinct()
     mine, sha = docs[id_col], digest(docs[text_col])
+    # Copies are few columns of those rows alone; up to BROADCAST_ROWS of them go to the texts, more are met by shuffling.
+    if gone.count() <= BROADCAST_ROWS:
+        other, same = F.broadcast(other), F.broadcast(same)
     matches = lambda side: mine.eqNullSafe(side["gone_id"]) & (sha == side["text_sha256"])
     left = docs.join(other, matches(other), "left_anti")
     if same.isEmpty():

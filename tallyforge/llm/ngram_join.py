@@ -75,7 +75,9 @@ def shingle_sets(docs: DataFrame, bits: int = SKETCH_BITS, arrays: Arrays = shin
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = materialise(map_batches(docs, work, f"doc_id {kind}, n_shingles bigint, key string, chunk int, counts binary"), "sets")
-    return both.where("chunk is null").select("doc_id", "n_shingles", "key"), _levels(both.where("chunk is not null").select("chunk", "counts"), bits)
+    rows = both.where("chunk is null").select("doc_id", "n_shingles", "key")
+    rows.materialised_at = both.materialised_at
+    return rows, _levels(both.where("chunk is not null").select("chunk", "counts"), bits)
 
 
 def _levels(chunks: DataFrame, bits: int) -> np.ndarray:
@@ -167,8 +169,9 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield {"a": batch.column("a"), "b": batch.column("b"), "na": sizes[0], "nb": sizes[1], "both": both}
 
     kind = pairs.schema["a"].dataType.simpleString()
-    joined = pairs.join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("hb")), "b")
-    joined = joined.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ha")), "a").select("a", "b", "ha", "hb")
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("hashes").alias(f"h{x}")).join(_small(pairs.select(x).distinct()), x, "left_semi")
+    # Only sets that a side of the pairs names are moved to it.
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb")
     return map_batches(joined, work, f"a {kind}, b {kind}, na bigint, nb bigint, both bigint")
 
 
@@ -189,7 +192,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     frame = id_and_text(docs, id_col, text_col, raw=True)
     rows, levels = shingle_sets(frame, bits, arrays)
     groups = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    rows = materialise(rows.join(groups, "key", "left").select("doc_id", "n_shingles", "rep"), "rows")
+    counted, rows = rows, materialise(rows.join(groups, "key", "left").select("doc_id", "n_shingles", "rep"), "rows")
+    discard(counted)
     copies = materialise(rows.where("doc_id <> rep or n_shingles = 0").select("doc_id").distinct(), "copies")
     own = materialise(rows.where("doc_id = rep").select("doc_id").distinct().join(copies, "doc_id", "left_semi"), "own")
     copies = copies if own.isEmpty() else copies.join(own, "doc_id", "left_anti")
