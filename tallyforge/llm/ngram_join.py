@@ -16,6 +16,11 @@ need no comparison, and for sets a and b with leaders p and q
 decides most other pairs from one comparison of p and q. The rest are compared exactly. So a
 group of near copies costs a star and not all its pairs, and no link between components is lost.
 
+Number of links: in the full form pairs within a component are decided too. Members a and b of one
+star with leader p surely link if s(a) + s(b) <= |p|, where s(a) = 5 * |p - a| + 4 * |a - p|; such
+pairs are counted from the sorted s of the star and never listed. All others that meet in lists are
+decided by the bounds above or compared exactly.
+
 Null and empty texts have no shingles and link with nothing. Rows with a null id get a null
 component unless a row with an id has the same set. Rows with equal id count as one document.
 Only id and text columns are read.
@@ -28,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.batches import id_and_text, map_batches, pieces, texts
@@ -189,6 +194,55 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     representatives, enough of them to connect every component.
 
     `arrays` makes the sets; five-word shingles if not given."""
+    rows, sources, live, chosen, sets, starred = _stars(docs, id_col, text_col, bits, arrays)
+    known = _known(starred)
+    found = connected_components(starred.select("a", "b"))
+    placed = materialise(
+        live.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed"
+    )
+    discard(live)
+    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
+    mixed = materialise(placed.join(mixed, "token"), "mixed")
+    discard(placed)
+    pairs = materialise(_meetings(mixed), "pairs")
+    if pairs.isEmpty():
+        return rows, starred.select("a", "b")
+    more = _answer(pairs, known, _with_others(pairs, sources, chosen, sets, arrays))
+    return rows, starred.select("a", "b").unionByName(more)
+
+
+def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = SKETCH_BITS, arrays: Arrays = shingle_arrays) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What links() gives, and the number of links (rep, n_links) of each representative that has any: all pairs of different sets are decided."""
+    rows, sources, live, chosen, sets, starred = _stars(docs, id_col, text_col, bits, arrays)
+    known = materialise(_known(starred).withColumn("apart", F.expr("5 * fewer + 4 * more")), "known")
+    placed = materialise(live.join(known.select("doc", "leader", "apart", "size"), "doc", "left"), "placed")
+    discard(live)
+    # Lists whose members all surely link by one leader hold nothing to decide.
+    head = F.coalesce("leader", "doc")
+    mixed = placed.groupBy("token").agg(F.min(head).alias("least"), F.max(head).alias("most"), F.max(F.col("apart") * 2 - F.col("size")).alias("over"))
+    mixed = materialise(placed.join(mixed.where("least < most or over > 0").select("token"), "token"), "mixed")
+    discard(placed)
+    pairs = materialise(_undecided(mixed), "pairs")
+    more = starred.select("a", "b").limit(0) if pairs.isEmpty() else _answer_all(pairs, known, _with_others(pairs, sources, chosen, sets, arrays))
+    # Two sets can lead each other.
+    edges = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(more)
+    counts = edges.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("bigint").alias("n")).unionByName(_sure(known))
+    return rows, edges, counts.groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
+def _known(starred: DataFrame) -> DataFrame:
+    """What each set knows of its leader: |set - leader|, |leader - set| and |leader|."""
+    return starred.select(F.col("b").alias("doc"), F.col("a").alias("leader"), (F.col("nb") - F.col("both")).alias("more"), (F.col("na") - F.col("both")).alias("fewer"), F.col("na").alias("size"))
+
+
+def _with_others(pairs: DataFrame, sources: DataFrame, chosen: DataFrame, sets: DataFrame, arrays: Arrays) -> DataFrame:
+    """`sets` and the whole sets of the ids in `pairs` that aren't in `chosen`."""
+    others = materialise(_ends(pairs).join(chosen, "doc_id", "left_anti"), "others")
+    return sets.unionByName(materialise(_whole_sets(sources.join(_small(others), "doc_id", "left_semi"), arrays), "wholes"))
+
+
+def _stars(docs: DataFrame, id_col: str, text_col: str, bits: int, arrays: Arrays) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The first round: rows with representatives, their texts, list entries, the ids in stars, those ids' whole sets and the linked (leader a, member b)."""
     frame = id_and_text(docs, id_col, text_col, raw=True)
     rows, levels = shingle_sets(frame, bits, arrays)
     groups = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
@@ -228,24 +282,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     chosen = materialise(_ends(star), "chosen")
     sets = materialise(_whole_sets(sources.join(_small(chosen), "doc_id", "left_semi"), arrays), "wholes")
     starred = materialise(overlaps(star, sets).where(LINKED), "starred")
-
-    # What each set knows of its leader: |set - leader| and |leader - set|.
-    known = starred.select(F.col("b").alias("doc"), F.col("a").alias("leader"), (F.col("nb") - F.col("both")).alias("more"), (F.col("na") - F.col("both")).alias("fewer"))
-    found = connected_components(starred.select("a", "b"))
-    placed = materialise(
-        live.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed"
-    )
-    discard(live)
-    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
-    mixed = materialise(placed.join(mixed, "token"), "mixed")
-    discard(placed)
-    pairs = materialise(_meetings(mixed), "pairs")
-    if pairs.isEmpty():
-        return rows, starred.select("a", "b")
-    others = materialise(_ends(pairs).join(chosen, "doc_id", "left_anti"), "others")
-    sets = sets.unionByName(materialise(_whole_sets(sources.join(_small(others), "doc_id", "left_semi"), arrays), "wholes"))
-    more = _answer(pairs, known, sets)
-    return rows, starred.select("a", "b").unionByName(more)
+    return rows, sources, live, chosen, sets, starred
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -263,14 +300,53 @@ def _meetings(lists: DataFrame) -> DataFrame:
     return x.join(y, ["token", "block"]).where(fits).select("a", "b", "na", "nb").distinct()
 
 
-def _answer(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among pairs of sets, from their leaders' overlap where that decides them."""
+def _undecided(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, na, nb) whose sizes and positions allow a link and that no star decides; na > nb, or na = nb and a < b."""
+    x = lists.select("token", "block", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("leader").alias("p"), F.col("apart").alias("sa"), "size")
+    y = lists.where("short").select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("leader").alias("q"), F.col("apart").alias("sb"), "block")
+    y = y.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
+    fits = "(nb < na or nb = na and a < b) and 5 * nb >= 4 * na and 9 * (1 + least(na - 1 - pa, nb - 1 - pb)) >= 4 * (na + nb)"
+    decided = "coalesce(p = b, false) or coalesce(q = a, false) or coalesce(p = q and sa + sb <= size, false)"
+    return x.join(y, ["token", "block"]).where(f"{fits} and not ({decided})").select("a", "b", "na", "nb").distinct()
+
+
+def _sure(known: DataFrame) -> DataFrame:
+    """(rep, n): with how many other members of its star each member surely links."""
+    steps = known.groupBy("leader", "size", "apart").agg(F.count("*").alias("n"))
+    # A leader has at most |leader| + 1 values of `apart`, however many members there are.
+    at = steps.select("leader", F.col("apart").alias("at"), "n", F.lit(None).cast("bigint").alias("apart"))
+    at = at.unionByName(steps.select("leader", (F.col("size") - F.col("apart")).alias("at"), F.lit(0).cast("bigint").alias("n"), "apart"))
+    reach = at.withColumn("n", F.sum("n").over(Window.partitionBy("leader").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    reach = materialise(reach.where("apart is not null").select("leader", "apart", "n"), "reach")
+    own = F.when(F.col("apart") * 2 <= F.col("size"), 1).otherwise(0)
+    return known.join(_small(reach), ["leader", "apart"]).select(F.col("doc").alias("rep"), (F.col("n") - own).alias("n"))
+
+
+def _led(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """`pairs` with their leaders p and q (x <= y in order; a set without one leads itself) and what the sets know of them."""
     side = lambda doc, leader: known.select(
-        F.col("doc").alias(doc), F.col("leader").alias(leader), F.col("more").alias(f"more_{doc}"), F.col("fewer").alias(f"fewer_{doc}")
+        F.col("doc").alias(doc), F.col("leader").alias(leader), F.col("more").alias(f"more_{doc}"), F.col("fewer").alias(f"fewer_{doc}"), F.col("size").alias(f"size_{leader}")
     )
     led = pairs.join(side("a", "p"), "a", "left").join(side("b", "q"), "b", "left")
     led = led.withColumns({"p": F.coalesce("p", "a"), "q": F.coalesce("q", "b")} | {c: F.coalesce(c, F.lit(0)) for c in ("more_a", "more_b", "fewer_a", "fewer_b")})
-    led = materialise(led.withColumns({"x": F.least("p", "q"), "y": F.greatest("p", "q")}), "led")
+    return materialise(led.withColumns({"x": F.least("p", "q"), "y": F.greatest("p", "q")}), "led")
+
+
+def _answer_all(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that link, from their leaders' overlap where that decides them."""
+    led = _led(pairs, known)
+    heads = overlaps(led.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
+    heads = materialise(heads.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("both").alias("core")), "heads")
+    of = led.join(heads, ["x", "y"]).withColumns({"least": F.expr("core - fewer_a - fewer_b"), "most": F.expr("core + more_a + more_b")})
+    own = led.where("x = y").withColumns({"least": F.expr("size_p - fewer_a - fewer_b"), "most": F.expr("size_p - greatest(fewer_a, fewer_b) + least(more_a, more_b)")})
+    both = materialise(of.select("a", "b", "na", "nb", "least", "most").unionByName(own.select("a", "b", "na", "nb", "least", "most")).where("9 * most >= 4 * (na + nb)"), "bounds")
+    exact = overlaps(both.where("9 * least < 4 * (na + nb)").select("a", "b"), sets).where(LINKED).select("a", "b")
+    return materialise(both.where("9 * least >= 4 * (na + nb)").select("a", "b").unionByName(exact), "links")
+
+
+def _answer(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among pairs of sets, from their leaders' overlap where that decides them."""
+    led = _led(pairs, known)
     heads = led.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     heads = materialise(overlaps(heads, sets), "heads")
     # Where leaders link, so do their components.
@@ -290,6 +366,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce(own, "component", "rep").alias("component_id"))
 
 
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = SKETCH_BITS) -> DataFrame:
+    """near_duplicates() and n_links of every row: with how many other shingle sets its own set links (null where the set has no id)."""
+    rows, edges, counts = all_links(docs, id_col, text_col, bits)
+    found = connected_components(edges).withColumnRenamed("node", "rep")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+    n_links = F.when(F.col("rep").isNotNull() | (F.col("n_shingles") == 0), F.coalesce("n_links", F.lit(0).cast("bigint")))
+    return rows.join(found, "rep", "left").join(counts, "rep", "left").select("doc_id", "n_shingles", F.coalesce(own, "component", "rep").alias("component_id"), n_links.alias("n_links"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = SKETCH_BITS) -> DataFrame:
     """`docs` with the least id of each component; rows without an id or words stay. Columns are unchanged."""
     found = near_duplicates(docs, id_col, text_col, bits)
@@ -300,4 +385,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return link_counts(table(spark, sf_dir, "documents"))

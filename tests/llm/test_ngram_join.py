@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.ngram_join import drop_near_copies, near_duplicates
+from tallyforge.llm.ngram_join import drop_near_copies, link_counts, near_duplicates
 
 
 def brute_set(text):
@@ -65,6 +65,26 @@ def test_equals_all_pairs(spark, seed):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_counts_all_links(spark, seed):
+    """Every link between different sets counts, those within one star too."""
+    rng, rows = random.Random(seed), corpus(seed)
+    base = [f"b{i}" for i in range(150)]
+    for i in range(40):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 1, 2, 3, 4])):
+            copy[at] = f"e{i}x{at}"
+        rows.append((20_000 + i, " ".join(copy)))
+    sets = {i: frozenset(brute_set(t)) for i, t in rows}
+    once = set(sets.values()) - {frozenset()}
+    want = {x: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in once) for x in once}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = link_counts(docs, bits=14 + 2 * seed).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows) and len(got) == len(rows)
+    assert {r.doc_id: r.n_links for r in got} == {i: want.get(x, 0) for i, x in sets.items()}
+    assert max(want.values()) > 20
+
+
 def test_nulls_repeats_and_long_text(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     rows = [(5, long), (6, long + " end"), (5, long), (None, long), (None, "alone and only here"), (None, None), (9, ""), (8, "x y")]
