@@ -6,8 +6,11 @@ algorithm; a text's is the product over its words (runs of letters, lower-cased)
 are trained by expectation maximisation: word counts for each language are gathered by Spark, the
 expected piece counts of each round are summed over partitions.
 
-Training reads about `max_docs` documents at most, chosen by a hash of the id (a documented
-bound); prediction reads every row and whole text. A text that is null or has no letter is
+Training reads about `max_docs` documents at most, chosen by language by a hash of the id (a
+documented bound): all rows of a small language, equally many of each larger one, and about
+LEAST of each even where that exceeds `max_docs`. So every labelled language is learned at any
+size. A language's prior is its share of the words of all usable rows, estimated from the sample.
+Prediction reads every row and whole text. A text that is null or has no letter is
 `und` with score 0, as is every text if nothing could be learned. Ties go to the language first
 in order. Letters outside the vocabulary count as one unknown piece each. The piece table has
 (pieces x languages) numbers, whatever the input. Only the named columns are read.
@@ -29,6 +32,8 @@ from tallyforge.llm.batches import id_and_text, map_batches, pieces, texts
 from tallyforge.session import materialise, table
 
 MAX_DOCS = 4_000
+#: Documents of each larger language that are read at least, about.
+LEAST = 50
 ROUNDS = 3
 SMOOTH = 0.05
 START = "▁"
@@ -188,16 +193,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_batches(docs, work, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def sample_shares(rows: dict[str, int], max_docs: int) -> dict[str, float]:
+    """The share of each language's rows to read: all of small languages, equally many rows of the others."""
+    left, quota = max_docs, float(LEAST)
+    for place, n in enumerate(sorted(rows.values())):
+        if n * (len(rows) - place) > left:
+            quota = max(quota, left / (len(rows) - place))
+            break
+        left, quota = left - n, max(quota, n)
+    return {lang: min(1.0, quota / n) for lang, n in rows.items()}
+
+
 def train(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, rounds: int = ROUNDS) -> Model:
     """Fits piece probabilities; held-out rows and rows without text or language aren't read."""
     names = vocabulary(pieces_path)
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     usable = usable.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = max_docs / max(1, usable.select("doc_id").count())
-    if share < 1:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # One row for each language.
+    shares = sample_shares({r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}, max_docs)
+    if any(share < 1 for share in shares.values()):
+        bounds = docs.sparkSession.createDataFrame([(lang, int(share * (1 << 30))) for lang, share in shares.items()], "lang string, bound bigint")
+        usable = usable.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("bound"))
     words = materialise(word_counts(usable.select("lang", "text")).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n")), "words")
-    sizes = {r["lang"]: r["n"] for r in words.select(F.explode("n").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] / shares[r["lang"]] for r in words.select(F.explode("n").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(sizes)
     prior = np.log(np.array([sizes[x] for x in languages], dtype=float)) - np.log(max(1, sum(sizes.values()))) if languages else np.zeros(0)
     logp = np.full((len(names), len(languages)), -np.log(len(names)))

@@ -5,7 +5,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyforge.llm.langid import START, Lattice, expected_counts, predict, train, vocabulary, word_scores
+from tallyforge.llm.langid import LEAST, START, Lattice, expected_counts, predict, sample_shares, train, vocabulary, word_scores
 
 NAMES = ["", START, "a", "b", "ab", "ba", START + "a", "bab", "aa"]
 LATTICE = Lattice(NAMES)
@@ -60,3 +60,25 @@ def test_frame(spark):
     assert predict(docs.limit(0), model).count() == 0
     nothing = predict(docs, train(docs.limit(0), path)).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
+
+
+def test_learns_rare_languages_of_a_large_table(spark):
+    """Six languages with four rows each among 4,000 rows of two others, and a sample of 120 documents."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(i, "en", "the house and the garden with that which is there") if i % 2 else (i, "de", "das haus und der garten mit dem was dort ist") for i in range(4000)]
+    rare = {"fr": "la maison et le jardin avec ce qui est", "es": "la casa y el huerto con lo que hay", "it": "gli uomini della casa sono nel giardino", "sv": "huset och den stora byn som är där", "pl": "dom oraz ten ogród który jest tam", "fi": "talo ja puutarha joka on siellä"}
+    rows += [(10_000 + 100 * k + i, lang, text) for k, (lang, text) in enumerate(rare.items()) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = train(docs, path, max_docs=120)
+    assert model.languages == sorted({"en", "de", *rare})
+    share = dict(zip(model.languages, np.exp(model.prior), strict=True))
+    assert abs(sum(share.values()) - 1) < 1e-9 and 0.3 < share["en"] < 0.7 and share["fr"] < 0.01
+    got = predict(docs, model).where("doc_id >= 10000").collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, lang, _ in rows if i >= 10_000}
+
+
+def test_sample_shares():
+    assert sample_shares({}, 100) == {} and sample_shares({"a": 30, "b": 60}, 100) == {"a": 1.0, "b": 1.0}
+    assert sample_shares({"a": 100, "b": 10_000, "c": 100_000}, 4100) == {"a": 1.0, "b": 0.2, "c": 0.02}
+    many = sample_shares({str(i): 1000 for i in range(200)}, 100)
+    assert set(many.values()) == {LEAST / 1000}
