@@ -6,24 +6,28 @@ size; the order decides only cost), then by hash. Two sets that link share a shi
 first n/5 + 1 of the larger and the first n/9 + 1 of the smaller one, so inverted lists of these
 prefixes, with positions and sizes, hold every link.
 
-Skipping in lists: entries stand in blocks by size, only blocks of sizes that can link meet, and
-a pair is dropped where the positions leave fewer shingles than a link needs.
-
-Skipping by answers: in a first round each list block compares its members only with its first
-one, its leader. A member's answers then follow from its leader's: sets already in one component
-need no comparison, and for sets a and b with leaders p and q
-    |p & q| - |p - a| - |q - b|  <=  |a & b|  <=  |p & q| + |a - p| + |b - q|
-decides most other pairs from one comparison of p and q. The rest are compared exactly. So a
-group of near copies costs a star and not all its pairs, and no link between components is lost.
-
-Number of links: in the full form pairs within a component are decided too. Members a and b of one
-star with leader p surely link if s(a) + s(b) <= |p|, where s(a) = 5 * |p - a| + 4 * |a - p|; such
-pairs are counted from the sorted s of the star and never listed. All others that meet in lists are
-decided by the bounds above or compared exactly.
+Families: each list block has a leader, the set with the fewest shingles of its own. A set whose
+leader (followed to its root) shares half of their union with it is kept as two differences: the
+root's shingles that it lacks, and those that it has besides. With signed differences D,
+    |a & b| = |p & q| + D(a) . q + p . D(b) + D(a) . D(b)
+for sets a and b of families with roots p and q. So all answers of a family follow from its
+root's answers and from the differences, which are short.
+
+Skipping in lists: list entries of one family are one entry, blocks of sizes that can't link don't
+meet, and two families meet only where the positions leave enough shingles. So a list costs by
+its families, not by its members. Then the roots are compared, and a pair of families is done with
+where the largest differences couldn't make up for what the roots lack.
+
+Members are compared in units of at most UNIT sets or DIFFERENCES differing shingles: a task takes
+two units and gives the number of links of each set and enough links to connect what links; pairs
+are never rows. In families of more than one unit, sets are in levels by s = 5 * |p - a| + 4 * |a - p|;
+a and b surely link if s(a) + s(b) <= |p|, so pairs of levels that ensure it are only counted.
 
 Null and empty texts have no shingles and link with nothing. Rows with a null id get a null
-component unless a row with an id has the same set. Rows with equal id count as one document.
-Only id and text columns are read.
+component unless a row with an id has the same set. Repeated rows have equal results. An id with
+several texts stands for each of them. An empty table gives an empty result. A very long text is
+one large set, held whole by the task that reads it. Only id and text columns are read, so other
+columns' names don't matter.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.batches import id_and_text, map_batches, pieces, texts
@@ -45,11 +49,22 @@ from tallyforge.session import discard, materialise, table
 SKETCH_BITS = 24
 #: Lists with more entries than this in a first index have their shingle moved to the end of the order.
 LONG_LIST = 32
-#: How many such shingles there are at most; they are broadcast as 32-bit halves of hashes.
+#: How many such shingles there are at most; tasks get them as 32-bit halves of hashes.
 MOST_LONG = 2_000_000
+#: Up to so many halves of repeated shingles (32 MB) go to all tasks; more are met by shuffling.
+MOST_HALVES = 8_000_000
 CHUNK = 1 << 14
-#: Lists of ids up to this size are broadcast; longer ones are joined by shuffling.
-BROADCAST_IDS = 2_000_000
+#: Estimated bytes of an id list that is broadcast; larger ones are joined by shuffling.
+BROADCAST_BYTES = 64 << 20
+#: Bytes that a broadcast hash table takes for a column of a row, about, besides a string's own.
+ROW_BYTES = 80
+#: Sets and differing shingles of a unit, but for a single larger set.
+UNIT = 512
+DIFFERENCES = 250_000
+#: Levels of s in a family of several units.
+LEVELS = 8
+#: Shingles of a block of the matrices that units are compared by.
+SPAN = 4_096
 
 
 #: Makes sorted distinct 64-bit hashes of each UTF-8 text.
@@ -57,8 +72,10 @@ Arrays = Callable[[list[bytes]], list[np.ndarray]]
 
 
 def _small(ids: DataFrame) -> DataFrame:
-    """`ids` (written before), marked for broadcast if it is small enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """`ids` (written before), marked for broadcast if its estimated bytes are within BROADCAST_BYTES."""
+    wide = [F.coalesce(F.length(x.name), F.lit(0)) for x in ids.schema if x.dataType.simpleString() == "string"]
+    size = ids.agg(F.coalesce(F.sum(sum(wide, F.lit(ROW_BYTES * len(ids.columns)))), F.lit(0))).first()[0]
+    return F.broadcast(ids) if size <= BROADCAST_BYTES else ids
 
 
 def shingle_sets(docs: DataFrame, bits: int = SKETCH_BITS, arrays: Arrays = shingle_arrays) -> tuple[DataFrame, np.ndarray]:
@@ -144,8 +161,33 @@ def _long_lists(halves: DataFrame) -> np.ndarray:
         if kept <= MOST_LONG:
             break
         limit, kept = 2 ** (row["power"] + 1) - 1, kept - row["n"]
-    found = [np.empty(0, dtype=np.int32), *(np.array([r["half"]], dtype=np.int32) for r in halves.where(F.col("count") > limit).select("half").toLocalIterator())]
-    return np.sort(np.concatenate(found))
+    return _sorted_halves(halves.where(F.col("count") > limit))
+
+
+def _sorted_halves(halves: DataFrame) -> np.ndarray:
+    """The halves as a sorted array; their number is bounded by the caller."""
+    return np.sort(halves.select("half").toArrow().column("half").to_numpy().astype(np.int32))
+
+
+def live_entries(heads: DataFrame, halves: np.ndarray) -> DataFrame:
+    """(doc, n, pos, token) of the prefixes' shingles whose halves are in `halves` (sorted)."""
+    shared = heads.sparkSession.sparkContext.broadcast(halves)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        known = shared.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            tokens = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            half = (tokens & 0x7FFFFFFF).astype(np.int32)
+            keep = known[np.minimum(np.searchsorted(known, half), len(known) - 1)] == half if len(known) else np.zeros(len(half), dtype=bool)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            row, at = pa.array(row[keep]), pos[keep].astype(np.int32)
+            yield {"doc": batch.column("doc").take(row), "n": batch.column("n").take(row), "pos": at, "token": tokens[keep]}
+
+    kind = heads.schema["doc"].dataType.simpleString()
+    return map_batches(heads, work, f"doc {kind}, n bigint, pos int, token bigint")
 
 
 def _whole_sets(docs: DataFrame, arrays: Arrays = shingle_arrays) -> DataFrame:
@@ -158,30 +200,41 @@ def _whole_sets(docs: DataFrame, arrays: Arrays = shingle_arrays) -> DataFrame:
     return map_batches(docs, work, f"doc {docs.schema['doc_id'].dataType.simpleString()}, hashes binary")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both): sizes and intersections of pairs of sets."""
+def _hashes(raw: bytes | None) -> np.ndarray:
+    return np.frombuffer(raw or b"", dtype=np.int64)
+
+
+def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in y (sorted)."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), dtype=bool)
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """(a, b, na, nb, both): sizes and intersections of pairs of sets; `differences` adds the sorted shingles `lost` (in a alone) and `gained` (in b alone) as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in pieces(batches, "ha"):
             # Arrow hands the buffers over as they are; a set's hashes are sorted and distinct.
-            sizes, both = ([], []), []
+            out: dict[str, list] = {x: [] for x in ("na", "nb", "both", "lost", "gained")}
             for x, y in zip(texts(batch, "ha"), texts(batch, "hb"), strict=True):
-                x, y = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
-                sizes[0].append(len(x))
-                sizes[1].append(len(y))
-                at = np.searchsorted(y, x)
-                both.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0)
-            yield {"a": batch.column("a"), "b": batch.column("b"), "na": sizes[0], "nb": sizes[1], "both": both}
+                x, y = _hashes(x), _hashes(y)
+                same = _within(x, y)
+                for name, value in zip(out, (len(x), len(y), int(same.sum()), None, None), strict=True):
+                    out[name].append(value)
+                if differences:
+                    out["lost"][-1], out["gained"][-1] = x[~same].tobytes(), y[~_within(y, x)].tobytes()
+            yield {"a": batch.column("a"), "b": batch.column("b")} | out
 
     kind = pairs.schema["a"].dataType.simpleString()
-    side = lambda x: sets.select(F.col("doc").alias(x), F.col("hashes").alias(f"h{x}")).join(_small(pairs.select(x).distinct()), x, "left_semi")
-    # Only sets that a side of the pairs names are moved to it.
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("hashes").alias(f"h{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb")
-    return map_batches(joined, work, f"a {kind}, b {kind}, na bigint, nb bigint, both bigint")
+    return map_batches(joined, work, f"a {kind}, b {kind}, na bigint, nb bigint, both bigint, lost binary, gained binary")
 
 
 #: 100 * both >= 80 * (na + nb - both)
 LINKED = "9 * both >= 4 * (na + nb)"
+#: A root and a set of its family share half of their union.
+OF_FAMILY = "3 * both >= na + nb"
 
 
 def _blocks(index: DataFrame) -> DataFrame:
@@ -194,168 +247,249 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     representatives, enough of them to connect every component.
 
     `arrays` makes the sets; five-word shingles if not given."""
-    rows, sources, live, chosen, sets, starred = _stars(docs, id_col, text_col, bits, arrays)
-    known = _known(starred)
-    found = connected_components(starred.select("a", "b"))
-    placed = materialise(
-        live.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed"
-    )
-    discard(live)
-    mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
-    mixed = materialise(placed.join(mixed, "token"), "mixed")
-    discard(placed)
-    pairs = materialise(_meetings(mixed), "pairs")
-    if pairs.isEmpty():
-        return rows, starred.select("a", "b")
-    more = _answer(pairs, known, _with_others(pairs, sources, chosen, sets, arrays))
-    return rows, starred.select("a", "b").unionByName(more)
+    rows, edges, _ = _answers(docs, id_col, text_col, bits, arrays, False)
+    return rows, edges
 
 
 def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = SKETCH_BITS, arrays: Arrays = shingle_arrays) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What links() gives, and the number of links (rep, n_links) of each representative that has any: all pairs of different sets are decided."""
-    rows, sources, live, chosen, sets, starred = _stars(docs, id_col, text_col, bits, arrays)
-    known = materialise(_known(starred).withColumn("apart", F.expr("5 * fewer + 4 * more")), "known")
-    placed = materialise(live.join(known.select("doc", "leader", "apart", "size"), "doc", "left"), "placed")
-    discard(live)
-    # Lists whose members all surely link by one leader hold nothing to decide.
-    head = F.coalesce("leader", "doc")
-    mixed = placed.groupBy("token").agg(F.min(head).alias("least"), F.max(head).alias("most"), F.max(F.col("apart") * 2 - F.col("size")).alias("over"))
-    mixed = materialise(placed.join(mixed.where("least < most or over > 0").select("token"), "token"), "mixed")
-    discard(placed)
-    pairs = materialise(_undecided(mixed), "pairs")
-    more = starred.select("a", "b").limit(0) if pairs.isEmpty() else _answer_all(pairs, known, _with_others(pairs, sources, chosen, sets, arrays))
-    # Two sets can lead each other.
-    edges = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(more)
-    counts = edges.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("bigint").alias("n")).unionByName(_sure(known))
-    return rows, edges, counts.groupBy("rep").agg(F.sum("n").alias("n_links"))
-
+    return _answers(docs, id_col, text_col, bits, arrays, True)
 
-def _known(starred: DataFrame) -> DataFrame:
-    """What each set knows of its leader: |set - leader|, |leader - set| and |leader|."""
-    return starred.select(F.col("b").alias("doc"), F.col("a").alias("leader"), (F.col("nb") - F.col("both")).alias("more"), (F.col("na") - F.col("both")).alias("fewer"), F.col("na").alias("size"))
 
-
-def _with_others(pairs: DataFrame, sources: DataFrame, chosen: DataFrame, sets: DataFrame, arrays: Arrays) -> DataFrame:
-    """`sets` and the whole sets of the ids in `pairs` that aren't in `chosen`."""
-    others = materialise(_ends(pairs).join(chosen, "doc_id", "left_anti"), "others")
-    return sets.unionByName(materialise(_whole_sets(sources.join(_small(others), "doc_id", "left_semi"), arrays), "wholes"))
-
-
-def _stars(docs: DataFrame, id_col: str, text_col: str, bits: int, arrays: Arrays) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The first round: rows with representatives, their texts, list entries, the ids in stars, those ids' whole sets and the linked (leader a, member b)."""
+def _answers(docs: DataFrame, id_col: str, text_col: str, bits: int, arrays: Arrays, count: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with representatives, links (a, b) that connect the components, and the numbers of links (if `count`)."""
     frame = id_and_text(docs, id_col, text_col, raw=True)
-    rows, levels = shingle_sets(frame, bits, arrays)
-    groups = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    counted, rows = rows, materialise(rows.join(groups, "key", "left").select("doc_id", "n_shingles", "rep"), "rows")
+    rows, levels, sources, several = _representatives(frame, bits, arrays)
+    live = _lists(sources, levels, arrays)
+    star = _stars(live, several)
+    chosen = materialise(_ends(star), "chosen")
+    sets = materialise(_whole_sets(sources.join(_small(chosen), "doc_id", "left_semi"), arrays), "wholes")
+    # Ids with several texts lead and follow nobody, so a pair has one row.
+    members = materialise(overlaps(star, sets, True).where(OF_FAMILY).selectExpr(
+        "a as leader", "b as doc", "na as size", "5 * (na - both) + 4 * (nb - both) as apart", "4 * (na - both) + 5 * (nb - both) as gain", "lost", "gained", "octet_length(lost) + octet_length(gained) as bytes"
+    ), "members")
+    edges = members.where("apart <= size").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    meetings = materialise(_meetings(live.join(_small(members.select("doc", "leader")), "doc", "left").withColumn("head", F.coalesce("leader", "doc"))), "meetings")
+    discard(live)
+    families = materialise(members.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("bytes").alias("bytes"), F.max("gain").alias("gain"), F.max("apart").alias("apart"), F.first("size").alias("size")), "families")
+    others = materialise(_ends(meetings).join(chosen, "doc_id", "left_anti"), "others")
+    sets = sets.unionByName(materialise(_whole_sets(sources.join(_small(others), "doc_id", "left_semi"), arrays), "wholes"))
+    # The roots' answers; what their families may add to them decides whether the members meet.
+    gain = lambda x: families.select(F.col("leader").alias(x), F.col("gain").alias(f"gain_{x}"))
+    met = overlaps(meetings, sets).drop("lost", "gained").join(gain("a"), "a", "left").join(gain("b"), "b", "left")
+    met = materialise(met.where("9 * both + coalesce(gain_a, 0) + coalesce(gain_b, 0) >= 4 * (na + nb)"), "roots")
+    alone = met.where("gain_a is null and gain_b is null").select("a", "b").distinct()
+    near = met.where("gain_a is not null or gain_b is not null").select("a", "b").distinct()
+    # To connect components, members that link with their root needn't be compared with one another.
+    own = families.where(F.lit(count) | (F.col("apart") > F.col("size"))).select(F.col("leader").alias("a"), F.col("leader").alias("b"))
+    compared = materialise(_compared(near.unionByName(own), _units(members, families, near, sets)), "compared")
+    edges = edges.unionByName(alone).unionByName(compared.where("b is not null").select("a", "b"))
+    counts = compared.where("b is null").select(F.col("a").alias("rep"), "n").unionByName(_sure(members, families))
+    counts = counts.unionByName(alone.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("bigint").alias("n")))
+    return rows, edges, counts.groupBy("rep").agg(F.sum("n").alias("n_links")).where("n_links > 0")
+
+
+def _representatives(frame: DataFrame, bits: int, arrays: Arrays) -> tuple[DataFrame, np.ndarray, DataFrame, DataFrame]:
+    """Rows with representatives, the sketch's levels, the representatives' texts, and the ids that stand for several sets."""
+    counted, levels = shingle_sets(frame, bits, arrays)
+    groups = materialise(counted.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "groups")
+    rows = materialise(counted.join(groups, "key", "left").select("doc_id", "n_shingles", "rep"), "rows")
     discard(counted)
+    several = groups.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("doc"))
     copies = materialise(rows.where("doc_id <> rep or n_shingles = 0").select("doc_id").distinct(), "copies")
     own = materialise(rows.where("doc_id = rep").select("doc_id").distinct().join(copies, "doc_id", "left_semi"), "own")
-    copies = copies if own.isEmpty() else copies.join(own, "doc_id", "left_anti")
+    copies = copies if own.isEmpty() else materialise(copies.join(own, "doc_id", "left_anti"), "copies")
     sources = frame.where("doc_id is not null").join(_small(copies), "doc_id", "left_anti")
+    return rows, levels, sources, materialise(several, "several")
+
 
+def _lists(sources: DataFrame, levels: np.ndarray, arrays: Arrays) -> DataFrame:
+    """(doc, n, pos, token, block, short): the entries of lists of more than one."""
     # Most shingles stand in one list only. Half of a hash is enough to leave out nearly all of those before any entry moves.
     half = F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     repeated = lambda heads: materialise(heads.select(F.explode("prefix").alias("token")).groupBy(half.alias("half")).count().where("count > 1"), "twice")
-    first = materialise(prefixes(sources, levels, arrays=arrays).where("n > 0"), "prefixes")
-    heads, twice = first, repeated(first)
-    work = twice.agg(F.sum("count").alias("entries"), F.sum(F.when(F.col("count") > LONG_LIST, F.col("count") * F.col("count"))).alias("pairs")).first()
+    heads = materialise(prefixes(sources, levels, arrays=arrays).where("n > 0"), "prefixes")
+    twice = repeated(heads)
+    work = twice.agg(F.count("*").alias("halves"), F.sum("count").alias("entries"), F.sum(F.when(F.col("count") > LONG_LIST, F.col("count") * F.col("count"))).alias("pairs")).first()
     if (work["pairs"] or 0) > 10 * (work["entries"] or 0):
         # Long lists would cost more than another pass over the texts; which order is used doesn't change the links.
-        heads = materialise(prefixes(sources, levels, _long_lists(twice), arrays).where("n > 0"), "prefixes")
-        discard(first)
+        long = _long_lists(twice)
+        discard(heads)
+        discard(twice)
+        heads = materialise(prefixes(sources, levels, long, arrays).where("n > 0"), "prefixes")
         twice = repeated(heads)
-    index = _blocks(heads.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("short", F.col("pos") <= F.floor(F.col("n") / 9)))
-    live = materialise(index.withColumn("half", half).join(_small(twice.select("half")), "half", "left_semi").drop("half"), "lists")
-
+        work = twice.agg(F.count("*").alias("halves")).first()
+    if work["halves"] <= MOST_HALVES:
+        entries = live_entries(heads, _sorted_halves(twice))
+    else:
+        entries = heads.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("half", half).join(twice.select("half"), "half", "left_semi").drop("half")
+    live = materialise(_blocks(entries).withColumn("short", F.col("pos") <= F.floor(F.col("n") / 9)), "lists")
     discard(heads)
+    discard(twice)
+    return live
+
 
+def _stars(live: DataFrame, several: DataFrame) -> DataFrame:
+    """(b, a): sets and the roots of the leaders that they follow."""
     # The set with the fewest shingles of its own in its prefix leads: the original of a family of edited copies, if it is there.
-    spare = live.groupBy("doc", "n").agg((F.floor(F.col("n") / 5) + 1 - F.count("*")).alias("spare")).drop("n")
+    # Leaders come before their followers in order of (spare, id), so following leaders ends.
+    spare = live.groupBy("doc", "n").agg((F.floor(F.col("n") / 5) + 1 - F.count("*")).alias("spare")).groupBy("doc").agg(F.min("spare").alias("spare"))
+    spare = materialise(spare.join(several, "doc", "left_anti"), "spare")
+    ranked = live.join(spare, "doc")
     first = F.min(F.struct("spare", "doc", F.col("n").alias("size"), F.col("pos").alias("place")))
-    leaders = live.where("short").join(spare, "doc").groupBy("token", "block").agg(first.alias("head"))
-    star = live.join(leaders, ["token", "block"]).select("*", F.col("head.doc").alias("leader"), "head.size", "head.place").where(
-        "leader <> doc and 5 * least(n, size) >= 4 * greatest(n, size) and 9 * (1 + least(n - 1 - pos, size - 1 - place)) >= 4 * (n + size)"
+    leaders = ranked.where("short").groupBy("token", "block").agg(first.alias("head"))
+    star = ranked.join(leaders, ["token", "block"]).select("doc", "n", "pos", "spare", "head.*").toDF("doc", "n", "pos", "spare", "best", "leader", "size", "place").where(
+        "(best < spare or best = spare and leader < doc) and 5 * least(n, size) >= 4 * greatest(n, size) and 9 * (1 + least(n - 1 - pos, size - 1 - place)) >= 4 * (n + size)"
     )
-    star = star.groupBy("doc", "leader").agg(F.count("*").alias("met"))
-    star = star.groupBy("doc").agg(F.max(F.struct("met", (-F.col("leader")).alias("less"))).alias("best"))
-    star = materialise(star.select(F.col("doc").alias("b"), (-F.col("best.less")).alias("a")), "stars")
-    chosen = materialise(_ends(star), "chosen")
-    sets = materialise(_whole_sets(sources.join(_small(chosen), "doc_id", "left_semi"), arrays), "wholes")
-    starred = materialise(overlaps(star, sets).where(LINKED), "starred")
-    return rows, sources, live, chosen, sets, starred
+    star = star.groupBy("doc", "leader").agg((-F.count("*")).alias("less")).groupBy("doc").agg(F.min(F.struct("less", "leader")).alias("best"))
+    star = materialise(star.select(F.col("doc").alias("b"), F.col("best.leader").alias("a")), "stars")
+    while True:
+        above = star.select(F.col("b").alias("a"), F.col("a").alias("top"))
+        moved = materialise(star.join(above, "a", "left").select("b", F.coalesce("top", "a").alias("a"), F.col("top").isNotNull().alias("moved")), "stars")
+        discard(star)
+        star = moved
+        if star.where("moved").isEmpty():
+            return star.select("b", "a")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     """The distinct ids in pairs (a, b)."""
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "doc_id")
 
 
-def _meetings(lists: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) of different components whose sizes and positions allow a link."""
-    x = lists.select("token", "block", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    y = lists.where("short").select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), "block")
+def _meetings(placed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of roots of families that meet in lists where sizes and positions allow a link."""
+    rest = F.max(F.col("n") - 1 - F.col("pos")).alias("rest")
+    entries = lambda some: some.groupBy("token", "block", "head").agg(F.min("n").alias("low"), F.max("n").alias("high"), rest)
+    named = lambda frame, k: frame.select("token", "block", *(F.col(x).alias(f"{x}_{k}") for x in ("head", "low", "high", "rest")))
+    large, small = named(entries(placed), "x"), named(entries(placed.where("short")), "y")
     # The smaller set stands in the larger one's block or the one below.
-    y = y.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
-    fits = "nb <= na and 5 * nb >= 4 * na and ca <> cb and 9 * (1 + least(na - 1 - pa, nb - 1 - pb)) >= 4 * (na + nb)"
-    return x.join(y, ["token", "block"]).where(fits).select("a", "b", "na", "nb").distinct()
-
-
-def _undecided(lists: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) whose sizes and positions allow a link and that no star decides; na > nb, or na = nb and a < b."""
-    x = lists.select("token", "block", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("leader").alias("p"), F.col("apart").alias("sa"), "size")
-    y = lists.where("short").select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("leader").alias("q"), F.col("apart").alias("sb"), "block")
-    y = y.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
-    fits = "(nb < na or nb = na and a < b) and 5 * nb >= 4 * na and 9 * (1 + least(na - 1 - pa, nb - 1 - pb)) >= 4 * (na + nb)"
-    decided = "coalesce(p = b, false) or coalesce(q = a, false) or coalesce(p = q and sa + sb <= size, false)"
-    return x.join(y, ["token", "block"]).where(f"{fits} and not ({decided})").select("a", "b", "na", "nb").distinct()
-
-
-def _sure(known: DataFrame) -> DataFrame:
-    """(rep, n): with how many other members of its star each member surely links."""
-    steps = known.groupBy("leader", "size", "apart").agg(F.count("*").alias("n"))
-    # A leader has at most |leader| + 1 values of `apart`, however many members there are.
-    at = steps.select("leader", F.col("apart").alias("at"), "n", F.lit(None).cast("bigint").alias("apart"))
-    at = at.unionByName(steps.select("leader", (F.col("size") - F.col("apart")).alias("at"), F.lit(0).cast("bigint").alias("n"), "apart"))
-    reach = at.withColumn("n", F.sum("n").over(Window.partitionBy("leader").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    reach = materialise(reach.where("apart is not null").select("leader", "apart", "n"), "reach")
-    own = F.when(F.col("apart") * 2 <= F.col("size"), 1).otherwise(0)
-    return known.join(_small(reach), ["leader", "apart"]).select(F.col("doc").alias("rep"), (F.col("n") - own).alias("n"))
-
-
-def _led(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """`pairs` with their leaders p and q (x <= y in order; a set without one leads itself) and what the sets know of them."""
-    side = lambda doc, leader: known.select(
-        F.col("doc").alias(doc), F.col("leader").alias(leader), F.col("more").alias(f"more_{doc}"), F.col("fewer").alias(f"fewer_{doc}"), F.col("size").alias(f"size_{leader}")
-    )
-    led = pairs.join(side("a", "p"), "a", "left").join(side("b", "q"), "b", "left")
-    led = led.withColumns({"p": F.coalesce("p", "a"), "q": F.coalesce("q", "b")} | {c: F.coalesce(c, F.lit(0)) for c in ("more_a", "more_b", "fewer_a", "fewer_b")})
-    return materialise(led.withColumns({"x": F.least("p", "q"), "y": F.greatest("p", "q")}), "led")
-
-
-def _answer_all(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, from their leaders' overlap where that decides them."""
-    led = _led(pairs, known)
-    heads = overlaps(led.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
-    heads = materialise(heads.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("both").alias("core")), "heads")
-    of = led.join(heads, ["x", "y"]).withColumns({"least": F.expr("core - fewer_a - fewer_b"), "most": F.expr("core + more_a + more_b")})
-    own = led.where("x = y").withColumns({"least": F.expr("size_p - fewer_a - fewer_b"), "most": F.expr("size_p - greatest(fewer_a, fewer_b) + least(more_a, more_b)")})
-    both = materialise(of.select("a", "b", "na", "nb", "least", "most").unionByName(own.select("a", "b", "na", "nb", "least", "most")).where("9 * most >= 4 * (na + nb)"), "bounds")
-    exact = overlaps(both.where("9 * least < 4 * (na + nb)").select("a", "b"), sets).where(LINKED).select("a", "b")
-    return materialise(both.where("9 * least >= 4 * (na + nb)").select("a", "b").unionByName(exact), "links")
-
-
-def _answer(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among pairs of sets, from their leaders' overlap where that decides them."""
-    led = _led(pairs, known)
-    heads = led.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    heads = materialise(overlaps(heads, sets), "heads")
-    # Where leaders link, so do their components.
-    apart = heads.where(f"not ({LINKED})")
-    of = led.join(apart.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("both").alias("core")), ["x", "y"])
-    sure = of.where("9 * (core - fewer_a - fewer_b) >= 4 * (na + nb)").select("a", "b")
-    open_pairs = of.where("9 * (core - fewer_a - fewer_b) < 4 * (na + nb) and 9 * (core + more_a + more_b) >= 4 * (na + nb) and not (p = a and q = b)")
-    exact = overlaps(open_pairs.select("a", "b"), sets).where(LINKED).select("a", "b")
-    return materialise(heads.where(LINKED).select("a", "b").unionByName(sure).unionByName(exact), "links")
+    fits = "head_x <> head_y and high_x >= low_y and 5 * high_y >= 4 * low_x and 9 * (1 + least(rest_x, rest_y)) >= 4 * (low_x + low_y)"
+    pair = lambda small: large.join(small, ["token", "block"]).where(fits).select(F.least("head_x", "head_y").alias("a"), F.greatest("head_x", "head_y").alias("b"))
+    return pair(small).unionByName(pair(small.withColumn("block", F.col("block") + 1))).distinct()
+
+
+def _levelled(members: DataFrame, families: DataFrame) -> DataFrame:
+    """Members and roots (which differ from themselves in nothing) with their level in a family of several units (`large`)."""
+    roots = families.select("leader", F.col("leader").alias("doc"), "size", F.lit(0).cast("bigint").alias("apart"), F.lit(b"").alias("lost"), F.lit(b"").alias("gained"), F.lit(0).alias("bytes"))
+    large = families.select("leader", ((F.col("sets") >= UNIT) | (F.col("bytes") > 8 * DIFFERENCES)).alias("large"))
+    level = F.when(F.col("large"), F.least(F.floor(LEVELS * F.col("apart") / F.col("size")), F.lit(LEVELS))).otherwise(0).cast("int")
+    return members.select(*roots.columns).unionByName(roots).join(large, "leader").withColumn("level", level)
+
+
+def _units(members: DataFrame, families: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, level, part, large, root, docs, aparts, lost, gained): the families' sets in units, and those without a family in `pairs` as units of their own."""
+    every = _levelled(members, families)
+    sizes = every.where("large").groupBy("leader", "level").agg(F.count("*").alias("n"), F.sum("bytes").alias("all"))
+    sizes = sizes.select("leader", "level", F.greatest(F.ceil(F.col("n") * 2 / UNIT), F.ceil(F.col("all") * 2 / (8 * DIFFERENCES))).alias("split"))
+    part = F.coalesce(F.pmod(F.xxhash64("doc"), F.greatest("split", F.lit(1))), F.lit(0)).cast("int")
+    dealt = every.join(sizes, ["leader", "level"], "left").withColumn("part", part)
+    packed = dealt.groupBy("leader", "level", "part", "large").agg(F.collect_list(F.struct("doc", "apart", "lost", "gained")).alias("x"))
+    fields = [F.col(f"x.{c}").alias(f"{c}s") for c in ("doc", "apart", "lost", "gained")]
+    single = _ends(pairs).withColumnRenamed("doc_id", "leader").join(families, "leader", "left_anti")
+    single = single.select("leader", F.lit(0).alias("level"), F.lit(0).alias("part"), F.lit(False).alias("large"), F.expr("array(named_struct('doc', leader, 'apart', 0L, 'lost', X'', 'gained', X''))").alias("x"))
+    root = sets.select(F.col("doc").alias("leader"), F.col("hashes").alias("root"))
+    return materialise(packed.unionByName(single).join(root, "leader").select("leader", "level", "part", "large", "root", *fields), "units")
+
+
+def _sure(members: DataFrame, families: DataFrame) -> DataFrame:
+    """(rep, n): links of sets of large families with sets of levels that ensure a link."""
+    every = _levelled(members, families).where("large").select("leader", "level", "doc")
+    sizes = every.groupBy("leader", "level").agg(F.count("*").alias("n"))
+    other = sizes.select("leader", F.col("level").alias("other"), "n")
+    reach = sizes.drop("n").join(other, "leader").where(f"level + other + 2 <= {LEVELS}").groupBy("leader", "level").agg(F.sum("n").alias("n"))
+    own = F.when(F.col("level") * 2 + 2 <= LEVELS, 1).otherwise(0)
+    return every.join(reach, ["leader", "level"]).select(F.col("doc").alias("rep"), (F.col("n") - own).alias("n"))
+
+
+def _compared(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """For pairs (a, b) of families' roots (a = b: within the family): the sets' numbers of links (a, null, n), and links (a, b, 1) that connect what links.
+
+    Pairs of levels that ensure a link are left out.
+    """
+    keys = lambda x: units.select(F.col("leader").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("level", "part", "large")))
+    met = pairs.join(keys("a"), "a").join(keys("b"), "b")
+    met = met.where(f"a <> b or (level_a < level_b or level_a = level_b and part_a <= part_b) and not (large_a and level_a + level_b + 2 <= {LEVELS})").drop("large_a", "large_b")
+    met = materialise(met.withColumn("same", F.expr("a = b and level_a = level_b and part_a = part_b")), "meet")
+    fields = ("root", "docs", "aparts", "losts", "gaineds")
+    side = lambda x: units.select(F.col("leader").alias(x), F.col("level").alias(f"level_{x}"), F.col("part").alias(f"part_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in fields))
+    # By unit and not by family, so that the units of a large family go to many tasks.
+    met = met.join(side("a"), ["a", "level_a", "part_a"]).join(side("b"), ["b", "level_b", "part_b"])
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                x, y = (_Unit(row, k) for k in "ab")
+                linked = x.links(y)
+                if row["same"]:
+                    np.fill_diagonal(linked, False)
+                ids = list(zip(x.docs, linked.sum(axis=1).tolist(), strict=True))
+                ids += [] if row["same"] else zip(y.docs, linked.sum(axis=0).tolist(), strict=True)
+                ids = [(doc, n) for doc, n in ids if n]
+                joins = _joins(x, y, linked, row["a"] == row["b"], row["same"])
+                yield {"a": [i for i, _ in ids] + [i for i, _ in joins], "b": [None] * len(ids) + [j for _, j in joins], "n": [n for _, n in ids] + [1] * len(joins)}
+
+    columns = [f"{c}_{x}" for x in "ab" for c in fields]
+    return map_batches(met.select("a", "b", "same", *columns), work, f"a {kind}, b {kind}, n bigint")
+
+
+class _Unit:
+    """The sets of a unit as differences from their root."""
+
+    def __init__(self, row: dict, side: str):
+        self.root, self.docs = _hashes(row[f"root_{side}"]), row[f"docs_{side}"]
+        #: Whether a set links with its root.
+        self.held = np.array(row[f"aparts_{side}"]) <= len(self.root)
+        both = [_hashes(x) for pair in zip(row[f"losts_{side}"], row[f"gaineds_{side}"], strict=True) for x in pair]
+        sizes = np.array([len(x) for x in both], dtype=np.int64)
+        self.tokens = np.concatenate(both)
+        self.rows = np.repeat(np.arange(len(sizes)) // 2, sizes)
+        self.signs = np.repeat(np.where(np.arange(len(sizes)) % 2, 1, -1), sizes)
+        self.sizes = len(self.root) + self.summed(np.ones(len(self.tokens), dtype=bool))
+
+    def summed(self, some: np.ndarray) -> np.ndarray:
+        """The signs of some of the differences added up for each set."""
+        return np.bincount(self.rows[some], self.signs[some], len(self.docs)).astype(np.int64)
+
+    def matrix(self, tokens: np.ndarray) -> np.ndarray:
+        """Signs by set and token (sorted ones)."""
+        out, some = np.zeros((len(self.docs), len(tokens)), dtype=np.float32), _within(self.tokens, tokens)
+        out[self.rows[some], np.searchsorted(tokens, self.tokens[some])] = self.signs[some]
+        return out
+
+    def links(self, other: _Unit) -> np.ndarray:
+        """Which sets link with which of the other unit."""
+        both = int(_within(self.root, other.root).sum()) + self.summed(_within(self.tokens, other.root))[:, None] + other.summed(_within(other.tokens, self.root))
+        shared = np.intersect1d(self.tokens, other.tokens)
+        for at in range(0, len(shared), SPAN):
+            both += np.rint(self.matrix(shared[at : at + SPAN]) @ other.matrix(shared[at : at + SPAN]).T).astype(np.int64)
+        return 9 * both >= 4 * (self.sizes[:, None] + other.sizes)
+
+
+def _joins(x: _Unit, y: _Unit, linked: np.ndarray, family: bool, same: bool) -> list[tuple]:
+    """Links that connect the sets of two units as `linked` does, where those that link with their root are connected already."""
+    n, m = linked.shape
+    docs = x.docs if same else [*x.docs, *y.docs]
+    held = x.held if same else np.concatenate([x.held, y.held])
+    labels = np.arange(len(docs))
+    sides = [slice(0, len(docs))] if family else [slice(0, n), slice(n, n + m)]
+    for side in sides:
+        mine = np.flatnonzero(held[side]) + side.start
+        labels[mine] = mine[:1]
+    first, lx, ly = labels.copy(), labels[:n], labels if same else labels[n:]
+    i, j = np.nonzero(linked)
+    before = None
+    while before is None or (before != labels).any():
+        before = labels.copy()
+        np.minimum.at(ly, j, lx[i])
+        np.minimum.at(lx, i, ly[j])
+        # All that had one label at first keep one.
+        least = np.arange(len(docs))
+        np.minimum.at(least, first, labels)
+        np.minimum(labels, least[first], out=labels)
+    return [(docs[k], docs[labels[k]]) for k in np.flatnonzero((first == np.arange(len(docs))) & (labels != first)).tolist()]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = SKETCH_BITS) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tallyforge.llm import ngram_join
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.ngram_join import drop_near_copies, link_counts, near_duplicates
 
@@ -65,9 +66,10 @@ def test_equals_all_pairs(spark, seed):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_counts_all_links(spark, seed):
-    """Every link between different sets counts, those within one star too."""
+@pytest.mark.parametrize(("seed", "unit"), [(0, 512), (1, 6), (2, 20)])
+def test_counts_all_links(spark, monkeypatch, seed, unit):
+    """Every link between different sets counts, those within one family too, in one unit or several."""
+    monkeypatch.setattr(ngram_join, "UNIT", unit)
     rng, rows = random.Random(seed), corpus(seed)
     base = [f"b{i}" for i in range(150)]
     for i in range(40):
@@ -85,6 +87,17 @@ def test_counts_all_links(spark, seed):
     assert max(want.values()) > 20
 
 
+def test_string_ids_and_shuffled_halves(spark, monkeypatch):
+    """Ids of any ordered type; the ways for large tables (no broadcast ids, no halves in tasks) give the same."""
+    monkeypatch.setattr(ngram_join, "MOST_HALVES", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
+    rows = [(f"{i:05d}", t) for i, t in corpus(7)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id string, text string, token string")
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, bits=14).collect()} == brute(rows)
+    kept = drop_near_copies(docs, bits=14)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, _, c in brute(rows)}
+
+
 def test_nulls_repeats_and_long_text(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     rows = [(5, long), (6, long + " end"), (5, long), (None, long), (None, "alone and only here"), (None, None), (9, ""), (8, "x y")]
