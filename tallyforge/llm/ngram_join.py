@@ -54,6 +54,8 @@ MOST_LONG = 2_000_000
 #: Up to so many halves of repeated shingles (32 MB) go to all tasks; more are met by shuffling.
 MOST_HALVES = 8_000_000
 CHUNK = 1 << 14
+#: Halves are counted in 2**RANGE_BITS ranges; so many are held at a time.
+RANGE_BITS, RANGE_ROOM = 9, 1 << 20
 #: Estimated bytes of an id list that is broadcast; larger ones are joined by shuffling.
 BROADCAST_BYTES = 64 << 20
 #: Bytes that a broadcast hash table takes for a column of a row, about, besides a string's own.
@@ -149,6 +151,68 @@ def prefixes(docs: DataFrame, levels: np.ndarray, long: np.ndarray | None = None
     return map_batches(docs, work, f"doc {kind}, n bigint, prefix array<bigint>")
 
 
+def repeated_halves(heads: DataFrame) -> DataFrame:
+    """(half, count): the 32-bit halves that more than one of the prefixes' shingles have.
+
+    Halves move as bytes by ranges of them; a range is counted in an array of a fixed size, whatever the input.
+    """
+    width = 1 << (31 - RANGE_BITS)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held, size = [], 0
+
+        def out() -> dict:
+            halves = np.sort(np.concatenate(held))
+            cuts = np.searchsorted(halves, np.arange(1, 1 << RANGE_BITS) * width)
+            some = [(k, x.tobytes()) for k, x in enumerate(np.split(halves, cuts)) if len(x)]
+            held.clear()
+            return {"range": [k for k, _ in some], "halves": [x for _, x in some]}
+
+        for batch in batches:
+            held.append((batch.column("prefix").flatten().to_numpy() & 0x7FFFFFFF).astype(np.int32))
+            size += len(held[-1])
+            if size > RANGE_ROOM:
+                yield out()
+                size = 0
+        if size:
+            yield out()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        now, held, size, counts = None, [], 0, None
+
+        def add() -> tuple[np.ndarray, np.ndarray]:
+            return np.unique(np.concatenate(held), return_counts=True)
+
+        def out() -> dict:
+            if counts is None:
+                halves, n = add()
+            else:
+                at, n = add()
+                counts[at - now * width] += n
+                halves = np.flatnonzero(counts > 1)
+                halves, n = (halves + now * width).astype(np.int32), counts[halves]
+            return {"half": halves[n > 1], "count": n[n > 1]}
+
+        for batch in batches:
+            for k, raw in zip(batch.column("range").to_pylist(), batch.column("halves").to_pylist(), strict=True):
+                if k != now:
+                    if held:
+                        yield out()
+                    now, held, size, counts = k, [], 0, None
+                held.append(np.frombuffer(raw, dtype=np.int32))
+                size += len(held[-1])
+                if size > RANGE_ROOM:
+                    counts = np.zeros(width, dtype=np.int64) if counts is None else counts
+                    at, n = add()
+                    counts[at - now * width] += n
+                    held, size = [held[-1][:0]], 0
+        if held:
+            yield out()
+
+    ranges = map_batches(heads.select("prefix"), split, "range int, halves binary")
+    return materialise(map_batches(ranges.repartition("range").sortWithinPartitions("range"), count, "half int, count bigint"), "twice")
+
+
 def _long_lists(halves: DataFrame) -> np.ndarray:
     """Halves of the shingles in more than LONG_LIST lists' entries, sorted.
 
@@ -170,7 +234,7 @@ def _sorted_halves(halves: DataFrame) -> np.ndarray:
 
 
 def live_entries(heads: DataFrame, halves: np.ndarray) -> DataFrame:
-    """(doc, n, pos, token) of the prefixes' shingles whose halves are in `halves` (sorted)."""
+    """(doc, n, spare, pos, token) of the prefixes' shingles whose halves are in `halves` (sorted); `spare` is the number of the others."""
     shared = heads.sparkSession.sparkContext.broadcast(halves)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -183,11 +247,12 @@ def live_entries(heads: DataFrame, halves: np.ndarray) -> DataFrame:
             keep = known[np.minimum(np.searchsorted(known, half), len(known) - 1)] == half if len(known) else np.zeros(len(half), dtype=bool)
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            spare = (sizes - np.bincount(row[keep], minlength=len(sizes)))[row[keep]]
             row, at = pa.array(row[keep]), pos[keep].astype(np.int32)
-            yield {"doc": batch.column("doc").take(row), "n": batch.column("n").take(row), "pos": at, "token": tokens[keep]}
+            yield {"doc": batch.column("doc").take(row), "n": batch.column("n").take(row), "spare": spare, "pos": at, "token": tokens[keep]}
 
     kind = heads.schema["doc"].dataType.simpleString()
-    return map_batches(heads, work, f"doc {kind}, n bigint, pos int, token bigint")
+    return map_batches(heads, work, f"doc {kind}, n bigint, spare bigint, pos int, token bigint")
 
 
 def _whole_sets(docs: DataFrame, arrays: Arrays = shingle_arrays) -> DataFrame:
@@ -304,12 +369,10 @@ def _representatives(frame: DataFrame, bits: int, arrays: Arrays) -> tuple[DataF
 
 
 def _lists(sources: DataFrame, levels: np.ndarray, arrays: Arrays) -> DataFrame:
-    """(doc, n, pos, token, block, short): the entries of lists of more than one."""
+    """(doc, n, spare, pos, token, block, short): the entries of lists of more than one; `spare` is the number of a set's prefix's others."""
     # Most shingles stand in one list only. Half of a hash is enough to leave out nearly all of those before any entry moves.
-    half = F.col("token").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    repeated = lambda heads: materialise(heads.select(F.explode("prefix").alias("token")).groupBy(half.alias("half")).count().where("count > 1"), "twice")
     heads = materialise(prefixes(sources, levels, arrays=arrays).where("n > 0"), "prefixes")
-    twice = repeated(heads)
+    twice = repeated_halves(heads)
     work = twice.agg(F.count("*").alias("halves"), F.sum("count").alias("entries"), F.sum(F.when(F.col("count") > LONG_LIST, F.col("count") * F.col("count"))).alias("pairs")).first()
     if (work["pairs"] or 0) > 10 * (work["entries"] or 0):
         # Long lists would cost more than another pass over the texts; which order is used doesn't change the links.
@@ -317,12 +380,15 @@ def _lists(sources: DataFrame, levels: np.ndarray, arrays: Arrays) -> DataFrame:
         discard(heads)
         discard(twice)
         heads = materialise(prefixes(sources, levels, long, arrays).where("n > 0"), "prefixes")
-        twice = repeated(heads)
+        twice = repeated_halves(heads)
         work = twice.agg(F.count("*").alias("halves")).first()
     if work["halves"] <= MOST_HALVES:
         entries = live_entries(heads, _sorted_halves(twice))
     else:
-        entries = heads.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("half", half).join(twice.select("half"), "half", "left_semi").drop("half")
+        entries = heads.select("doc", "n", F.posexplode("prefix").alias("pos", "token"))
+        entries = entries.join(entries.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi")
+        spare = entries.groupBy("doc", "n").agg((F.floor(F.col("n") / 5) + 1 - F.count("*")).alias("spare"))
+        entries = entries.join(spare, ["doc", "n"])
     live = materialise(_blocks(entries).withColumn("short", F.col("pos") <= F.floor(F.col("n") / 9)), "lists")
     discard(heads)
     discard(twice)
@@ -333,9 +399,7 @@ def _stars(live: DataFrame, several: DataFrame) -> DataFrame:
     """(b, a): sets and the roots of the leaders that they follow."""
     # The set with the fewest shingles of its own in its prefix leads: the original of a family of edited copies, if it is there.
     # Leaders come before their followers in order of (spare, id), so following leaders ends.
-    spare = live.groupBy("doc", "n").agg((F.floor(F.col("n") / 5) + 1 - F.count("*")).alias("spare")).groupBy("doc").agg(F.min("spare").alias("spare"))
-    spare = materialise(spare.join(several, "doc", "left_anti"), "spare")
-    ranked = live.join(spare, "doc")
+    ranked = live if several.isEmpty() else live.join(several, "doc", "left_anti")
     first = F.min(F.struct("spare", "doc", F.col("n").alias("size"), F.col("pos").alias("place")))
     leaders = ranked.where("short").groupBy("token", "block").agg(first.alias("head"))
     star = ranked.join(leaders, ["token", "block"]).select("doc", "n", "pos", "spare", "head.*").toDF("doc", "n", "pos", "spare", "best", "leader", "size", "place").where(
