@@ -34,14 +34,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Self-loops and repeated edges do no harm; edges with a null end are left out.
     """
     u, v = edges.columns
-    now = materialise(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges")
+    now = materialise(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "edges", small=True)
     before = None
     for _ in range(MOST_ROUNDS):
         count, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if not count or before == (count, total):
             break
         before = (count, total)
-        now = materialise(_small_star(_large_star(now)), "edges")
+        now = materialise(_small_star(_large_star(now)), "edges", small=True)
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     ends = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

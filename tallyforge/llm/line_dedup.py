@@ -3,16 +3,22 @@
 Lines (split at newlines, A-Z lower-cased, white space runs made one space, ends trimmed) are sets
 of WIDTH-character shingles; a shorter line is one shingle. Each distinct line gets a signature of
 BANDS x ROWS minima, whose bands find candidates: two lines of Jaccard similarity s share a band
-with probability 1 - (1 - s**5)**16, which is over 0.998 from s = 0.8 on. Candidates are
-compared exactly, and lines of similarity 0.8 or more are linked. Of each component of links the
+with probability 1 - (1 - s**5)**16, which is over 0.998 from s = 0.8 on. Lines that share a bucket
+and have a similarity of 0.8 or more are linked, by exact comparison. Of each component of links the
 first line (least doc_id, then place) stays.
 
-Buckets of up to SMALL_BUCKET lines are compared pair by pair. The lines of larger ones go through
-the exact prefix join, with their character shingles, which finds all their links among one
-another without expanding a bucket; so no bucket is cut, and none costs its square.
+No bucket is expanded into its pairs. The line of a bucket that meets the most others leads it; lines
+near their leader are kept as differences from it, and buckets then list families and not lines
+(see `ngram_join.decided`). So a large bucket costs a comparison for each line and what its
+families have to settle among them, and all its pairs are decided.
+
+Bands move only where their hash recurs: 32-bit halves are counted first. A line that several tasks
+have signed counts once.
 
 Blank lines stay. Null text has no lines. Lines of rows with a null id come after all others.
-Repeated rows are separate documents, so the second one's lines go. Only id and text are read.
+Repeated rows are separate documents, so the second one's lines go. An empty table gives an empty
+result. A very long text is held whole by the task that reads it, a very long line by those that
+compare it. Only id and text are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations
@@ -27,17 +33,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.batches import map_batches, pieces, texts
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.ngram_join import links
+from tallyforge.llm.ngram_join import MOST_HALVES, _small, decided, repeated_halves, rooted, sorted_halves
 from tallyforge.session import materialise, table
 
 WIDTH = 8
 BANDS, ROWS = 16, 5
-#: Buckets of up to this many lines are compared pair by pair.
-SMALL_BUCKET = 16
-#: Counters (2**bits) of the exact join's sketch, for the lines of large buckets only.
-LINE_SKETCH_BITS = 20
-#: Id lists up to this size are broadcast; longer ones are joined by shuffling.
-BROADCAST_IDS = 2_000_000
 #: Lines a task remembers having signed.
 KEPT = 500_000
 BLOCK = 1 << 16
@@ -142,52 +142,59 @@ def _texts_of(frame: DataFrame, chosen: DataFrame) -> DataFrame:
     return lines.join(chosen, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
 
 
-def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines' shingle sets have a Jaccard similarity of 0.8 or more."""
+def line_arrays(lines: list[bytes]) -> list[np.ndarray]:
+    """Shingle hashes of lines in their compared form, as the exact join takes them."""
+    return [np.sort(shingles(x.decode("utf-8", "surrogatepass")).view(np.int64)) for x in lines]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in pieces(batches, "la"):
-            keep = []
-            for x, y in zip(texts(batch, "la"), texts(batch, "lb"), strict=True):
-                x, y = shingles(x), shingles(y)
-                fits = 10 * min(len(x), len(y)) >= 8 * max(len(x), len(y))
-                keep.append(fits and 10 * (both := len(np.intersect1d(x, y, assume_unique=True))) >= 8 * (len(x) + len(y) - both))
-            yield {"a": batch.column("a").filter(pa.array(keep)), "b": batch.column("b").filter(pa.array(keep))}
 
-    joined = pairs.join(lines.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").join(lines.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
-    return map_batches(joined.select("a", "b", "la", "lb"), work, "a bigint, b bigint")
+def _once(signed: DataFrame) -> DataFrame:
+    """(id, keys) with each id once; only those that several rows have are shuffled."""
+    again = materialise(signed.groupBy("id").count().where("count > 1").select("id"), "again", small=True)
+    again = _small(again)
+    return signed.join(again, "id", "left_anti").unionByName(signed.join(again, "id", "left_semi").dropDuplicates(["id"]))
 
 
-def line_arrays(lines: list[bytes]) -> list[np.ndarray]:
-    """Shingle hashes of lines in their compared form, as the exact join takes them."""
-    return [np.sort(shingles(x.decode("utf-8", "surrogatepass")).view(np.int64)) for x in lines]
+def _entries(signed: DataFrame) -> DataFrame:
+    """(id, key, n): the bands of buckets with several lines, n of them."""
+    halves = repeated_halves(signed, "keys")
+    if halves.count() <= MOST_HALVES:
+        shared = signed.sparkSession.sparkContext.broadcast(sorted_halves(halves))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            known = shared.value
+            for batch in batches:
+                keys = batch.column("keys").flatten().to_numpy()
+                half = (keys & 0x7FFFFFFF).astype(np.int32)
+                keep = known[np.minimum(np.searchsorted(known, half), len(known) - 1)] == half if len(known) else np.zeros(len(half), dtype=bool)
+                yield {"id": np.repeat(batch.column("id").to_numpy(), BANDS)[keep], "key": keys[keep]}
+
+        entries = map_batches(signed.select("id", "keys"), work, "id bigint, key bigint")
+    else:
+        entries = signed.select("id", F.explode("keys").alias("key"))
+    entries = materialise(entries, "bands")
+    sizes = materialise(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes", small=True)
+    return materialise(entries.join(_small(sizes), "key"), "buckets")
 
 
 def line_links(frame: DataFrame, signed: DataFrame) -> DataFrame:
-    """Links (a, b) between similar lines, enough of them to connect every component.
-
-    Lines that share a bucket of up to SMALL_BUCKET lines are compared with one another. Larger
-    buckets would cost the square of their size (lines that share a common passage meet in them),
-    so their lines go through the exact join, which orders shingles by rarity.
-    """
-    keys = signed.select("id", F.explode("keys").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    buckets = materialise(buckets.select("key", (F.col("n") <= SMALL_BUCKET).alias("small")), "shared")
-    buckets = F.broadcast(buckets) if buckets.count() <= BROADCAST_IDS else buckets
-    entries = materialise(keys.join(buckets, "key").distinct(), "buckets")
-    one, other = entries.where("small").select("key", F.col("id").alias("a")), entries.where("small").select("key", F.col("id").alias("b"))
-    pairs = materialise(one.join(other, "key").where("a < b").select("a", "b").distinct(), "pairs")
-    large = entries.where("not small").select("id").distinct()
-    chosen = materialise(_ends(pairs).unionByName(large).distinct(), "chosen")
-    lines = materialise(_texts_of(frame, F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen), "texts")
-    found = similar(pairs, lines)
-    rows, more = links(lines.join(large, "id", "left_semi"), "id", "line", LINE_SKETCH_BITS, line_arrays)
-    same = rows.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return materialise(found.unionByName(more).unionByName(same), "found")
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    """Links (a, b) between similar lines, enough of them to connect every component."""
+    buckets = _entries(_once(signed))
+    weights = materialise(buckets.groupBy("id").agg((-F.sum("n")).alias("less")), "weights", small=True)
+    ranked = buckets.join(_small(weights), "id")
+    leaders = ranked.groupBy("key").agg(F.min(F.struct("less", "id")).alias("head")).select("key", F.col("head.id").alias("leader"))
+    star = rooted(ranked.join(leaders, "key").where("id <> leader").select(F.col("id").alias("doc"), "leader"))
+    lines = materialise(_texts_of(frame, _small(weights.select("id"))), "texts")
+
+    def meet(members: DataFrame) -> DataFrame:
+        heads = buckets.join(_small(members.withColumnRenamed("doc", "id")), "id", "left").select("key", F.coalesce("leader", "id").alias("head")).distinct()
+        heads = materialise(heads, "heads")
+        one, other = heads.select("key", F.col("head").alias("a")), heads.select("key", F.col("head").alias("b"))
+        return one.join(other, "key").where("a < b").select("a", "b").distinct()
+
+    def wholes(ids: DataFrame) -> DataFrame:
+        return lines.join(_small(ids.withColumnRenamed("doc_id", "id")), "id", "left_semi").select(F.col("id").alias("doc"), F.col("line").cast("binary").alias("hashes"))
+
+    return materialise(decided(star, meet, wholes, line_arrays)[0], "found", small=True)
 
 
 def line_decisions(frame: DataFrame) -> DataFrame:

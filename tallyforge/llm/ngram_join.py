@@ -69,10 +69,15 @@ LEVELS = 8
 SPAN = 4_096
 
 
-#: Makes sorted distinct 64-bit hashes of each UTF-8 text.
+#: Makes sorted distinct 64-bit hashes of each UTF-8 text, or of each set as it is stored.
 Arrays = Callable[[list[bytes]], list[np.ndarray]]
 
 
+def stored_arrays(raw: list[bytes]) -> list[np.ndarray]:
+    """Sets that are stored as their hashes' bytes."""
+    return [np.frombuffer(x, dtype=np.int64) for x in raw]
+
+
 def _small(ids: DataFrame) -> DataFrame:
     """`ids` (written before), marked for broadcast if its estimated bytes are within BROADCAST_BYTES."""
     wide = [F.coalesce(F.length(x.name), F.lit(0)) for x in ids.schema if x.dataType.simpleString() == "string"]
@@ -151,8 +156,8 @@ def prefixes(docs: DataFrame, levels: np.ndarray, long: np.ndarray | None = None
     return map_batches(docs, work, f"doc {kind}, n bigint, prefix array<bigint>")
 
 
-def repeated_halves(heads: DataFrame) -> DataFrame:
-    """(half, count): the 32-bit halves that more than one of the prefixes' shingles have.
+def repeated_halves(heads: DataFrame, column: str = "prefix") -> DataFrame:
+    """(half, count): the 32-bit halves that more than one of the lists' hashes have.
 
     Halves move as bytes by ranges of them; a range is counted in an array of a fixed size, whatever the input.
     """
@@ -169,7 +174,7 @@ def repeated_halves(heads: DataFrame) -> DataFrame:
             return {"range": [k for k, _ in some], "halves": [x for _, x in some]}
 
         for batch in batches:
-            held.append((batch.column("prefix").flatten().to_numpy() & 0x7FFFFFFF).astype(np.int32))
+            held.append((batch.column(column).flatten().to_numpy() & 0x7FFFFFFF).astype(np.int32))
             size += len(held[-1])
             if size > RANGE_ROOM:
                 yield out()
@@ -209,7 +214,7 @@ def repeated_halves(heads: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    ranges = map_batches(heads.select("prefix"), split, "range int, halves binary")
+    ranges = map_batches(heads.select(column), split, "range int, halves binary")
     return materialise(map_batches(ranges.repartition("range").sortWithinPartitions("range"), count, "half int, count bigint"), "twice")
 
 
@@ -225,10 +230,10 @@ def _long_lists(halves: DataFrame) -> np.ndarray:
         if kept <= MOST_LONG:
             break
         limit, kept = 2 ** (row["power"] + 1) - 1, kept - row["n"]
-    return _sorted_halves(halves.where(F.col("count") > limit))
+    return sorted_halves(halves.where(F.col("count") > limit))
 
 
-def _sorted_halves(halves: DataFrame) -> np.ndarray:
+def sorted_halves(halves: DataFrame) -> np.ndarray:
     """The halves as a sorted array; their number is bounded by the caller."""
     return np.sort(halves.select("half").toArrow().column("half").to_numpy().astype(np.int32))
 
@@ -265,24 +270,21 @@ def _whole_sets(docs: DataFrame, arrays: Arrays = shingle_arrays) -> DataFrame:
     return map_batches(docs, work, f"doc {docs.schema['doc_id'].dataType.simpleString()}, hashes binary")
 
 
-def _hashes(raw: bytes | None) -> np.ndarray:
-    return np.frombuffer(raw or b"", dtype=np.int64)
-
-
 def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which of x are in y (sorted)."""
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), dtype=bool)
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
-    """(a, b, na, nb, both): sizes and intersections of pairs of sets; `differences` adds the sorted shingles `lost` (in a alone) and `gained` (in b alone) as bytes."""
+def overlaps(pairs: DataFrame, sets: DataFrame, decode: Arrays = stored_arrays, differences: bool = False) -> DataFrame:
+    """(a, b, na, nb, both): sizes and intersections of pairs of sets; `differences` adds the sorted shingles `lost` (in a alone) and `gained` (in b alone) as bytes.
+
+    `sets` has (doc, hashes), which `decode` makes sets of.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in pieces(batches, "ha"):
-            # Arrow hands the buffers over as they are; a set's hashes are sorted and distinct.
             out: dict[str, list] = {x: [] for x in ("na", "nb", "both", "lost", "gained")}
-            for x, y in zip(texts(batch, "ha"), texts(batch, "hb"), strict=True):
-                x, y = _hashes(x), _hashes(y)
+            for x, y in zip(decode(texts(batch, "ha")), decode(texts(batch, "hb")), strict=True):
                 same = _within(x, y)
                 for name, value in zip(out, (len(x), len(y), int(same.sum()), None, None), strict=True):
                     out[name].append(value)
@@ -293,7 +295,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> Da
     kind = pairs.schema["a"].dataType.simpleString()
     side = lambda x: sets.select(F.col("doc").alias(x), F.col("hashes").alias(f"h{x}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb")
-    return map_batches(joined, work, f"a {kind}, b {kind}, na bigint, nb bigint, both bigint, lost binary, gained binary")
+    found = map_batches(joined, work, f"a {kind}, b {kind}, na bigint, nb bigint, both bigint, lost binary, gained binary")
+    return found if differences else found.drop("lost", "gained")
 
 
 #: 100 * both >= 80 * (na + nb - both)
@@ -327,31 +330,54 @@ def _answers(docs: DataFrame, id_col: str, text_col: str, bits: int, arrays: Arr
     rows, levels, sources, several = _representatives(frame, bits, arrays)
     live = _lists(sources, levels, arrays)
     star = _stars(live, several)
-    chosen = materialise(_ends(star), "chosen")
-    sets = materialise(_whole_sets(sources.join(_small(chosen), "doc_id", "left_semi"), arrays), "wholes")
-    # Ids with several texts lead and follow nobody, so a pair has one row.
-    members = materialise(overlaps(star, sets, True).where(OF_FAMILY).selectExpr(
-        "a as leader", "b as doc", "na as size", "5 * (na - both) + 4 * (nb - both) as apart", "4 * (na - both) + 5 * (nb - both) as gain", "lost", "gained", "octet_length(lost) + octet_length(gained) as bytes"
-    ), "members")
+
+    def meet(members: DataFrame) -> DataFrame:
+        return _meetings(live.join(_small(members), "doc", "left").withColumn("head", F.coalesce("leader", "doc")))
+
+    def wholes(ids: DataFrame) -> DataFrame:
+        return _whole_sets(sources.join(_small(ids), "doc_id", "left_semi"), arrays)
+
+    return rows, *decided(star, meet, wholes, count=count)
+
+
+def decided(star: DataFrame, meet: Callable[[DataFrame], DataFrame], wholes: Callable[[DataFrame], DataFrame], decode: Arrays = stored_arrays, count: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect all sets that link, and (rep, n_links) of sets with links (all pairs are decided if `count`).
+
+    `star` has sets b and the roots a that they follow (no root follows another); `meet` gives the
+    distinct pairs (a, b), a < b, of families' roots (or sets without a family) that may hold links, from
+    the families' (doc, leader); `wholes` the (doc, hashes) of ids (doc_id), which `decode` makes sets of.
+    """
+    chosen = materialise(_ends(star), "chosen", small=True)
+    sets = materialise(wholes(chosen), "wholes")
+    members = overlaps(star, sets, decode).where(OF_FAMILY)
+    members = materialise(members.selectExpr("a as leader", "b as doc", "na as size", "5 * (na - both) + 4 * (nb - both) as apart", "4 * (na - both) + 5 * (nb - both) as gain"), "members")
     edges = members.where("apart <= size").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-    meetings = materialise(_meetings(live.join(_small(members.select("doc", "leader")), "doc", "left").withColumn("head", F.coalesce("leader", "doc"))), "meetings")
-    discard(live)
-    families = materialise(members.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("bytes").alias("bytes"), F.max("gain").alias("gain"), F.max("apart").alias("apart"), F.first("size").alias("size")), "families")
-    others = materialise(_ends(meetings).join(chosen, "doc_id", "left_anti"), "others")
-    sets = sets.unionByName(materialise(_whole_sets(sources.join(_small(others), "doc_id", "left_semi"), arrays), "wholes"))
+    meetings = materialise(meet(members.select("doc", "leader")), "meetings", small=True)
+    families = materialise(members.groupBy("leader").agg(F.count("*").alias("sets"), F.max("gain").alias("gain"), F.max("apart").alias("apart"), F.first("size").alias("size")), "families", small=True)
+    others = materialise(_ends(meetings).join(chosen, "doc_id", "left_anti"), "others", small=True)
+    if not others.isEmpty():
+        sets = sets.unionByName(materialise(wholes(others), "wholes"))
     # The roots' answers; what their families may add to them decides whether the members meet.
     gain = lambda x: families.select(F.col("leader").alias(x), F.col("gain").alias(f"gain_{x}"))
-    met = overlaps(meetings, sets).drop("lost", "gained").join(gain("a"), "a", "left").join(gain("b"), "b", "left")
+    met = overlaps(meetings, sets, decode).join(gain("a"), "a", "left").join(gain("b"), "b", "left")
     met = materialise(met.where("9 * both + coalesce(gain_a, 0) + coalesce(gain_b, 0) >= 4 * (na + nb)"), "roots")
     alone = met.where("gain_a is null and gain_b is null").select("a", "b").distinct()
     near = met.where("gain_a is not null or gain_b is not null").select("a", "b").distinct()
-    # To connect components, members that link with their root needn't be compared with one another.
-    own = families.where(F.lit(count) | (F.col("apart") > F.col("size"))).select(F.col("leader").alias("a"), F.col("leader").alias("b"))
-    compared = materialise(_compared(near.unionByName(own), _units(members, families, near, sets)), "compared")
+    # A root and its only other member are decided; to connect components, so are members that link with their root.
+    own = families.where(F.col("sets") > 1) if count else families.where("sets > 1 and apart > size")
+    pairs = near.unionByName(own.select(F.col("leader").alias("a"), F.col("leader").alias("b")))
+    wanted = members.join(_ends(pairs).withColumnRenamed("doc_id", "leader"), "leader", "left_semi").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    differing = overlaps(wanted, sets, decode, True).selectExpr(
+        "a as leader", "b as doc", "na as size", "5 * (na - both) + 4 * (nb - both) as apart", "lost", "gained", "octet_length(lost) + octet_length(gained) as bytes"
+    )
+    differing = materialise(differing, "differences")
+    compared = materialise(_compared(pairs, _units(differing, near, sets), decode), "compared")
+    ends = lambda links: links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("bigint").alias("n"))
+    two = members.join(families.where("sets = 1").select("leader"), "leader", "left_semi").where("apart <= size")
+    counts = compared.where("b is null").select(F.col("a").alias("rep"), "n").unionByName(_sure(differing)).unionByName(ends(alone))
+    counts = counts.unionByName(ends(two.select(F.col("leader").alias("a"), F.col("doc").alias("b"))))
     edges = edges.unionByName(alone).unionByName(compared.where("b is not null").select("a", "b"))
-    counts = compared.where("b is null").select(F.col("a").alias("rep"), "n").unionByName(_sure(members, families))
-    counts = counts.unionByName(alone.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("bigint").alias("n")))
-    return rows, edges, counts.groupBy("rep").agg(F.sum("n").alias("n_links")).where("n_links > 0")
+    return edges, counts.groupBy("rep").agg(F.sum("n").alias("n_links")).where("n_links > 0")
 
 
 def _representatives(frame: DataFrame, bits: int, arrays: Arrays) -> tuple[DataFrame, np.ndarray, DataFrame, DataFrame]:
@@ -361,11 +387,11 @@ def _representatives(frame: DataFrame, bits: int, arrays: Arrays) -> tuple[DataF
     rows = materialise(counted.join(groups, "key", "left").select("doc_id", "n_shingles", "rep"), "rows")
     discard(counted)
     several = groups.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("doc"))
-    copies = materialise(rows.where("doc_id <> rep or n_shingles = 0").select("doc_id").distinct(), "copies")
-    own = materialise(rows.where("doc_id = rep").select("doc_id").distinct().join(copies, "doc_id", "left_semi"), "own")
-    copies = copies if own.isEmpty() else materialise(copies.join(own, "doc_id", "left_anti"), "copies")
+    copies = materialise(rows.where("doc_id <> rep or n_shingles = 0").select("doc_id").distinct(), "copies", small=True)
+    own = materialise(rows.where("doc_id = rep").select("doc_id").distinct().join(copies, "doc_id", "left_semi"), "own", small=True)
+    copies = copies if own.isEmpty() else materialise(copies.join(own, "doc_id", "left_anti"), "copies", small=True)
     sources = frame.where("doc_id is not null").join(_small(copies), "doc_id", "left_anti")
-    return rows, levels, sources, materialise(several, "several")
+    return rows, levels, sources, materialise(several, "several", small=True)
 
 
 def _lists(sources: DataFrame, levels: np.ndarray, arrays: Arrays) -> DataFrame:
@@ -383,7 +409,7 @@ def _lists(sources: DataFrame, levels: np.ndarray, arrays: Arrays) -> DataFrame:
         twice = repeated_halves(heads)
         work = twice.agg(F.count("*").alias("halves")).first()
     if work["halves"] <= MOST_HALVES:
-        entries = live_entries(heads, _sorted_halves(twice))
+        entries = live_entries(heads, sorted_halves(twice))
     else:
         entries = heads.select("doc", "n", F.posexplode("prefix").alias("pos", "token"))
         entries = entries.join(entries.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi")
@@ -405,11 +431,19 @@ def _stars(live: DataFrame, several: DataFrame) -> DataFrame:
     star = ranked.join(leaders, ["token", "block"]).select("doc", "n", "pos", "spare", "head.*").toDF("doc", "n", "pos", "spare", "best", "leader", "size", "place").where(
         "(best < spare or best = spare and leader < doc) and 5 * least(n, size) >= 4 * greatest(n, size) and 9 * (1 + least(n - 1 - pos, size - 1 - place)) >= 4 * (n + size)"
     )
+    return rooted(star)
+
+
+def rooted(star: DataFrame) -> DataFrame:
+    """(b, a): of (doc, leader) rows, each doc with the last leader (a) of the chain from the leader that it has the most rows with.
+
+    Leaders come before their docs in some order.
+    """
     star = star.groupBy("doc", "leader").agg((-F.count("*")).alias("less")).groupBy("doc").agg(F.min(F.struct("less", "leader")).alias("best"))
-    star = materialise(star.select(F.col("doc").alias("b"), F.col("best.leader").alias("a")), "stars")
+    star = materialise(star.select(F.col("doc").alias("b"), F.col("best.leader").alias("a")), "stars", small=True)
     while True:
         above = star.select(F.col("b").alias("a"), F.col("a").alias("top"))
-        moved = materialise(star.join(above, "a", "left").select("b", F.coalesce("top", "a").alias("a"), F.col("top").isNotNull().alias("moved")), "stars")
+        moved = materialise(star.join(above, "a", "left").select("b", F.coalesce("top", "a").alias("a"), F.col("top").isNotNull().alias("moved")), "stars", small=True)
         discard(star)
         star = moved
         if star.where("moved").isEmpty():
@@ -433,32 +467,32 @@ def _meetings(placed: DataFrame) -> DataFrame:
     return pair(small).unionByName(pair(small.withColumn("block", F.col("block") + 1))).distinct()
 
 
-def _levelled(members: DataFrame, families: DataFrame) -> DataFrame:
+def _levelled(members: DataFrame) -> DataFrame:
     """Members and roots (which differ from themselves in nothing) with their level in a family of several units (`large`)."""
+    families = members.groupBy("leader").agg(F.first("size").alias("size"), ((F.count("*") >= UNIT) | (F.sum("bytes") > 8 * DIFFERENCES)).alias("large"))
     roots = families.select("leader", F.col("leader").alias("doc"), "size", F.lit(0).cast("bigint").alias("apart"), F.lit(b"").alias("lost"), F.lit(b"").alias("gained"), F.lit(0).alias("bytes"))
-    large = families.select("leader", ((F.col("sets") >= UNIT) | (F.col("bytes") > 8 * DIFFERENCES)).alias("large"))
     level = F.when(F.col("large"), F.least(F.floor(LEVELS * F.col("apart") / F.col("size")), F.lit(LEVELS))).otherwise(0).cast("int")
-    return members.select(*roots.columns).unionByName(roots).join(large, "leader").withColumn("level", level)
+    return members.select(*roots.columns).unionByName(roots).join(families.select("leader", "large"), "leader").withColumn("level", level)
 
 
-def _units(members: DataFrame, families: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(leader, level, part, large, root, docs, aparts, lost, gained): the families' sets in units, and those without a family in `pairs` as units of their own."""
-    every = _levelled(members, families)
+def _units(members: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, level, part, large, root, docs, aparts, losts, gaineds): the families' sets in units, and those without a family in `pairs` as units of their own."""
+    every = _levelled(members)
     sizes = every.where("large").groupBy("leader", "level").agg(F.count("*").alias("n"), F.sum("bytes").alias("all"))
     sizes = sizes.select("leader", "level", F.greatest(F.ceil(F.col("n") * 2 / UNIT), F.ceil(F.col("all") * 2 / (8 * DIFFERENCES))).alias("split"))
     part = F.coalesce(F.pmod(F.xxhash64("doc"), F.greatest("split", F.lit(1))), F.lit(0)).cast("int")
     dealt = every.join(sizes, ["leader", "level"], "left").withColumn("part", part)
     packed = dealt.groupBy("leader", "level", "part", "large").agg(F.collect_list(F.struct("doc", "apart", "lost", "gained")).alias("x"))
     fields = [F.col(f"x.{c}").alias(f"{c}s") for c in ("doc", "apart", "lost", "gained")]
-    single = _ends(pairs).withColumnRenamed("doc_id", "leader").join(families, "leader", "left_anti")
+    single = _ends(pairs).withColumnRenamed("doc_id", "leader").join(members.select("leader"), "leader", "left_anti")
     single = single.select("leader", F.lit(0).alias("level"), F.lit(0).alias("part"), F.lit(False).alias("large"), F.expr("array(named_struct('doc', leader, 'apart', 0L, 'lost', X'', 'gained', X''))").alias("x"))
     root = sets.select(F.col("doc").alias("leader"), F.col("hashes").alias("root"))
     return materialise(packed.unionByName(single).join(root, "leader").select("leader", "level", "part", "large", "root", *fields), "units")
 
 
-def _sure(members: DataFrame, families: DataFrame) -> DataFrame:
+def _sure(members: DataFrame) -> DataFrame:
     """(rep, n): links of sets of large families with sets of levels that ensure a link."""
-    every = _levelled(members, families).where("large").select("leader", "level", "doc")
+    every = _levelled(members).where("large").select("leader", "level", "doc")
     sizes = every.groupBy("leader", "level").agg(F.count("*").alias("n"))
     other = sizes.select("leader", F.col("level").alias("other"), "n")
     reach = sizes.drop("n").join(other, "leader").where(f"level + other + 2 <= {LEVELS}").groupBy("leader", "level").agg(F.sum("n").alias("n"))
@@ -466,7 +500,7 @@ def _sure(members: DataFrame, families: DataFrame) -> DataFrame:
     return every.join(reach, ["leader", "level"]).select(F.col("doc").alias("rep"), (F.col("n") - own).alias("n"))
 
 
-def _compared(pairs: DataFrame, units: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, units: DataFrame, decode: Arrays) -> DataFrame:
     """For pairs (a, b) of families' roots (a = b: within the family): the sets' numbers of links (a, null, n), and links (a, b, 1) that connect what links.
 
     Pairs of levels that ensure a link are left out.
@@ -474,7 +508,7 @@ def _compared(pairs: DataFrame, units: DataFrame) -> DataFrame:
     keys = lambda x: units.select(F.col("leader").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("level", "part", "large")))
     met = pairs.join(keys("a"), "a").join(keys("b"), "b")
     met = met.where(f"a <> b or (level_a < level_b or level_a = level_b and part_a <= part_b) and not (large_a and level_a + level_b + 2 <= {LEVELS})").drop("large_a", "large_b")
-    met = materialise(met.withColumn("same", F.expr("a = b and level_a = level_b and part_a = part_b")), "meet")
+    met = materialise(met.withColumn("same", F.expr("a = b and level_a = level_b and part_a = part_b")), "meet", small=True)
     fields = ("root", "docs", "aparts", "losts", "gaineds")
     side = lambda x: units.select(F.col("leader").alias(x), F.col("level").alias(f"level_{x}"), F.col("part").alias(f"part_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in fields))
     # By unit and not by family, so that the units of a large family go to many tasks.
@@ -485,7 +519,7 @@ def _compared(pairs: DataFrame, units: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                x, y = (_Unit(row, k) for k in "ab")
+                x, y = (_Unit(row, k, decode) for k in "ab")
                 linked = x.links(y)
                 if row["same"]:
                     np.fill_diagonal(linked, False)
@@ -502,11 +536,11 @@ def _compared(pairs: DataFrame, units: DataFrame) -> DataFrame:
 class _Unit:
     """The sets of a unit as differences from their root."""
 
-    def __init__(self, row: dict, side: str):
-        self.root, self.docs = _hashes(row[f"root_{side}"]), row[f"docs_{side}"]
+    def __init__(self, row: dict, side: str, decode: Arrays):
+        self.root, self.docs = decode([row[f"root_{side}"]])[0], row[f"docs_{side}"]
         #: Whether a set links with its root.
         self.held = np.array(row[f"aparts_{side}"]) <= len(self.root)
-        both = [_hashes(x) for pair in zip(row[f"losts_{side}"], row[f"gaineds_{side}"], strict=True) for x in pair]
+        both = stored_arrays([x for pair in zip(row[f"losts_{side}"], row[f"gaineds_{side}"], strict=True) for x in pair])
         sizes = np.array([len(x) for x in both], dtype=np.int64)
         self.tokens = np.concatenate(both)
         self.rows = np.repeat(np.arange(len(sizes)) // 2, sizes)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyforge.llm import line_dedup
+from tallyforge.llm import line_dedup, ngram_join
 from tallyforge.llm.line_dedup import WIDTH, band_keys, drop_similar_lines, line_decisions, normal_lines, numbered
 
 
@@ -55,12 +55,13 @@ def corpus(seed):
     return [*zip(rng.sample(range(1000), 100), out), (5000, None), (5001, ""), (None, base[2] + "\n\n" + base[2]), (5002, "Short\nshort\n \nSHORT "), (5002, "Short\nshort\n \nSHORT ")]
 
 
-@pytest.mark.parametrize("bucket", [16, 2])
-def test_equals_all_pairs(spark, bucket, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SMALL_BUCKET", bucket)
-    monkeypatch.setattr(line_dedup, "LINE_SKETCH_BITS", 14)
-    rows = corpus(bucket)
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, row int").coalesce(1)
+@pytest.mark.parametrize(("seed", "unit", "most"), [(16, 512, 8_000_000), (2, 4, 0)])
+def test_equals_all_pairs(spark, seed, unit, most, monkeypatch):
+    """In one unit or several; with recurring halves in tasks, or by shuffling."""
+    monkeypatch.setattr(ngram_join, "UNIT", unit)
+    monkeypatch.setattr(line_dedup, "MOST_HALVES", most)
+    rows = corpus(seed)
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, row int").repartition(3)
     got = line_decisions(numbered(docs)).collect()
     want = brute(rows)
     assert len(got) == len(rows)
