@@ -38,6 +38,8 @@ from tallyforge.session import materialise, table
 
 WIDTH = 8
 BANDS, ROWS = 16, 5
+#: Up to so many ids of lines (32 MB) go to all tasks; more are met by shuffling.
+MOST_IDS = 4_000_000
 #: Lines a task remembers having signed.
 KEPT = 500_000
 BLOCK = 1 << 16
@@ -72,11 +74,6 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return hashes, begin, begin + sizes - WIDTH + 1
 
 
-def shingles(line: str) -> np.ndarray:
-    """Sorted distinct shingle hashes of a line's compared form."""
-    return np.unique(_shingle_hashes([line])[0])
-
-
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) bucket keys."""
     out = np.empty((len(lines), BANDS), dtype=np.int64)
@@ -90,7 +87,11 @@ def band_keys(lines: list[str]) -> np.ndarray:
         short = np.append((hashes >> np.uint64(32)).astype(np.uint32), np.uint32(0xFFFFFFFF))
         places = np.stack([begin, np.minimum(stop, len(short) - 1)], axis=1).ravel()
         # The odd segments lie between lines; the last one's end is the appended value.
-        rows = [np.minimum.reduceat((short ^ turn) * times, places)[::2] for times, turn in zip(_MULTIPLY, _TURN, strict=True)]
+        rows, turned = [], np.empty_like(short)
+        for times, turn in zip(_MULTIPLY, _TURN, strict=True):
+            np.bitwise_xor(short, turn, out=turned)
+            np.multiply(turned, times, out=turned)
+            rows.append(np.minimum.reduceat(turned, places)[::2])
         for band in range(BANDS):
             key = np.full(end - at, np.uint64(band + 1))
             for row in rows[band * ROWS : (band + 1) * ROWS]:
@@ -131,20 +132,41 @@ def signed_lines(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _texts_of(frame: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, line) of the chosen lines."""
+    """(id, line) of the chosen lines (written before)."""
+    few = chosen.count() <= MOST_IDS
+    # Tasks get the ids if they are few, so that only chosen lines leave them.
+    shared = frame.sparkSession.sparkContext.broadcast(np.sort(chosen.toArrow().column("id").to_numpy()) if few else None)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        known = shared.value
         for batch in pieces(batches, "text"):
             new = {line_id(x): x for text in texts(batch) for x in normal_lines(text) if x}
-            yield {"id": list(new), "line": list(new.values())}
+            ids, lines = np.fromiter(new, dtype=np.int64, count=len(new)), list(new.values())
+            if known is not None:
+                some = np.flatnonzero(known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids) if len(known) else []
+                ids, lines = ids[some], [lines[i] for i in some]
+            yield {"id": ids, "line": lines}
 
     lines = map_batches(frame.select("text"), work, "id bigint, line string")
-    return lines.join(chosen, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    lines = lines if few else lines.join(chosen, "id", "left_semi")
+    return lines.groupBy("id").agg(F.first("line").alias("line"))
 
 
 def line_arrays(lines: list[bytes]) -> list[np.ndarray]:
     """Shingle hashes of lines in their compared form, as the exact join takes them."""
-    return [np.sort(shingles(x.decode("utf-8", "surrogatepass")).view(np.int64)) for x in lines]
+    out, at = [], 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (end == at or size + len(lines[end]) <= BLOCK):
+            size += len(lines[end])
+            end += 1
+        hashes, begin, stop = _shingle_hashes([x.decode("utf-8", "surrogatepass") for x in lines[at:end]])
+        hashes = hashes.view(np.int64)
+        for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
+            own = np.sort(hashes[a:b])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        at = end
+    return out
 
 
 def _once(signed: DataFrame) -> DataFrame:
@@ -183,7 +205,7 @@ def line_links(frame: DataFrame, signed: DataFrame) -> DataFrame:
     ranked = buckets.join(_small(weights), "id")
     leaders = ranked.groupBy("key").agg(F.min(F.struct("less", "id")).alias("head")).select("key", F.col("head.id").alias("leader"))
     star = rooted(ranked.join(leaders, "key").where("id <> leader").select(F.col("id").alias("doc"), "leader"))
-    lines = materialise(_texts_of(frame, _small(weights.select("id"))), "texts")
+    lines = materialise(_texts_of(frame, weights.select("id")), "texts")
 
     def meet(members: DataFrame) -> DataFrame:
         heads = buckets.join(_small(members.withColumnRenamed("doc", "id")), "id", "left").select("key", F.coalesce("leader", "id").alias("head")).distinct()

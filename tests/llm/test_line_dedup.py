@@ -60,6 +60,7 @@ def test_equals_all_pairs(spark, seed, unit, most, monkeypatch):
     """In one unit or several; with recurring halves in tasks, or by shuffling."""
     monkeypatch.setattr(ngram_join, "UNIT", unit)
     monkeypatch.setattr(line_dedup, "MOST_HALVES", most)
+    monkeypatch.setattr(line_dedup, "MOST_IDS", most)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, row int").repartition(3)
     got = line_decisions(numbered(docs)).collect()
