@@ -15,7 +15,9 @@ of 16 or more letters and digits, digits among them), iban (right check digits),
 and 6 to 17 digits) and address (house number, capitalised street name, street word).
 
 Offsets are code points, ends exclusive. Null or empty text has no spans. Rows, repeated or not,
-are judged one by one; only the two named columns are read.
+are judged one by one; only the two named columns are read. An empty table gives an empty result. A
+very long text is read whole by the task that has it; parsers walk back over words and not characters
+of a fixed number, so no length hides a span.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ _URL = re.compile(r"[^\s<>\"'|]+")
 _SECRET = re.compile(r"\s?[=:]\s?([\"']?)([A-Za-z0-9_+/=.-]{16,})")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?: (?:number|no\.?|nr\.?))?\s?[:#=]?\s?#?([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
-_HOUSE = re.compile(r"(?<![\w.])[0-9]{1,5}[A-Za-z]? (?:[A-Z][\w.'-]*\s){1,4}\Z")
+_HOUSE, _NAME = re.compile(r"(?<![\w.])[0-9]{1,5}[A-Za-z]?\Z"), re.compile(r"[A-Z][\w.'-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -158,9 +160,21 @@ class Finder:
     def _address(text, at, end, ends, out):
         if text[end : end + 1].isalnum():
             return
-        begin = max(ends["address"], at - 90)
-        if found := _HOUSE.search(text[begin:at]):
-            out.append(("address", begin + found.start(), end))
+        # Back over up to four names, each followed by one white space, to a house number and a space.
+        stop, low = at, ends["address"]
+        for names in range(5):
+            if stop <= low or not text[stop - 1].isspace():
+                return
+            last = begin = stop - 1
+            while begin > low and not text[begin - 1].isspace():
+                begin -= 1
+            if not _NAME.fullmatch(text, begin, last):
+                break
+            stop = begin
+        else:
+            return
+        if names and text[last] == " " and (found := _HOUSE.search(text, max(begin, last - 6), last)):
+            out.append(("address", found.start(), end))
             ends["address"] = end
 
 

@@ -60,6 +60,9 @@ def test_added_kinds():
     assert {text[a:b] for k, a, b in FINDER.spans(text)} >= {
         "https://a.example/x?y=1", "9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "DE89 3704 0044 0532 0130 00", "12345678", "12 Long Acre Street"
     }
+    long = "(7 " + " ".join("N" + "a" * 60 for _ in range(4)) + " Street)"
+    assert [(k, long[a:b]) for k, a, b in FINDER.spans(long)] == [("address", long[1:-1])]
+    assert FINDER.spans("a123456 Long Acre Street, x.12 Long Street, 12  Long Street, Long Street") == []
     assert FINDER.spans("the token of the road was an account, street by street") == []
 
 
