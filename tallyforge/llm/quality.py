@@ -1,15 +1,18 @@
 """Quality classifier: naive Bayes support vectors.
 
-Indicators of word unigrams, of unigrams, bigrams and trigrams of word shapes, and of a word
-standing two or three times in a row are hashed to 2**BITS columns. Each is scaled by its class log-count ratio, rows are brought to unit length,
-and a linear hinge-loss model is fitted by dual coordinate descent. Decision values of held-out
-halves of the training rows calibrate the score (Platt's method).
+Indicators of unigrams, bigrams and trigrams of words and of word shapes are hashed to 2**BITS
+columns; a chunk of over LONG characters without white space also has indicators of the
+overlapping windows that cover it. Each is scaled by its class log-count ratio, rows are
+brought to unit length, and a linear hinge-loss model is fitted by dual coordinate descent. Decision
+values of held-out halves of the training rows calibrate the score (Platt's method).
 
 Training reads a sample of at most about `max_labelled` labelled rows, chosen by a hash of the id
 (a documented bound: it keeps the fit on the driver small at any size); scoring reads every row.
 A document's labels are averaged and count as 1 from 0.5 on; rows with null labels are left out.
 Without rows of both classes the score is the labelled rows' share of class 1 (0.5 without any).
-Null and empty texts have the bias feature only. Repeated rows get equal scores.
+Null and empty texts have the bias feature only. Repeated rows get equal scores; an empty table gives
+an empty result; a very long text is read whole by the task that has it. Of documents only id and text
+are read, of labels id and quality, so other columns' names don't matter.
 """
 
 from __future__ import annotations
@@ -27,64 +30,57 @@ from pyspark.sql import functions as F
 from tallyforge.llm.batches import id_and_text, map_batches, pieces, texts
 from tallyforge.session import table
 
-BITS = 18
+BITS = 20
 MAX_LABELLED = 12_000
 THRESHOLD = 0.7
-#: Chunks whose features are kept at a time.
+#: Chunks whose hashes are kept at a time.
 KEPT = 200_000
+#: Characters of a chunk that windows of WINDOW characters, STEP apart, don't have to cover.
+LONG, WINDOW, STEP = 64, 16, 8
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\d+")
+_PRIME, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
+
+
+def _crc(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def _grams(codes: np.ndarray, kind: int) -> list[np.ndarray]:
+    """Hashes of the runs of one, two and three codes."""
+    out = []
+    for size in (1, 2, 3):
+        found = np.full(max(0, len(codes) - size + 1), 4 * kind + size, dtype=np.uint64)
+        for k in range(size):
+            found = (found ^ codes[k : len(codes) - size + 1 + k]) * _PRIME if len(found) else found
+            found ^= found >> _TURN
+        out.append(found)
+    return out
 
 
 class Extractor:
     """Hashed indicator columns of texts; column 0 is the bias."""
 
     def __init__(self, bits: int = BITS):
-        self.mask = (1 << bits) - 1
+        self.mask = np.uint64((1 << bits) - 1)
         self.words: dict[str, tuple[int, int]] = {}
-        self.shapes: dict[str, int] = {}
-        self.grams: dict[int, int] = {}
-
-    def _column(self, name: str) -> int:
-        return (zlib.crc32(name.encode("utf-8", "surrogatepass")) & self.mask) or 1
 
     def _word(self, chunk: str) -> tuple[int, int]:
-        shape = _DIGIT.sub("9", _UPPER.sub("A", _LOWER.sub("a", chunk)))[:24]
-        found = self.words[chunk] = (self._column("w " + chunk[:64]), self.shapes.setdefault(shape, len(self.shapes)))
+        """Hashes of a chunk and of its shape."""
+        found = _crc(chunk), _crc(_DIGIT.sub("9", _UPPER.sub("A", _LOWER.sub("a", chunk))))
+        if len(chunk) <= LONG:
+            self.words[chunk] = found
         return found
 
     def columns(self, text: str) -> np.ndarray:
         """Sorted distinct columns of a text."""
-        if len(self.words) > KEPT or len(self.grams) > KEPT:
+        if len(self.words) > KEPT:
             self.words.clear()
-            self.shapes.clear()
-            self.grams.clear()
-        get, make = self.words.get, self._word
-        pairs = [get(x) or make(x) for x in text.split()]
-        columns = {0, *(x[0] for x in pairs)}
-        if pairs:
-            ids = np.array([x[1] for x in pairs], dtype=np.int64)
-            codes = [ids]
-            same = np.array([x[0] for x in pairs])
-            same = same[1:] == same[:-1]
-            if same.any():
-                columns.add(self._column("twice"))
-                if (same[1:] & same[:-1]).any():
-                    columns.add(self._column("thrice"))
-            if len(ids) > 1:
-                codes.append((ids[:-1] + 1) << 20 | ids[1:])
-            if len(ids) > 2:
-                codes.append((ids[:-2] + 1) << 40 | (ids[1:-1] + 1) << 20 | ids[2:])
-            names = None
-            for code in np.unique(np.concatenate(codes)).tolist():
-                at = self.grams.get(code)
-                if at is None:
-                    names = names or list(self.shapes)
-                    parts = [names[code & 0xFFFFF], *(names[(code >> k & 0xFFFFF) - 1] for k in (20, 40) if code >> k)]
-                    at = self.grams[code] = self._column("s " + " ".join(parts))
-                columns.add(at)
-        out = np.fromiter(columns, dtype=np.int32, count=len(columns))
-        out.sort()
-        return out
+        get, make, chunks = self.words.get, self._word, text.split()
+        codes = np.array([get(x) or make(x) for x in chunks], dtype=np.uint64).reshape(-1, 2)
+        windows = [_crc(x[i : i + WINDOW]) for x in chunks if len(x) > LONG for i in range(0, len(x), STEP)]
+        found = np.concatenate([*_grams(codes[:, 0], 1), *_grams(codes[:, 1], 2), *_grams(np.array(windows, dtype=np.uint64), 3)[:1]])
+        columns = np.unique((found >> np.uint64(20)) & self.mask).astype(np.int32)
+        return np.concatenate([np.zeros(1, dtype=np.int32), columns[columns > 0]])
 
 
 @dataclass(frozen=True)

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -14,10 +15,39 @@ def test_extractor_indicators():
     one, two = extract.columns("aa bb aa"), extract.columns("aa bb aa bb aa")
     assert extract.columns("").tolist() == [0] and one[0] == 0
     assert set(one) <= set(two)
-    assert (extract.columns("x y") != extract.columns("x x")).any()
+    assert extract.columns("x y").tolist() != extract.columns("x x").tolist() != extract.columns("x").tolist()
     assert Extractor().columns(BAD).tolist() == extract.columns(BAD).tolist()
 
 
+def test_every_character_counts():
+    """Words beyond any length, and texts without white space, differ by their last character."""
+    extract = Extractor()
+    for size in (40, 63, 70, 10_000):
+        one, two = extract.columns("x" * size + "a"), extract.columns("x" * size + "b")
+        assert one.tolist() != two.tolist()
+    long = "".join(chr(0x4E00 + i * 7 % 5000) for i in range(5_000))
+    one, two = set(extract.columns(long)), set(extract.columns(long[:2_000] + "!" + long[2_001:]))
+    # Windows that the change doesn't touch are shared.
+    assert 0 < len(one - two) < 12 < len(one & two)
+
+
+def test_scores_equal_plain_arithmetic():
+    """An independent scorer from the definition: indicators times ratios over their length, times weights."""
+    extract = Extractor(12)
+    texts = [GOOD + f" w{i}" if i % 2 else BAD + f" w{i}" for i in range(60)]
+    rows, labels = [extract.columns(t) for t in texts], np.arange(60) % 2
+    model = fit(rows, labels, 12)
+    with_column = lambda c, y: sum(1 for r, z in zip(rows, labels) if z == y and c in set(r.tolist()))
+    counts = {c: [with_column(c, y) + 1 for y in (0, 1)] for c in range(1 << 12)}
+    totals = [sum(v[y] for v in counts.values()) for y in (0, 1)]
+    ratio = lambda c: math.log(counts[c][1] / totals[1]) - math.log(counts[c][0] / totals[0]) if c else 1.0
+    for row in rows[:6]:
+        values = [ratio(c) for c in row.tolist()]
+        length = math.sqrt(sum(v * v for v in values))
+        decision = sum(v / length * model.weights[c] for c, v in zip(row.tolist(), values))
+        assert math.isclose(model.score(row), 1 / (1 + math.exp(model.slope * decision + model.offset)), rel_tol=1e-9)
+
+
 def test_dual_solution_meets_its_conditions():
     rng = np.random.default_rng(1)
     rows = [np.sort(rng.choice(40, 6, replace=False)) for _ in range(120)]
