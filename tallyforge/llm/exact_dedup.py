@@ -4,21 +4,24 @@ A Misra-Gries summary (`freqItems`) over the digests names every digest that mor
 fraction `support` of the rows carries, besides some false ones: at most 1 / support names in
 all. A second pass counts these names exactly, with map-side combining, and finds their
 winners; that table has at most 1 / support rows whatever the input, so it is broadcast and
-the copies in hot groups are decided where they are read. Only rows of small groups shuffle.
+the copies in hot groups are decided where they are read. The rest is counted with map-side
+combining too and joined with its counts; only rows of small groups shuffle.
 
 Null text counts as empty text. Of equal rows (same text, same id) one stays. A null id loses
-against any other id. An empty table gives an empty result. Other columns are not read.
+against any other id. An empty table gives an empty result. A very long text is hashed whole where it
+is read. Other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.session import materialise, table
 
 SUPPORT = 0.001
-BROADCAST_ROWS = 500_000
+#: Estimated bytes of copies that are broadcast, and of a row of them besides a string id's own.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 250
 
 
 def digest(text: Column) -> Column:
@@ -46,8 +49,9 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = F.broadcast(found)
     heavy = rows.join(winners, "digest")
     light = rows.join(F.broadcast(found.select("digest")), "digest", "left_anti")
-    group = Window.partitionBy("digest")
-    light = light.withColumn("best", F.min("rank").over(group)).withColumn("group_size", F.count("*").over(group))
+    # Tasks reduce their copies before the shuffle, so that no group is gathered or sorted whole.
+    groups = light.groupBy("digest").agg(F.min("rank").alias("best"), F.count("*").alias("group_size"))
+    light = light.join(groups, "digest")
     return heavy.unionByName(light).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
@@ -68,8 +72,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other = gone.where(~F.col("gone_id").eqNullSafe(F.col("keep_id"))).select("gone_id", "text_sha256").distinct()
     same = gone.where(F.col("gone_id").eqNullSafe(F.col("keep_id"))).select("gone_id", "text_sha256").distinct()
     mine, sha = docs[id_col], digest(docs[text_col])
-    # Copies are few columns of those rows alone; up to BROADCAST_ROWS of them go to the texts, more are met by shuffling.
-    if gone.count() <= BROADCAST_ROWS:
+    # Copies are few columns of those rows alone; up to BROADCAST_BYTES of them go to the texts, more are met by shuffling.
+    size = gone.agg(F.coalesce(F.sum(F.length(F.col("gone_id").cast("string")) + ROW_BYTES), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
         other, same = F.broadcast(other), F.broadcast(same)
     matches = lambda side: mine.eqNullSafe(side["gone_id"]) & (sha == side["text_sha256"])
     left = docs.join(other, matches(other), "left_anti")
