@@ -13,18 +13,20 @@ size. A language's prior is its share of the words of all usable rows, estimated
 Prediction reads every row and whole text. A text that is null or has no letter is
 `und` with score 0, as is every text if nothing could be learned. Ties go to the language first
 in order. Letters outside the vocabulary count as one unknown piece each. The piece table has
-(pieces x languages) numbers, whatever the input. Only the named columns are read.
+(pieces x languages) numbers, whatever the input. Repeated rows are scored alike (and count as often as
+they occur in training); an empty table gives an empty result; a very long text is scored whole, word
+by word, by the task that reads it. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ START = "▁"
 UNKNOWN = 0
 #: Chunks whose scores are kept at a time.
 KEPT = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: What str.isalpha() takes for letters; not numbers like a half or Roman numeral signs.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def vocabulary(path: str) -> list[str]:

@@ -49,14 +49,14 @@ def test_frame(spark):
     assert START in vocabulary(path)
     texts = {"en": "the house and the garden with that which is there", "de": "das haus und der garten mit dem was dort ist", "fr": "la maison et le jardin avec ce qui est dans"}
     rows = [(i, lang, " ".join(np.roll(text.split(), i))) for i, (lang, text) in enumerate(itertools.islice(itertools.cycle(texts.items()), 120))]
-    rows += [(500, "en", None), (501, None, ""), (502, "de", "123 !!"), (None, "fr", "Le jardin est dans la maison"), (503, None, "日本語")]
+    rows += [(500, "en", None), (501, None, ""), (502, "de", "123 !!"), (None, "fr", "Le jardin est dans la maison"), (503, None, "日本語"), (504, "en", "½ ² Ⅷ 12")]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id bigint, lang string, text string, score double")
     model = train(docs, path)
     assert model.languages == ["de", "en", "fr"]
     assert np.allclose(np.exp(model.logp).sum(axis=0), 1)
     got = {r.doc_id: r for r in predict(docs, model).collect()}
     assert all(got[i].lang_pred == lang and got[i].score > 0.9 for i, lang, _ in rows[:120])
-    assert {got[i].lang_pred for i in (500, 501, 502)} == {"und"} and got[None].lang_pred == "fr" and got[503].lang_pred in model.languages
+    assert {got[i].lang_pred for i in (500, 501, 502, 504)} == {"und"} and got[None].lang_pred == "fr" and got[503].lang_pred in model.languages
     assert predict(docs.limit(0), model).count() == 0
     nothing = predict(docs, train(docs.limit(0), path)).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
