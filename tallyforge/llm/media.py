@@ -7,7 +7,8 @@ frames; a pair (frequency bin, frequency bin, frame distance) with its time make
 time << 32 | first bin << 16 | second bin << 4 | distance.
 
 Null text counts as empty text, whose payload is 64 zero bytes. Equal texts give equal values.
-Other columns than the two named aren't read; an empty table gives an empty result.
+Other columns than the two named aren't read; an empty table gives an empty result. A very long
+text's samples are transformed in blocks of frames.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from tallyforge.llm.batches import id_and_text, map_batches, pieces, texts
 from tallyforge.session import table
 
 RATE = 8_000
-FRAME, HOP = 512, 512
-PEAKS, AHEAD = 2, 2
+#: Frames overlap by half, so that every sample stands near the middle of some window.
+FRAME, HOP = 512, 256
+PEAKS, AHEAD = 3, 2
 #: Frames that are transformed at a time, so that a long text needs no more memory than a short one.
 BLOCK = 4_096
 _WINDOW = np.hanning(FRAME)
