@@ -110,7 +110,18 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, size: int, smoo
     return r
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, size: int, cost: float = 1.0, rounds: int = 12) -> np.ndarray:
+class Scaled:
+    """Rows' values: the ratios of their columns, brought to unit length; made when asked for, as they take more room than the columns."""
+
+    def __init__(self, rows: list[np.ndarray], ratios: np.ndarray):
+        self.rows, self.ratios = rows, ratios
+        self.lengths = [float(np.sqrt((ratios[x] ** 2).sum())) for x in rows]
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.ratios[self.rows[i]] / self.lengths[i]
+
+
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray] | Scaled, labels: np.ndarray, size: int, cost: float = 1.0, rounds: int = 12) -> np.ndarray:
     """Weights of an L2-regularised hinge-loss model; rows have unit length."""
     w, alpha, sign = np.zeros(size), np.zeros(len(rows)), np.where(labels > 0, 1.0, -1.0)
     order = np.random.default_rng(7)
@@ -156,7 +167,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> Model:
     def train(some):
         mine, y = [rows[i] for i in some], labels[some]
         r = log_count_ratios(mine, y, size)
-        return dual_coordinate_descent(mine, [r[x] / np.sqrt((r[x] ** 2).sum()) for x in mine], y, size), r
+        return dual_coordinate_descent(mine, Scaled(mine, r), y, size), r
 
     decisions, half = np.zeros(len(rows)), np.arange(len(rows)) % 2
     for k in (0, 1):
@@ -195,8 +206,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "columns": [extract.columns(x).tobytes() for x in texts(batch)]}
 
     kind = frame.schema["doc_id"].dataType.simpleString()
-    got = map_batches(frame, work, f"doc_id {kind}, quality int, columns binary").toPandas().sort_values(["doc_id", "columns"], kind="stable")
-    return fit([np.frombuffer(x, dtype=np.int32) for x in got["columns"]], got["quality"].to_numpy(dtype=np.int64), bits)
+    got = map_batches(frame, work, f"doc_id {kind}, quality int, columns binary").toArrow()
+    # The arrays stay in Arrow's buffers.
+    rows = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("columns")]
+    ids, labels = got.column("doc_id").to_pylist(), got.column("quality").to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (ids[i], zlib.crc32(rows[i])))
+    return fit([rows[i] for i in order], np.array([labels[i] for i in order], dtype=np.int64), bits)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
