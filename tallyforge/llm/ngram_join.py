@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.batches import id_and_text, map_batches, pieces, texts
+from tallyforge.llm.batches import give_back, id_and_text, map_batches, pieces, texts
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.shingles import set_key, shingle_arrays
 from tallyforge.session import discard, materialise, table
@@ -235,7 +235,9 @@ def _long_lists(halves: DataFrame) -> np.ndarray:
 
 def sorted_halves(halves: DataFrame) -> np.ndarray:
     """The halves as a sorted array; their number is bounded by the caller."""
-    return np.sort(halves.select("half").toArrow().column("half").to_numpy().astype(np.int32))
+    found = np.sort(halves.select("half").toArrow().column("half").to_numpy().astype(np.int32))
+    give_back()
+    return found
 
 
 def live_entries(heads: DataFrame, halves: np.ndarray) -> DataFrame:

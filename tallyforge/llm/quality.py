@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.batches import id_and_text, map_batches, pieces, texts
+from tallyforge.llm.batches import give_back, id_and_text, map_batches, pieces, texts
 from tallyforge.session import table
 
 BITS = 20
@@ -211,7 +211,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in got.column("columns")]
     ids, labels = got.column("doc_id").to_pylist(), got.column("quality").to_pylist()
     order = sorted(range(len(rows)), key=lambda i: (ids[i], zlib.crc32(rows[i])))
-    return fit([rows[i] for i in order], np.array([labels[i] for i in order], dtype=np.int64), bits)
+    model = fit([rows[i] for i in order], np.array([labels[i] for i in order], dtype=np.int64), bits)
+    del got, rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
