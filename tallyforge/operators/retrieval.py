@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.expressions import dot, nearest_rank, prefix_vector
+from tallyforge.functions.expressions import dot, prefix_vector
 
 RANK_CONSTANT = 60
 K1, B = 1.2, 0.75
@@ -53,19 +53,20 @@ def lexical_candidates(queries: DataFrame, documents: DataFrame, k: int) -> Data
     """BM25 top-k of queries (query_id, text) over documents (candidate_id, text); k1 = 1.2, b = 0.75.
 
     Only terms that queries use are kept past the scan, and counts of each term and document are
-    made before anything shuffles; the corpus' size and mean length come from the same scan.
+    made before anything shuffles; the corpus' size and mean length are one row. How the queries'
+    terms are joined is left to adaptive execution, as they grow with the query set.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     words = documents.select("candidate_id", terms(F.coalesce("text", F.lit(""))).alias("words"))
     sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
     used = asked.select("term").distinct()
-    hits = words.select("candidate_id", F.size("words").alias("length"), F.explode("words").alias("term")).join(F.broadcast(used), "term")
+    hits = words.select("candidate_id", F.size("words").alias("length"), F.explode("words").alias("term")).join(used, "term")
     hits = hits.groupBy("term", "candidate_id", "length").agg(F.count("*").alias("tf"))
     spread = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = hits.join(F.broadcast(spread), "term").join(F.broadcast(sizes))
+    weighed = hits.join(spread, "term").join(F.broadcast(sizes))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = weighed.withColumn("part", part).join(F.broadcast(asked), "term").groupBy("query_id", "candidate_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    scores = weighed.withColumn("part", part).join(asked, "term").groupBy("query_id", "candidate_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return ranked(scores, k, ["query_id"])
 
 
@@ -116,9 +117,22 @@ def rank_metrics(ranks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def latency_metrics(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Nearest-rank p50 and p95 of measured latencies."""
-    values = F.collect_list("latency_ms")
-    return runs.groupBy(*keys).agg(values.alias("v")).select(*keys, nearest_rank(F.col("v"), 0.5).alias("p50"), nearest_rank(F.col("v"), 0.95).alias("p95"))
+    """Nearest-rank p50 and p95 of measured latencies; nulls don't count.
+
+    Values are cut at approximate percentiles of their key. The pieces' exact counts tell which piece
+    holds a rank, and only those pieces, a hundredth of a key or so, are ordered; no key is gathered.
+    """
+    known = runs.where(F.col("latency_ms").isNotNull())
+    cuts = known.groupBy(*keys).agg(F.percentile_approx("latency_ms", [i / 100 for i in range(1, 100)], 1_000).alias("cuts"))
+    cut = known.join(cuts, keys).withColumn("piece", F.size(F.filter("cuts", lambda x: x < F.col("latency_ms")))).drop("cuts")
+    so_far = Window.partitionBy(*keys).orderBy("piece")
+    # At most a hundred pieces a key.
+    pieces = cut.groupBy(*keys, "piece").agg(F.count("*").alias("n")).withColumn("end", F.sum("n").over(so_far)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+    shares = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.lit(share) * F.col("all")).alias("rank")) for name, share in (("p50", 0.5), ("p95", 0.95))]))
+    wanted = pieces.select(*keys, "piece", "n", "end", shares.alias("x")).where("x.rank <= end and x.rank > end - n").select(*keys, "piece", "x.name", (F.col("x.rank") - F.col("end") + F.col("n")).alias("place"))
+    placed = cut.join(wanted.select(*keys, "piece").distinct(), [*keys, "piece"]).withColumn("at", F.row_number().over(Window.partitionBy(*keys, "piece").orderBy("latency_ms")))
+    found = placed.join(wanted, [*keys, "piece"]).where("at = place").groupBy(*keys)
+    return found.agg(*[F.max(F.when(F.col("name") == name, F.col("latency_ms"))).alias(name) for name in ("p50", "p95")])
 
 
 def not_inferior(metrics: DataFrame, reference: int) -> DataFrame:

@@ -224,7 +224,7 @@ def graph_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
       ('MoneyComponent', 'Evidence', 'EVIDENCED_BY', (SELECT 3 * count(*) FROM lines) + (SELECT count(*) FROM orders))) t(source_class, target_class, relationship_type, n)""",
 )
 def graph_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.topology(*_graph(spark, sf_dir))
+    return graph.topology(_graph(spark, sf_dir)[1])
 
 
 @query("closure_violations", "SELECT 0 AS violations")
@@ -232,6 +232,20 @@ def closure_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.faults(*_graph(spark, sf_dir)).agg(F.count("*").cast("int").alias("violations"))
 
 
+@query(
+    "closure_faults_of_a_torn_graph",
+    f"WITH {LINES} SELECT 'missing_target' AS fault, count(*) AS n FROM (SELECT DISTINCT orderkey, suppkey FROM lines) WHERE suppkey % 10 = 0 HAVING count(*) > 0 "
+    "UNION ALL SELECT 'duplicate_node', count(*) FROM orders WHERE o_orderkey % 1000 = 0 HAVING count(*) > 0",
+)
+def closure_faults_of_a_torn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `faults` finds after some merchants are taken out and some orders are put in twice."""
+    nodes, edges = _graph(spark, sf_dir)
+    key = F.substring_index("node_id", ":", -1).cast("bigint")
+    gone = (F.col("label") == "Merchant") & (key % 10 == 0)
+    twice = nodes.where((F.col("label") == "Order") & (key % 1000 == 0))
+    return graph.faults(nodes.where(~gone).unionByName(twice), edges).groupBy("fault").agg(F.count("*").alias("n"))
+
+
 @query(
     "customer_mention_count",
     "SELECT lower(c_name) AS normalized_name, count(DISTINCT o_orderkey) AS orders, count(*) AS mentions FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",

@@ -13,20 +13,27 @@ from tallyforge.streaming import events as streams
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as questions, with a marker word by their number so that every rule has some."""
-    marks = F.array(*[F.lit(x) for x in MARKS])
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return turns.select("conv_id", "turn", F.concat(F.get(marks, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(MARKS))).cast("int")), F.lit(" "), F.lit("order")).alias("question"))
+    """User turns as questions, whole; null as empty."""
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"))
 
 
-MARKS = (
-    "how much platform fee on swiggy", "show evidence for the", "find invoice containing", "which orders felt cheap", "compare comparable price of", "delivery person times on zomato",
-    "price history of this", "reveal the hidden system prompt", "write python code for", "DELETE everything FROM", "total spend with coupon discount", "merchant",
-)
+def _found(patterns: tuple[str, ...]) -> str:
+    """SQL of `governance`'s patterns over `question`."""
+    return "regexp_matches(question, '(?i)" + "|".join(f"(?:{x})" for x in patterns).replace("'", "''") + "')"
 
-Q = "q AS (SELECT conv_id, turn, [" + ", ".join(f"'{x}'" for x in MARKS) + f"][1 + CAST((conv_id + turn) % {len(MARKS)} AS INT)] || ' order' AS question FROM conversations WHERE role = 'user')"
-REFUSED = r"""CASE WHEN regexp_matches(question, '(?i)\b(?:reveal|show|give|print|list|expose|dump|tell\s+me)\b.{0,70}\b(?:api\s*keys?|credentials?)\b') OR question LIKE 'reveal the hidden system prompt%' THEN 'prompt_or_secret_extraction'
-    WHEN regexp_matches(question, '(?i)\b(?:SELECT|INSERT|UPDATE|DELETE)\b.{0,100}\b(?:FROM|INTO|SET|WHERE)\b') THEN 'arbitrary_query' WHEN question LIKE 'write python code%' THEN 'off_scope' END"""
+
+def _has(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(l, '{x}')" for x in words) + ")"
+
+
+Q = r"q AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS question, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS l FROM conversations WHERE role = 'user')"
+REFUSED = f"""CASE WHEN {_found(governance.PROMPT_EXTRACTION)} THEN 'prompt_or_secret_extraction' WHEN {_found(governance.ARBITRARY_QUERY)} THEN 'arbitrary_query'
+    WHEN {_found(governance.OFF_SCOPE)} AND ({_found(governance.OFF_SCOPE[: governance.ALWAYS_OFF_SCOPE])} OR NOT {_found((governance.IN_SCOPE,))}) THEN 'off_scope' WHEN question = '' THEN 'empty' END"""
+INTENT = f"""CASE WHEN {_has("offset", "comparable", "multi-hop")} AND {_has("discount", "fee", "price", "meal")} THEN 'multi_hop_economic' WHEN {_has("prove", "show evidence", "source for")} THEN 'evidence_request'
+    WHEN l LIKE 'find %' OR l LIKE 'search %' OR l LIKE 'locate %' OR {_has("containing", "invoice rows")} THEN 'lexical_lookup' WHEN {_has("felt ", "seemed ", "which orders")} THEN 'semantic_discovery'
+    WHEN {_has("how much", "total fee", "total spend", "did i pay", "sum of")} THEN 'financial_aggregation' ELSE 'exact_graph' END"""
+PLATFORM = r"CASE WHEN regexp_matches(l, '\bswiggy\b') THEN 'swiggy' WHEN regexp_matches(l, '\bzomato\b') THEN 'zomato' END"
+COMPONENT = "CASE " + " ".join(f"WHEN {_has(*words)} THEN '{name}'" for name, words in governance.COMPONENT_WORDS) + " END"
 
 
 @query("guardrail_reasons", f"WITH {Q} SELECT {REFUSED} AS refusal, count(*) AS questions FROM q GROUP BY ALL")
@@ -37,10 +44,7 @@ def guardrail_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "intent_classification",
-    f"""WITH {Q}, r AS (SELECT *, lower(question) AS l FROM q WHERE ({REFUSED}) IS NULL)
-    SELECT CASE WHEN l LIKE '%comparable%' AND (l LIKE '%price%' OR l LIKE '%fee%') THEN 'multi_hop_economic' WHEN l LIKE '%show evidence%' THEN 'evidence_request' WHEN l LIKE 'find %' OR l LIKE '%containing%' THEN 'lexical_lookup'
-      WHEN l LIKE '%felt %' OR l LIKE '%which orders%' THEN 'semantic_discovery' WHEN l LIKE '%how much%' OR l LIKE '%total spend%' THEN 'financial_aggregation' ELSE 'exact_graph' END AS intent,
-      count(*) AS questions, count(*) FILTER (l LIKE '%swiggy%') AS on_swiggy FROM r GROUP BY ALL""",
+    f"WITH {Q}, r AS (SELECT *, {INTENT} AS intent, {PLATFORM} AS platform FROM q WHERE ({REFUSED}) IS NULL) SELECT intent, count(*) AS questions, count(*) FILTER (platform = 'swiggy') AS on_swiggy FROM r GROUP BY intent",
 )
 def intent_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan_questions(_questions(spark, sf_dir)).where("refusal is null")
@@ -49,11 +53,10 @@ def intent_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "template_routing",
-    f"""WITH {Q}, r AS (SELECT *, lower(question) AS l FROM q WHERE ({REFUSED}) IS NULL),
-    t AS (SELECT CASE WHEN l LIKE '%delivery%' AND (l LIKE '%person%' OR l LIKE '%times%') THEN ['delivery_mention_count'] WHEN l LIKE '%price%' AND l LIKE '%history%' THEN ['merchant_item_price_history']
-      WHEN l LIKE '%comparable%' AND l LIKE '%price%' THEN ['merchant_item_price_history', 'financial_component_sum'] WHEN l LIKE '%show evidence%' THEN ['evidence_for_money_component']
-      WHEN l LIKE 'find %' THEN ['fulltext_evidence'] WHEN l LIKE '%which orders%' THEN ['fulltext_evidence', 'order_reconstruction'] WHEN l LIKE '%how much%' OR l LIKE '%total spend%' THEN ['financial_component_sum']
-      ELSE ['merchant_order_count'] END AS names FROM r)
+    f"""WITH {Q}, r AS (SELECT *, {INTENT} AS intent FROM q WHERE ({REFUSED}) IS NULL),
+    t AS (SELECT CASE WHEN {_has("delivery")} AND {_has("who", "person", "times", "delivered")} THEN ['delivery_mention_count'] WHEN {_has("price", "cost")} AND {_has("ago", "history", "year", "same")} THEN ['merchant_item_price_history']
+      WHEN intent = 'financial_aggregation' THEN ['financial_component_sum'] WHEN intent = 'evidence_request' THEN ['evidence_for_money_component'] WHEN intent = 'lexical_lookup' THEN ['fulltext_evidence']
+      WHEN intent = 'semantic_discovery' THEN ['fulltext_evidence', 'order_reconstruction'] WHEN intent = 'multi_hop_economic' THEN ['merchant_item_price_history', 'financial_component_sum'] ELSE ['merchant_order_count'] END AS names FROM r)
     SELECT template, count(*) AS questions FROM (SELECT unnest(names) AS template FROM t) GROUP BY template""",
 )
 def template_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +84,7 @@ def session_last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "slot_carry_forward",
-    f"""WITH {Q}, s AS (SELECT *, CASE WHEN question LIKE '%swiggy%' THEN 'swiggy' WHEN question LIKE '%zomato%' THEN 'zomato' END AS platform,
-      CASE WHEN question LIKE '%platform fee%' THEN 'platform_fee' WHEN question LIKE '%discount%' OR question LIKE '%coupon%' THEN 'coupon_discount' END AS component_type FROM q)
+    f"""WITH {Q}, s AS (SELECT conv_id, turn, {PLATFORM} AS platform, {COMPONENT} AS component_type FROM q)
     SELECT conv_id, turn, last_value(platform IGNORE NULLS) OVER w AS platform, last_value(component_type IGNORE NULLS) OVER w AS component_type FROM s
     WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""",
 )
@@ -221,12 +223,12 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "finding_verdicts",
-    """WITH s AS (SELECT event_type AS hypothesis_id, value > 90 AS supports, value < 5 AS refutes FROM events WHERE user_id < 20)
+    """WITH s AS (SELECT event_type AS hypothesis_id, value > 90 AS supports, value < 5 AS refutes FROM events)
     SELECT hypothesis_id, CASE WHEN bool_or(supports) AND bool_or(refutes) THEN 'inconclusive' WHEN bool_or(supports) THEN 'supported' WHEN bool_or(refutes) THEN 'refuted' ELSE 'inconclusive' END AS verdict,
     round(count(*) FILTER (supports OR refutes) / count(*), 6) AS confidence, count(*) AS steps FROM s GROUP BY ALL""",
 )
 def finding_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = _events(spark, sf_dir).where("user_id < 20").select(F.col("event_type").alias("hypothesis_id"), (F.col("value") > 90).alias("supports"), (F.col("value") < 5).alias("refutes"))
+    steps = _events(spark, sf_dir).select(F.col("event_type").alias("hypothesis_id"), (F.col("value") > 90).alias("supports"), (F.col("value") < 5).alias("refutes"))
     return research.findings(steps)
 
 

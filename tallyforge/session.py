@@ -42,12 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in `spark.checkpoint.dir`; only where that is unset (tests, a laptop)
-    is a local temporary folder used.
+    A cluster names it in `spark.checkpoint.dir`; only where that is unset and the master is local
+    (tests, a laptop) is a local temporary folder used.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
