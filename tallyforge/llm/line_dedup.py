@@ -211,7 +211,7 @@ def line_links(frame: DataFrame, signed: DataFrame) -> DataFrame:
         heads = buckets.join(_small(members.withColumnRenamed("doc", "id")), "id", "left").select("key", F.coalesce("leader", "id").alias("head")).distinct()
         heads = materialise(heads, "heads")
         one, other = heads.select("key", F.col("head").alias("a")), heads.select("key", F.col("head").alias("b"))
-        return one.join(other, "key").where("a < b").select("a", "b").distinct()
+        return materialise(one.join(other, "key").where("a < b").select("a", "b").distinct(), "meetings", small=True)
 
     def wholes(ids: DataFrame) -> DataFrame:
         return lines.join(_small(ids.withColumnRenamed("doc_id", "id")), "id", "left_semi").select(F.col("id").alias("doc"), F.col("line").cast("binary").alias("hashes"))

@@ -334,7 +334,9 @@ def _answers(docs: DataFrame, id_col: str, text_col: str, bits: int, arrays: Arr
     star = _stars(live, several)
 
     def meet(members: DataFrame) -> DataFrame:
-        return _meetings(live.join(_small(members), "doc", "left").withColumn("head", F.coalesce("leader", "doc")))
+        found = materialise(_meetings(live.join(_small(members), "doc", "left").withColumn("head", F.coalesce("leader", "doc"))), "meetings", small=True)
+        discard(live)
+        return found
 
     def wholes(ids: DataFrame) -> DataFrame:
         return _whole_sets(sources.join(_small(ids), "doc_id", "left_semi"), arrays)
@@ -345,7 +347,7 @@ def _answers(docs: DataFrame, id_col: str, text_col: str, bits: int, arrays: Arr
 def decided(star: DataFrame, meet: Callable[[DataFrame], DataFrame], wholes: Callable[[DataFrame], DataFrame], decode: Arrays = stored_arrays, count: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect all sets that link, and (rep, n_links) of sets with links (all pairs are decided if `count`).
 
-    `star` has sets b and the roots a that they follow (no root follows another); `meet` gives the
+    `star` has sets b and the roots a that they follow (no root follows another); `meet` writes the
     distinct pairs (a, b), a < b, of families' roots (or sets without a family) that may hold links, from
     the families' (doc, leader); `wholes` the (doc, hashes) of ids (doc_id), which `decode` makes sets of.
     """
@@ -354,7 +356,7 @@ def decided(star: DataFrame, meet: Callable[[DataFrame], DataFrame], wholes: Cal
     members = overlaps(star, sets, decode).where(OF_FAMILY)
     members = materialise(members.selectExpr("a as leader", "b as doc", "na as size", "5 * (na - both) + 4 * (nb - both) as apart", "4 * (na - both) + 5 * (nb - both) as gain"), "members")
     edges = members.where("apart <= size").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-    meetings = materialise(meet(members.select("doc", "leader")), "meetings", small=True)
+    meetings = meet(members.select("doc", "leader"))
     families = materialise(members.groupBy("leader").agg(F.count("*").alias("sets"), F.max("gain").alias("gain"), F.max("apart").alias("apart"), F.first("size").alias("size")), "families", small=True)
     others = materialise(_ends(meetings).join(chosen, "doc_id", "left_anti"), "others", small=True)
     if not others.isEmpty():

@@ -38,6 +38,8 @@ STEP_TOKENS = 64 * 2048
 END_ID = 1
 #: Chunks whose ids are kept at a time.
 KEPT_CHUNKS = 400_000
+#: Characters of such chunks, so that long ones don't pile up.
+KEPT_BYTES = 16 << 20
 #: White space to Python's `split`, but not to the vocabulary's rule.
 SEPARATORS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 #: Fixed value: the vocabulary's splitting rule, its classes of letters and numbers spelled out within Latin-1 in lower case.
@@ -58,6 +60,7 @@ class ChunkTokenizer:
         self.split = re.compile(LATIN_PIECES).findall
         self.kept: dict[str, bytes] = {}
         self.pieces = WordTable(Merges(path), str.encode)
+        self.room = 0
 
     @staticmethod
     def odd(text: str) -> bool:
@@ -72,12 +75,14 @@ class ChunkTokenizer:
         found = [self.split(x.lower()) for x in chunks]
         self.pieces.learn(found)
         get = self.pieces.__getitem__
+        self.room += sum(map(len, chunks))
         self.kept.update((chunk, get(x[0]) if len(x) == 1 else b"".join(map(get, x))) for chunk, x in zip(chunks, found, strict=True))
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.kept) > KEPT_CHUNKS:
+        if len(self.kept) > KEPT_CHUNKS or self.room > KEPT_BYTES:
             self.kept.clear()
+            self.room = 0
         lists = [None if self.odd(x) else x.split() for x in batch]
         self._learn([x for x in set().union(*(x for x in lists if x)) if x not in self.kept])
         get = self.kept.__getitem__
