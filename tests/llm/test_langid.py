@@ -5,7 +5,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyforge.llm.langid import LEAST, START, Lattice, expected_counts, predict, sample_shares, train, vocabulary, word_scores
+from tallyforge.llm.langid import LEAST, START, Lattice, expected_counts, predict, letter_runs, sample_shares, train, vocabulary, word_scores
 
 NAMES = ["", START, "a", "b", "ab", "ba", START + "a", "bab", "aa"]
 LATTICE = Lattice(NAMES)
@@ -40,6 +40,11 @@ def test_sums_all_segmentations(words):
     assert np.allclose(expected_counts(LATTICE, words, counts, LOGP), want_counts)
 
 
+@given(st.text(alphabet=st.characters(codec="utf-8"), max_size=30) | st.text(alphabet="a½²Ⅷé_1 日", max_size=12))
+def test_letter_runs(text):
+    assert letter_runs(text) == [x for x in "".join(c if c.isalpha() else " " for c in text).split(" ") if x]
+
+
 def test_long_word_stays_finite():
     assert np.isfinite(word_scores(LATTICE, ["ab" * 5000], LOGP)).all()
 
