@@ -20,7 +20,9 @@ by word, by the task that reads it. Only the named columns are read.
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,16 +76,18 @@ class Lattice:
             if name:
                 self.automaton.add_word(name, i << 8 | len(name))
         self.automaton.make_automaton()
-        self.single = {x for x in names if len(x) == 1}
+        #: By code point: whether a letter alone is a piece (or the mark between words).
+        self.known = np.zeros(0x110000, dtype=bool)
+        self.known[[ord(x) for x in names if len(x) == 1] + [ord("\n")]] = True
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """start, end, piece of each match; first and last position of each word. Position p stands before letter p."""
         text = "\n".join(START + x for x in words)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
         first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        found = np.array([(e, v) for e, v in self.automaton.iter(text)], dtype=np.int64).reshape(-1, 2)
-        end, size, piece = found[:, 0] + 1, found[:, 1] & 255, found[:, 1] >> 8
-        unknown = np.array([i for i, c in enumerate(text) if c != "\n" and c not in self.single], dtype=np.int64)
+        at, value = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(text)), dtype=np.int64).reshape(-1, 2).T
+        end, size, piece = at + 1, value & 255, value >> 8
+        unknown = np.flatnonzero(~self.known[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)])
         start = np.concatenate([end - size, unknown])
         end, piece = np.concatenate([end, unknown + 1]), np.concatenate([piece, np.full(len(unknown), UNKNOWN)])
         order = np.argsort(end, kind="stable")
@@ -187,6 +191,18 @@ class Scorer:
         return tags, scores
 
 
+#: The scorer of the last model used in this process, under the model's key.
+_last: dict[str, Scorer] = {}
+
+
+def scorer_of(key: str, model: Model) -> Scorer:
+    """One scorer for all tasks that a Python worker runs with a model, so that later tasks find the words of earlier ones."""
+    if key not in _last:
+        _last.clear()
+        _last[key] = Scorer(model)
+    return _last[key]
+
+
 def held_out(id_col: Column) -> Column:
     """Whether a document is kept from training; false for a null id."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
@@ -264,10 +280,10 @@ def train(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(key, shared.value)
         for batch in pieces(batches, "text"):
             tags, scores = scorer.predict(texts(batch))
             yield {"doc_id": batch.column("doc_id"), "lang_pred": tags, "score": scores}
