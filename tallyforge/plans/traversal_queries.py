@@ -34,7 +34,7 @@ def traversal_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions that aren't refused, as both sums and price histories, with the slots their texts name."""
+    """Questions that aren't refused, each bound as a sum, a text search and an order, with the slots their texts name."""
     asked = _questions(spark, sf_dir).withColumn("question_id", F.concat_ws("/", "conv_id", "turn"))
     planned = plan_questions(asked).where("refusal is null")
     slots = F.create_map(F.lit("platform"), F.col("slots.platform"), F.lit("component_type"), F.col("slots.component_type"), F.lit("lexical_query"), F.col("question"))
