@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.expressions import content_id, lines_digest, sorted_set
+from tallyforge.session import materialise
 
 #: Component types of each event type (fixed values); what isn't listed is a residual.
 EVENT_TYPES = {
@@ -90,9 +91,10 @@ def rollup(events: DataFrame, entities: DataFrame) -> DataFrame:
 
     `entities` has (orderkey, entity_id). Each chunk has its level, identity, number of events,
     exact total, period, and a digest of its events' ids. The digests stand for the lineage, which
-    is joined from `events` when needed; a year's event ids are never gathered in one row.
+    is joined from `events` when needed; a year's event ids are never gathered in one row. The five
+    levels read the events from a table written once.
     """
-    base = events.select("event_id", "component_key", "orderkey", "amount", "occurred_at")
+    base = materialise(events.select("event_id", "component_key", "orderkey", "amount", "occurred_at"), "events")
     one = lambda level, identity: base.select(
         F.lit(level).alias("level"),
         F.col(identity).alias("identity"),
@@ -157,17 +159,19 @@ def supersession_faults(links: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def cyclic(links: DataFrame) -> DataFrame:
-    """Links (new_id, old_id) that lie on a cycle or lead out of none: what stays when links from events that nothing corrects are peeled off again and again.
+    """Links (new_id, old_id) whose newer event has been corrected without end: it lies on a cycle or was corrected by way of one.
 
-    Each round removes every chain's outermost link, so there are as many rounds as the longest chain.
+    Steps double: a round joins the ways of a length with themselves, until no event has a way so
+    long, or as many have one as had one of half the length, which then never end. So there are log2
+    of the longest chain as many rounds. An event corrected twice (a fault by itself) has several ways.
     """
-    from tallyforge.session import materialise
-
-    left, before = materialise(links.select("new_id", "old_id").distinct(), "links"), -1
-    while (count := left.count()) not in (0, before):
+    known = materialise(links.select("new_id", "old_id").distinct(), "links")
+    ways, before = known.select(F.col("old_id").alias("start"), F.col("new_id").alias("stop")), -1
+    while (count := ways.select("start").distinct().count()) not in (0, before):
         before = count
-        left = materialise(left.join(left.select(F.col("old_id").alias("new_id")).distinct(), "new_id", "left_semi"), "links")
-    return left
+        further = ways.select(F.col("start").alias("stop"), F.col("stop").alias("end"))
+        ways = materialise(ways.join(further, "stop").select("start", F.col("end").alias("stop")).distinct(), "ways")
+    return known.join(ways.select(F.col("start").alias("new_id")).distinct(), "new_id", "left_semi")
 
 
 def current_events(events: DataFrame, links: DataFrame) -> DataFrame:

@@ -120,40 +120,32 @@ def source_authority(family: Column, source: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.concat_ws("|", family, source)), F.lit("0")).cast("decimal(3,2)")
 
 
-def authority_ranked(components: DataFrame, order: str = "orderkey") -> DataFrame:
-    """Adds `family` (a component's type, all totals being one), `authority` and `selected`: the highest authority of its order and family.
-
-    Of several equally authoritative totals one is selected if they agree on the amount, none if not.
-    """
-    kind = F.col("component_type")
-    ranked = components.withColumn("authority", role_authority(kind, F.col("role"))).withColumn("family", F.when(kind.isin(*TOTALS), "total").otherwise(kind))
-    best = ranked.groupBy(order, "family").agg(F.max("authority").alias("best"))
-    ranked = ranked.join(best, [order, "family"])
-    top = F.col("authority") == F.col("best")
-    totals = ranked.where((F.col("family") == "total") & top).groupBy(order).agg(
-        F.min("component_key").alias("chosen_total"), F.min("amount").alias("least"), F.max("amount").alias("most")
-    )
-    ranked = ranked.join(totals.where("least = most").select(order, "chosen_total"), order, "left")
-    picked = F.when(F.col("family") == "total", F.col("component_key").eqNullSafe(F.col("chosen_total"))).when(kind.isin(*NOT_CALCULATED_IN_BUNDLES), False).otherwise(top)
-    return ranked.withColumn("selected", picked).drop("best", "chosen_total")
-
-
 def reconcile_bundles(components: DataFrame, order: str = "orderkey") -> DataFrame:
     """One row for each order: what its most authoritative documents say, and whether they close.
 
-    Without an agreed total or a calculable component nothing is calculated: `conflicting` if there
-    are totals that disagree, else `partial`.
+    A family is a component type, all totals being one. Of each family the components of highest
+    authority are selected; of several equally authoritative totals one is, if they agree on the
+    amount, and none if not. Without an agreed total or a calculable component nothing is calculated:
+    `conflicting` if there are totals that disagree, else `partial`. Three aggregations, each of which
+    combines before it shuffles; nothing is joined.
     """
-    kind, amount, chosen = F.col("component_type"), F.col("amount"), F.col("selected")
-    is_total = F.col("family") == "total"
-    groups = authority_ranked(components, order).groupBy(order).agg(
-        F.count_if(chosen).alias("selected"),
-        F.count_if(~chosen).alias("rejected"),
-        F.count_if(is_total).alias("totals"),
-        F.max(F.when(chosen & is_total, amount)).alias("total"),
-        F.count_if(chosen & ~is_total).alias("parts"),
-        F.sum(F.when(chosen & ~is_total, signed(kind, amount))).cast(SUM).alias("sum"),
-        F.max("source_precision").alias("precision"),
+    kind, amount = F.col("component_type"), F.col("amount")
+    family = F.when(kind.isin(*TOTALS), "total").otherwise(kind)
+    levels = components.groupBy(order, family.alias("family"), role_authority(kind, F.col("role")).alias("authority")).agg(
+        F.count("*").alias("n"), F.sum(signed(kind, amount)).cast(SUM).alias("sum"), F.min("amount").alias("least"), F.max("amount").alias("most"), F.max("source_precision").alias("precision")
+    )
+    families = levels.groupBy(order, "family").agg(F.max(F.struct("authority", "n", "sum", "least", "most")).alias("top"), F.sum("n").alias("n"), F.max("precision").alias("precision"))
+    is_total, agreed = F.col("family") == "total", F.col("top.least") == F.col("top.most")
+    selected = F.when(is_total, F.coalesce(agreed, F.lit(False)).cast("bigint")).when(F.col("family").isin(*NOT_CALCULATED_IN_BUNDLES), 0).otherwise(F.col("top.n"))
+    part = ~is_total & (selected > 0)
+    groups = families.groupBy(order).agg(
+        F.sum(selected).alias("selected"),
+        F.sum(F.col("n") - selected).alias("rejected"),
+        F.sum(F.when(is_total, F.col("n")).otherwise(0)).alias("totals"),
+        F.max(F.when(is_total & agreed, F.col("top.least"))).alias("total"),
+        F.sum(F.when(part, selected).otherwise(0)).alias("parts"),
+        F.sum(F.when(part, F.col("top.sum"))).cast(SUM).alias("sum"),
+        F.max("precision").alias("precision"),
     )
     closes = F.col("total").isNotNull() & (F.col("parts") > 0)
     groups = groups.withColumns({"expected_amount": F.when(closes, F.col("total")), "calculated_amount": F.when(closes, F.col("sum"))})

@@ -9,13 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_W = r"(?:system|developer|assistant|hidden|internal)"
-_P = r"(?:prompt|instructions?|message|policy|policies|rules?)"
-
 #: What a question must not ask for (case aside), by the reason that is given.
 PROMPT_EXTRACTION = (
-    rf"\b(?:give|show|reveal|print|display|share|provide|output|repeat|recite|tell\s+me)\b.{{0,60}}\b(?:your|the)\b.{{0,30}}\b(?:full|complete|entire|exact|verbatim|hidden|internal)?\s*{_W}\s*{_P}\b",
-    rf"\b(?:what|where|which)\b.{{0,40}}\b(?:system|developer|hidden|internal)\s*{_P}\b",
+    r"\b(?:give|show|reveal|print|display|share|provide|output|repeat|recite|tell\s+me)\b.{0,60}\b(?:your|the)\b.{0,30}\b(?:full|complete|entire|exact|verbatim|hidden|internal)?\s*(?:system|developer|assistant|hidden|internal)\s*(?:prompt|instructions?|message|policy|policies|rules?)\b",
+    r"\b(?:what|where|which)\b.{0,40}\b(?:system|developer|hidden|internal)\s*(?:prompt|instructions?|message|policy|policies|rules?)\b",
     r"\b(?:ignore|disregard|forget|override|bypass|replace|jailbreak)\b.{0,100}\b(?:previous|prior|above|system|developer|assistant|instruction|policy|rule)s?\b",
     r"\b(?:repeat|quote|recite|copy|print)\b.{0,60}\b(?:above|hidden|system|developer|prompt|instructions?)\b.{0,30}\b(?:verbatim|exactly|word[- ]for[- ]word)?\b",
     r"\b(?:reveal|show|give|print|list|expose|dump|tell\s+me)\b.{0,70}\b(?:api\s*keys?|access\s*tokens?|secret(?:s|\s+keys?)?|credentials?|environment\s+variables?|tool\s+definitions?|function\s+schemas?)\b",
@@ -29,7 +26,7 @@ ARBITRARY_QUERY = (
     r"\b(?:SELECT|INSERT|UPDATE|DELETE)\b.{0,100}\b(?:FROM|INTO|SET|WHERE)\b",
     r"\b(?:run|execute|perform|send)\b.{0,40}\b(?:cypher|neo4j|sql|database)\b",
 )
-#: The first five of these are refused even if the question also has a word of the domain.
+#: The first five of these are refused even if the question also has a word of the domain.
 OFF_SCOPE = (
     r"\b(?:write|draft|create|generate|improve|edit|rewrite|review|tailor|format)\b.{0,60}\b(?:resume|curriculum\s+vitae|cv|cover\s+letter|linkedin)\b",
     r"\b(?:resume|curriculum\s+vitae|cv|cover\s+letter|linkedin)\b.{0,60}\b(?:write|draft|create|generate|improve|edit|rewrite|review|tailor)\b",
@@ -42,12 +39,12 @@ OFF_SCOPE = (
 )
 ALWAYS_OFF_SCOPE = 5
 IN_SCOPE = r"\b(?:order|orders|merchant|restaurant|item|items|price|prices|fee|fees|tax|taxes|discount|discounts|invoice|invoices|delivery|spend|spending|refund|platform|evidence)\b"
-#: Keywords that a read-only query text can't have.
+#: Keywords that a read-only query text can't have.
 WRITES = r"\b(?:CREATE|MERGE|DELETE|DETACH|SET|REMOVE|DROP)\b"
 
-#: What a public payload can't hold.
+#: What a public payload can't hold.
 EMAIL, LONG_NUMBER, CONTENT_HASH = r"\b[^\s@]+@[^\s@]+\.[^\s@]+\b", r"(?<!\d)\d{10,}(?!\d)", r"\b[0-9a-fA-F]{64}\b"
-#: Words by which a question's component type is known; the first group that has a match counts.
+#: Words by which a question's component type is known; the first group that has a match counts.
 COMPONENT_WORDS = (
     ("platform_fee", ("platform fee", "platform-fee")),
     ("delivery_charge", ("delivery fee", "delivery charge")),
@@ -100,7 +97,7 @@ def _has(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def intent(question: Column) -> Column:
-    """One of six intents; rules are tried in order."""
+    """One of six intents; rules are tried in order. Their words are fixed values."""
     q = F.lower(F.trim(F.regexp_replace(question, r"\s+", " ")))
     starts = q.startswith("find ") | q.startswith("search ") | q.startswith("locate ")
     return (
@@ -114,7 +111,7 @@ def intent(question: Column) -> Column:
 
 
 def templates(question: Column) -> Column:
-    """The governed templates that answer a question."""
+    """The governed templates that answer a question. The words are fixed values."""
     q, kind = F.lower(F.trim(F.regexp_replace(question, r"\s+", " "))), intent(question)
     names = lambda *x: F.array(*[F.lit(y) for y in x])
     return (
@@ -185,7 +182,7 @@ def private_values(frame: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def repository_fault(path: Column) -> Column:
-    """Why a file path can't be published, null if it can."""
+    """Why a file path can't be published, null if it can. The patterns are fixed values."""
     return (
         F.when(path.rlike(r"(?i)(^|/)\.env(\.|$)"), "secret_file")
         .when(path.rlike(r"(?i)\.(pdf|mbox|eml|sqlite|parquet|jsonl)$"), "private_data")

@@ -34,7 +34,7 @@ def together(parts: list[DataFrame]) -> DataFrame:
 def component_rules() -> dict[str, Column]:
     """What holds for every money component."""
     return {
-        "amount_is_exact": F.col("amount").cast("decimal(38,2)") == F.col("amount"),
+        "amount_is_exact": F.round("amount", 2) == F.col("amount"),
         "currency_is_a_code": F.col("currency").rlike("^[A-Z]{3}$"),
         "precision_is_not_negative": F.col("source_precision") >= 0,
         "has_a_source": F.length("source_key") > 0,

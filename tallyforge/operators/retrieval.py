@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.expressions import dot, prefix_vector
+from tallyforge.session import materialise
 
 RANK_CONSTANT = 60
 K1, B = 1.2, 0.75
-#: A query set up to this size is broadcast against the documents; a larger one is cut into such blocks.
-QUERY_BLOCK = 2_000
+#: Query vectors up to so many bytes are broadcast against the documents; larger sets are cut into such blocks.
+BLOCK_BYTES = 32 << 20
 SCORE = "decimal(34,30)"
 
 
@@ -25,25 +26,37 @@ def ranked(scores: DataFrame, k: int, keys: list[str], candidate: str = "candida
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense_candidates(queries: DataFrame, vectors: DataFrame, size: int, k: int) -> DataFrame:
-    """Exact cosine top-k: queries (query_id, embedding) against vectors (candidate_id, embedding), by their first `size` numbers.
+def dense_by_size(queries: DataFrame, vectors: DataFrame, sizes: tuple[int, ...], k: int) -> DataFrame:
+    """Exact cosine top-k for each of several prefix lengths: queries (query_id, embedding) against vectors (candidate_id, embedding).
 
-    The queries are gone through in blocks of QUERY_BLOCK, each compared with every vector where it is
-    read, so vectors never move; a query doesn't find itself (query_id = candidate_id).
+    Rows are query_id, candidate_id, size, score, rank. The queries are cut into blocks of BLOCK_BYTES;
+    a block is compared with every vector where that is read, so vectors never move, and all sizes are
+    scored in that one pass. With more than one block each one's results are written, so the plan stays
+    as small as for one. A query doesn't find itself (query_id = candidate_id).
     """
-    scaled = vectors.select("candidate_id", prefix_vector(F.col("embedding"), size).alias("v")).where("v is not null")
-    asked = queries.select("query_id", prefix_vector(F.col("embedding"), size).alias("q")).where("q is not null")
-    blocks = -(-asked.count() // QUERY_BLOCK)
+    prefixes = F.array(*[prefix_vector(F.col("embedding"), size) for size in sizes])
+    scaled = vectors.select("candidate_id", prefixes.alias("v"))
+    asked = queries.select("query_id", prefixes.alias("q"))
+    blocks = max(1, -(-asked.count() * (8 * sum(sizes) + 32) // BLOCK_BYTES))
+    asked = asked if blocks == 1 else materialise(asked, "queries")
     found = None
-    for block in range(max(1, blocks)):
-        some = asked if blocks <= 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+    for block in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         some = some.groupBy().agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
         pairs = scaled.join(F.broadcast(some)).select("candidate_id", "v", F.explode("asked").alias("a")).where("a.query_id <> candidate_id")
-        part = ranked(pairs.select("a.query_id", "candidate_id", F.round(dot(F.col("v"), F.col("a.q")), 6).alias("score")), k, ["query_id"])
+        scores = F.array(*[F.struct(F.lit(size).alias("size"), F.round(dot(F.get("v", F.lit(i)), F.get("a.q", F.lit(i))), 6).alias("score")) for i, size in enumerate(sizes)])
+        scored = pairs.select("a.query_id", "candidate_id", F.inline(scores)).where("score is not null")
+        part = ranked(scored, k, ["query_id", "size"])
+        part = part if blocks == 1 else materialise(part, "nearest", small=True)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def dense_candidates(queries: DataFrame, vectors: DataFrame, size: int, k: int) -> DataFrame:
+    """The same by the first `size` numbers alone: query_id, candidate_id, score, rank."""
+    return dense_by_size(queries, vectors, (size,), k).drop("size")
+
+
 def terms(text: Column) -> Column:
     """Runs of letters and digits, lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import finance, graph, invariants, resolution, retrieval
@@ -33,6 +33,111 @@ def event_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invariants.together([invariants.broken(events, "event_id", invariants.event_rules()), invariants.repeated(events, "event_id")]).agg(F.count("*").alias("violations"))
 
 
+def _planted(wrong: str, value: Column, name: str) -> Column:
+    """The column, or `value` in the rows that the condition picks."""
+    return F.when(F.expr(wrong), value).otherwise(F.col(name))
+
+
+def _by_rule(faults: DataFrame) -> DataFrame:
+    return faults.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _counted(source: str, rules: dict[str, str]) -> str:
+    """SQL that counts a table's rows by condition; rules that nothing breaks have no row."""
+    return " UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS n FROM {source} WHERE {where} HAVING count(*) > 0" for rule, where in rules.items())
+
+
+@query(
+    "component_faults",
+    f"""WITH {COMPONENTS} """
+    + _counted("components", {"currency_is_a_code": "orderkey % 7 = 0", "precision_is_not_negative": "orderkey % 11 = 0", "has_a_source": "orderkey % 13 = 0", "amount_is_exact": "orderkey % 17 = 0"})
+    + " UNION ALL SELECT 'known_orderkey', count(DISTINCT orderkey) FROM components WHERE orderkey % 19 = 0 HAVING count(*) > 0",
+)
+def component_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with faults planted by order, counted by the rule that each breaks."""
+    components = domain.money_components(spark, sf_dir).withColumns({
+        "currency": _planted("orderkey % 7 = 0", F.lit("inr"), "currency"),
+        "source_precision": _planted("orderkey % 11 = 0", F.lit(-1), "source_precision"),
+        "source_key": _planted("orderkey % 13 = 0", F.lit(""), "source_key"),
+        "amount": _planted("orderkey % 17 = 0", (F.col("amount") + F.lit("0.001").cast("decimal(18,3)")).cast("decimal(20,3)"), "amount"),
+    })
+    orders = domain.orders(spark, sf_dir).where("orderkey % 19 <> 0")
+    return _by_rule(invariants.together([invariants.broken(components, "component_key", invariants.component_rules()), invariants.orphans(components, "orderkey", orders, "orderkey")]))
+
+
+@query(
+    "reconciliation_faults",
+    f"""WITH {COMPONENTS}, g AS (SELECT orderkey FROM components GROUP BY orderkey
+      HAVING count(*) FILTER (component_type = 'customer_total') = 1 AND count(*) FILTER (component_type <> 'customer_total') >= 1) """
+    + _counted("g", {"residual_is_the_difference": "orderkey % 7 = 0", "share_is_between_0_and_1": "orderkey % 11 = 0"}),
+)
+def reconciliation_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reconciliations with faults planted by order, counted by the rule that each breaks."""
+    runs = finance.reconcile_documents(domain.money_components(spark, sf_dir), ["orderkey"]).where("residual not in (0, -1000000)").withColumns({
+        "residual": _planted("orderkey % 7 = 0", F.col("residual") + 1_000_000, "residual"),
+        "explained_value_ratio": _planted("orderkey % 11 = 0", F.lit(2.0), "explained_value_ratio"),
+    })
+    return _by_rule(invariants.broken(runs, "orderkey", invariants.reconciliation_rules()))
+
+
+@query(
+    "event_faults",
+    f"""WITH {COMPONENTS} """
+    + _counted(
+        "components JOIN orders ON orderkey = o_orderkey",
+        {"id_follows_from_the_content": "orderkey % 7 = 0", "validity_is_in_order": "orderkey % 11 = 0", "source_hash_is_the_source''s": "orderkey % 13 = 0", "has_a_time": "orderkey % 17 = 0"},
+    ),
+)
+def event_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with faults planted by order, counted by the rule that each breaks."""
+    events = ev.financial_events(domain.money_components(spark, sf_dir), domain.orders(spark, sf_dir))
+    events = events.withColumns({
+        "event_id": _planted("orderkey % 7 = 0", F.upper("event_id"), "event_id"),
+        "valid_from": _planted("orderkey % 11 = 0", F.lit("2001-01-01").cast("timestamp"), "valid_from"),
+        "valid_to": _planted("orderkey % 11 = 0", F.lit("2000-01-01").cast("timestamp"), "valid_to"),
+        "source_hash": _planted("orderkey % 13 = 0", F.lit(""), "source_hash"),
+        "occurred_at": _planted("orderkey % 17 = 0", F.lit(None).cast("timestamp"), "occurred_at"),
+    })
+    return _by_rule(invariants.broken(events, "event_id", invariants.event_rules()))
+
+
+@query(
+    "event_coverage_faults",
+    f"""WITH {COMPONENTS} SELECT 'without_event' AS fault, count(*) AS n FROM components WHERE orderkey % 7 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'several_events', count(*) FROM components WHERE orderkey % 7 <> 0 AND orderkey % 11 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'unknown_component', count(*) FROM components WHERE orderkey % 7 <> 0 AND orderkey % 11 <> 0 AND orderkey % 13 = 0 HAVING count(*) > 0""",
+)
+def event_coverage_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What coverage finds where one order's events are gone, another's are doubled and a third's components are gone."""
+    components = domain.money_components(spark, sf_dir)
+    events = ev.financial_events(components, domain.orders(spark, sf_dir))
+    times = F.when(F.expr("orderkey % 7 = 0"), 0).when(F.expr("orderkey % 11 = 0"), 2).otherwise(1)
+    events = events.withColumn("copy", F.explode(F.array_repeat(F.lit(1), times)))
+    kept = components.where("orderkey % 7 = 0 or orderkey % 11 = 0 or orderkey % 13 <> 0")
+    fault = F.when(F.col("wanted").isNull(), "unknown_component").when(F.col("got").isNull(), "without_event").when(F.col("got") > 1, "several_events").otherwise("other")
+    return ev.uncovered(kept, events).groupBy(fault.alias("fault")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "reconciliation_outcomes",
+    f"""WITH {COMPONENTS}, g AS (SELECT orderkey FROM components GROUP BY orderkey HAVING count(*) FILTER (component_type <> 'customer_total') >= 1),
+    o AS (SELECT CASE orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 0.01 WHEN 2 THEN -0.01 WHEN 3 THEN 0.05 WHEN 4 THEN 0.06 END AS off FROM g WHERE orderkey % 6 <> 5)
+    SELECT CASE WHEN off = 0 THEN 'exact' WHEN abs(off) <= 0.01 THEN 'within_source_precision' WHEN abs(off) <= 0.05 THEN 'within_rounding' ELSE 'conflicting' END AS status,
+           count(*) AS runs, CAST(sum(off) AS DECIMAL(38,2)) AS residual FROM o GROUP BY ALL""",
+)
+def reconciliation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose total is the sum of their parts and a known difference (none for every sixth): how each reconciles."""
+    parts = domain.money_components(spark, sf_dir).where("component_type <> 'customer_total'").select("component_key", "orderkey", "component_type", "amount", "currency", "source_precision")
+    off = F.when(F.expr("orderkey % 6 = 1"), "0.01").when(F.expr("orderkey % 6 = 2"), "-0.01").when(F.expr("orderkey % 6 = 3"), "0.05").when(F.expr("orderkey % 6 = 4"), "0.06").otherwise("0")
+    totals = parts.where("orderkey % 6 <> 5").groupBy("orderkey").agg(F.sum(finance.signed(F.col("component_type"), F.col("amount"))).alias("amount"))
+    totals = totals.select(
+        F.concat_ws(":", F.col("orderkey").cast("string"), F.lit("customer_total")).alias("component_key"), "orderkey", F.lit("customer_total").alias("component_type"),
+        (F.col("amount") + off.cast("decimal(18,2)")).cast("decimal(18,2)").alias("amount"), F.lit(domain.CURRENCY).alias("currency"), F.lit(2).alias("source_precision"),
+    )
+    runs = finance.reconcile_documents(parts.unionByName(totals), ["orderkey"])
+    return runs.groupBy("status").agg(F.count("*").alias("runs"), F.sum("residual").cast("decimal(38,2)").alias("residual"))
+
+
 @query(
     "line_number_repeats",
     "SELECT CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber AS key FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",

@@ -59,13 +59,9 @@ def mrl_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant: equal label. Each size against the full one."""
     queries, vectors = _queries(spark, sf_dir), _vectors(spark, sf_dir)
     relevant = queries.select("query_id", "label")
-    found = None
-    for size in SIZES:
-        hits = retrieval.dense_candidates(queries, vectors, size, 10).join(vectors.select("candidate_id", "label"), "candidate_id").join(relevant, ["query_id", "label"])
-        ranks = queries.select("query_id").join(hits.groupBy("query_id").agg(F.min("rank").alias("rank")), "query_id", "left").withColumn("size", F.lit(size))
-        metrics = retrieval.rank_metrics(ranks, ["size"])
-        found = metrics if found is None else found.unionByName(metrics)
-    return retrieval.not_inferior(found, 64)
+    hits = retrieval.dense_by_size(queries, vectors, SIZES, 10).join(vectors.select("candidate_id", "label"), "candidate_id").join(relevant, ["query_id", "label"])
+    ranks = queries.select("query_id", F.explode(F.array(*[F.lit(x) for x in SIZES])).alias("size")).join(hits.groupBy("query_id", "size").agg(F.min("rank").alias("rank")), ["query_id", "size"], "left")
+    return retrieval.not_inferior(retrieval.rank_metrics(ranks, ["size"]), 64)
 
 
 @query(

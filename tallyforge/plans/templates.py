@@ -31,13 +31,13 @@ WRITTEN_TERMS = 20
 def merchant_order_count(spark: SparkSession, sf_dir: str, normalized_name: str) -> DataFrame:
     """Orders of a merchant that have evidence: order_count."""
     sellers = domain.platforms(spark, sf_dir).where(normal_name(F.col("merchant")) == F.lit(normalized_name)).select("suppkey")
-    return domain.lines(spark, sf_dir).join(F.broadcast(sellers), "suppkey").agg(F.countDistinct("orderkey").alias("order_count"))
+    return domain.lines(spark, sf_dir).join(sellers, "suppkey").agg(F.countDistinct("orderkey").alias("order_count"))
 
 
 def merchant_item_price_history(spark: SparkSession, sf_dir: str, merchant_name: str, item_name: str) -> DataFrame:
     """Prices of a merchant's items whose name contains the given one, in time."""
     sellers = domain.platforms(spark, sf_dir).where(normal_name(F.col("merchant")) == F.lit(merchant_name)).select("suppkey")
-    bought = domain.item_observations(spark, sf_dir).where(F.col("item").contains(F.lit(item_name))).join(F.broadcast(sellers), "suppkey")
+    bought = domain.item_observations(spark, sf_dir).where(F.col("item").contains(F.lit(item_name))).join(sellers, "suppkey")
     return bought.select("orderkey", "item", unit_price(F.col("spend"), F.col("quantity")).alias("amount"), F.lit(domain.CURRENCY).alias("currency"), "occurred_on", F.sha2("line_key", 256).alias("source_hash"))
 
 

@@ -122,9 +122,25 @@ def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.limited(_events(spark, sf_dir), 2, 3600.0)
 
 
-@query("html_visible_text")
+#: The character references that the pages use.
+NAMED = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+_PLAIN = "regexp_replace(t, '</?[A-Za-z][^>]*>', ' ', 'g')"
+for _name, _sign in NAMED:
+    _PLAIN = f"replace({_PLAIN}, '{_name}', '{_sign}')"
+
+
+@query(
+    "html_visible_text",
+    rf"""WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<[!?][^>]*>', ' ', 'g') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?is)<script[^>]*>.*?</script[^>]*>', ' ', 'g'), '(?is)<style[^>]*>.*?</style[^>]*>', ' ', 'g') AS t FROM a),
+    c AS (SELECT page_id, regexp_replace(t, '(?is)<head(\s[^>]*)?>.*?</head[^>]*>', ' ', 'g') AS t FROM b),
+    d AS (SELECT page_id, regexp_replace(t, '(?i)</?({'|'.join(ingestion.BLOCKS)})([\s/][^>]*)?>', chr(10), 'g') AS t FROM c),
+    e AS (SELECT page_id, string_split({_PLAIN}, chr(10)) AS lines FROM d),
+    v AS (SELECT page_id, array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS visible FROM e)
+    SELECT page_id, length(visible) AS length, sha256(visible) AS sha256 FROM v""",
+)
 def html_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("visible", ingestion.html_to_text(F.col("html")))
+    pages = table(spark, sf_dir, "pages").withColumn("visible", ingestion.visible_text(F.col("html")))
     return pages.select("page_id", F.length("visible").alias("length"), F.sha2("visible", 256).alias("sha256"))
 
 

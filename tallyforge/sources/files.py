@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tallyforge.operators.ingestion import visible_text
 
-MAIL = "path string, place bigint, message_id string, sender string, subject string, sent_at string, body string, attachments array<struct<name: string, bytes: bigint, is_pdf: boolean, sha256: string>>"
+MAIL = "path string, place bigint, message_id string, sender string, subject string, sent_at string, body string, is_html boolean, attachments array<struct<name: string, bytes: bigint, is_pdf: boolean, sha256: string>>"
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -30,7 +30,7 @@ def _parts(raw: bytes) -> dict:
     import hashlib
 
     message = email.message_from_bytes(raw, policy=email.policy.default)
-    body, files = "", []
+    body, is_html, files = "", False, []
     for part in message.walk():
         if part.is_multipart():
             continue
@@ -40,13 +40,14 @@ def _parts(raw: bytes) -> dict:
             files.append({"name": name, "bytes": len(payload), "is_pdf": payload.startswith(b"%PDF-"), "sha256": hashlib.sha256(payload).hexdigest()})
         elif part.get_content_maintype() == "text" and not body:
             text = payload.decode(part.get_content_charset() or "utf-8", "replace") if _known(part.get_content_charset()) else payload.decode("utf-8", "replace")
-            body = visible_text(text) if part.get_content_subtype() == "html" else text
+            body, is_html = text, part.get_content_subtype() == "html"
     return {
         "message_id": "msg_" + hashlib.sha256(raw).hexdigest()[:16],
         "sender": str(message.get("from", "")),
         "subject": str(message.get("subject", "")),
         "sent_at": str(message.get("date", "")),
         "body": body,
+        "is_html": is_html,
         "attachments": files,
     }
 
@@ -63,20 +64,23 @@ def _known(charset: str | None) -> bool:
 def read_mailboxes(spark: SparkSession, path: str) -> DataFrame:
     """One row for each message of mbox files, equal messages once: Spark splits the files at "From " lines.
 
-    Messages are read as records, so a mailbox of any size is never in memory whole.
+    Messages are read as records, so a mailbox of any size is never in memory whole. A record's bytes
+    are handed on as they are in the file: each part is decoded by its own character set. The body is
+    the first text part, a page's as what a reader sees of it.
     """
-    lines = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"), F.col("value"))
+    lines = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("value"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for p, at, value in zip(batch.path, batch.place, batch.value, strict=True):
-                raw = value.split("\n", 1)[1] if "\n" in value else ""
+                _, _, raw = value.partition(b"\n")
                 if raw.strip():
-                    rows.append({"path": p, "place": at, **_parts(raw.encode("utf-8", "surrogateescape"))})
-            yield pd.DataFrame(rows, columns=["path", "place", "message_id", "sender", "subject", "sent_at", "body", "attachments"])
+                    rows.append({"path": p, "place": at, **_parts(raw)})
+            yield pd.DataFrame(rows, columns=["path", "place", "message_id", "sender", "subject", "sent_at", "body", "is_html", "attachments"])
 
-    return lines.mapInPandas(work, MAIL).dropDuplicates(["message_id"])
+    mails = lines.mapInPandas(work, MAIL).dropDuplicates(["message_id"])
+    return mails.withColumn("body", F.when(F.col("is_html"), visible_text(F.col("body"))).otherwise(F.col("body"))).drop("is_html")
 
 
 def attachment_faults(files: DataFrame, declared: DataFrame) -> DataFrame:

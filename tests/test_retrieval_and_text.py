@@ -97,9 +97,19 @@ def test_classification(spark):
     assert items.where(~ingestion.item_name(F.col("r"), F.col("h")).eqNullSafe(F.col("want"))).count() == 0
 
 
-def test_visible_text():
-    html = "<html><head><title>t</title><style>x{}</style></head><body><p>One  two</p><script>no()</script><div>A &amp; B<br>C</div></body></html>"
-    assert ingestion.visible_text(html) == "One two\nA & B\nC"
+def test_visible_text(spark):
+    pages = {
+        "<html><head><title>t</title><style>x{}</style></head><body><p>One  two</p><script>no()</script><div>A &amp; B<br>C</div></body></html>": "One two\nA & B\nC",
+        "a<b>b</b>c": "a b c",
+        '<p>x<script>var t = "</p></head>";</script>y</p>z': "x y\nz",
+        '<a title="1 > 0">in</a> 1 < 2 &lt;i&gt; <!-- <p>gone</p> -->left': "in 1 < 2 <i> left",
+        "<header>kept</header><head>gone": "kept",
+        "\u2028one\u00a0two\x0b three\r\n\r\n": "one two\nthree",
+        "": "",
+    }
+    frame = spark.createDataFrame([*pages.items(), (None, None)], "html string, wanted string")
+    for row in frame.withColumn("got", ingestion.visible_text(F.col("html"))).collect():
+        assert row.got == row.wanted, row
 
 
 def test_batches(spark):

@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -99,6 +100,14 @@ def test_mailbox(spark, tmp_path):
     assert [(a.name, a.is_pdf, a.bytes) for a in got[0].attachments] == [("bill.pdf", True, 9)]
 
 
+def test_mailbox_keeps_bytes(spark, tmp_path):
+    """An 8-bit part is decoded by its own character set, and the id is of the file's bytes."""
+    raw = "From: a@b.c\nSubject: x\nContent-Type: text/plain; charset=iso-8859-1\nContent-Transfer-Encoding: 8bit\n\nCaf\u00e9 cr\u00e8me".encode("iso-8859-1")
+    (tmp_path / "b.mbox").write_bytes(b"From a@b.c Thu Jan  1 00:00:00 2024\n" + raw)
+    row = files.read_mailboxes(spark, f"{tmp_path}/b.mbox").first()
+    assert row.body == "Caf\u00e9 cr\u00e8me" and row.message_id == "msg_" + hashlib.sha256(raw).hexdigest()[:16]
+
+
 def test_archive_digest_ignores_order(spark, tmp_path):
     frame = spark.range(50).withColumn("v", F.col("id") * 2)
     a = files.write_archive({"t": frame}, f"{tmp_path}/a")
