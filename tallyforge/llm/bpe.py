@@ -11,7 +11,9 @@ occurrence, in a table that is emptied when it is full. The tokenizer file's pat
 parameter; results equal those of the `tokenizers` library without special tokens added. A
 special token's own string in a text becomes its id, as there.
 
-Null text counts as empty text and has no ids. Only the two named columns are read.
+Null text counts as empty text and has no ids. Repeated rows are encoded alike; an empty table gives an
+empty result; a very long text is split into words and encoded whole by the task that reads it. Of equal
+ranks the leftmost is merged first. Only the two named columns are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ tokens or more (HEAVY words at most, so their table is broadcast) are scored whe
 the others as (row, word hash, number) rows joined with the counts by shuffling.
 
 Null text counts as empty: one end token. Repeated rows are scored alike. With no training rows
-all counts are 0. Only id and text are read.
+all counts are 0. An empty table gives an empty result. Only id and text are read, so other columns'
+names don't matter. A very long text's words are held by the task that reads it (as 16-bit classes past
+the first step); the recursions go over it in blocks of SPAN tokens, whose boundary values alone are kept.
 """
 
 from __future__ import annotations
@@ -156,12 +158,13 @@ def _columns(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
-def _forward(model: Model, flat: np.ndarray, begins: np.ndarray, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward values by time, and the scale of each."""
+def _forward(model: Model, flat: np.ndarray, begins: np.ndarray, kind: type = np.float64, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward values by time, and the scale of each; `before`: the values of the time before the first, for a later block of a text."""
     values = np.ascontiguousarray(model.emit.T, dtype=kind)[flat]
     scales = np.empty(len(flat), dtype=kind)
-    values[: begins[1]] *= model.start.astype(kind)
-    move, before = model.move.astype(kind), None
+    if before is None:
+        values[: begins[1]] *= model.start.astype(kind)
+    move = model.move.astype(kind)
     space = np.empty((begins[1], len(model.start)), dtype=kind)
     for t in range(len(begins) - 1):
         a, b = begins[t], begins[t + 1]
@@ -174,10 +177,23 @@ def _forward(model: Model, flat: np.ndarray, begins: np.ndarray, kind: type = np
     return values, scales
 
 
-def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+def _blocks(model: Model, sequence: np.ndarray, span: int, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]]:
+    """A long sequence block by block: the block, the forward values before it, its own and their scales."""
+    before = None
+    for a in range(0, len(sequence), span):
+        block = sequence[a : a + span].astype(np.int64)
+        values, scales = _forward(model, block, np.arange(len(block) + 1), kind, before)
+        yield block, before, values, scales
+        before = values[-1:].copy()
+
+
+def log_likelihoods(model: Model, sequences: list[np.ndarray], span: int = SPAN) -> np.ndarray:
     """log10 probability of each class sequence (of one class at least), by the scaled forward recursion."""
     out = np.zeros(len(sequences))
-    for group in _batches(sequences):
+    for group in _batches(sequences, span):
+        if len(sequences[group[0]]) > span:
+            out[group[0]] = sum(float(np.log10(scales).sum()) for *_, scales in _blocks(model, sequences[group[0]], span, np.float64))
+            continue
         flat, begins = _columns([sequences[i] for i in group])
         scales = np.log10(_forward(model, flat, begins)[1])
         logs = np.zeros(len(group))
@@ -187,14 +203,41 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Model, sequences: list[np.ndarray], kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long_counts(model: Model, sequence: np.ndarray, span: int, kind: type, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+    """Adds a long sequence's expected counts: forward once for the blocks' boundaries, then block by block from the last one."""
+    boundaries = [(a, before) for a, (_, before, _, _) in zip(range(0, len(sequence), span), _blocks(model, sequence, span, kind), strict=True)]
+    turned, edge = np.ascontiguousarray(model.move.T, dtype=kind), None
+    for a, before in reversed(boundaries):
+        block = sequence[a : a + span].astype(np.int64)
+        alpha, scales = _forward(model, block, np.arange(len(block) + 1), kind, before)
+        after = np.ascontiguousarray(model.emit.T, dtype=kind)[block] / scales[:, None]
+        back = np.ones_like(after)
+        if edge is not None:
+            np.matmul(edge, turned, out=back[-1:])
+            move += (alpha[-1:].T @ edge) * model.move
+        for t in range(len(block) - 1, 0, -1):
+            after[t] *= back[t]
+            np.matmul(after[t], turned, out=back[t - 1])
+        move += (alpha[:-1].T @ after[1:]) * model.move
+        edge = after[:1] * back[:1]
+        back *= alpha
+        if before is None:
+            start += back[0]
+        for s in range(len(start)):
+            emit[:, s] += np.bincount(block, weights=back[:, s], minlength=len(emit))
+
+
+def expected_counts(model: Model, sequences: list[np.ndarray], kind: type = np.float64, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, moves and emissions (states x classes) of the sequences.
 
     `kind` is the type of the recursions' numbers, which stay near 1 by scaling; sums are doubles.
     """
     k, classes = model.emit.shape
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k))
-    for group in _batches(sequences):
+    for group in _batches(sequences, span):
+        if len(sequences[group[0]]) > span:
+            _long_counts(model, sequences[group[0]], span, kind, start, move, emit)
+            continue
         flat, begins = _columns([sequences[i] for i in group])
         alpha, scales = _forward(model, flat, begins, kind)
         after = np.ascontiguousarray(model.emit.T, dtype=kind)[flat]

@@ -39,6 +39,13 @@ def test_recursions_equal_sums_over_paths():
         assert np.allclose(got, want)
 
 
+def test_blocks_of_a_long_sequence_change_nothing():
+    sequences = [np.array(RNG.integers(0, 5, n)) for n in (50, 7, 21, 1, 14, 8)]
+    assert np.allclose(log_likelihoods(MODEL, sequences, span=7), log_likelihoods(MODEL, sequences))
+    for got, want in zip(expected_counts(MODEL, sequences, span=7), expected_counts(MODEL, sequences), strict=True):
+        assert np.allclose(got, want)
+
+
 def test_long_sequence_is_finite():
     assert np.isfinite(log_likelihoods(MODEL, [np.zeros(30_000, dtype=int)])).all()
 

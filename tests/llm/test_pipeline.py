@@ -55,6 +55,16 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
 
 
+def test_quality_stage_on_odd_tables(spark, tmp_path):
+    """No documents, no labels, nulls, repeated rows, a very long text and a clashing column."""
+    docs = spark.createDataFrame([(1, "a b " * 200_000, "x"), (2, None, "y"), (2, None, "y"), (None, "", None)], "doc_id bigint, text string, quality string")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for frame in (docs, docs.limit(0)):
+        # Nothing is learned: every row scores 0.5 and goes.
+        got = corpus_pipeline.keep_good(spark, frame, str(tmp_path))
+        assert got.columns == docs.columns and got.count() == 0
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.createDataFrame([(1, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for name, stage in corpus_pipeline.STAGES[1:4]:
