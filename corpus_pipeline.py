@@ -1,7 +1,9 @@
 """The corpus pipeline: quality filter, exact dedup, near-duplicate removal, PII redaction, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next stage's docs. All but the last return the columns of `documents`.
+read again as the next stage's docs. All but the last return the columns of `documents`, whatever
+others the table has beside id and text. An empty table gives an empty result in every stage; very long
+texts are taken whole, each by the task that reads it.
 """
 
 from __future__ import annotations
@@ -14,28 +16,44 @@ from tallyforge.session import materialise, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects (score below the threshold)."""
+    """Drops the documents that the quality classifier rejects (score below the threshold).
+
+    Null and empty texts are scored by the model's bias alone; repeated rows fare alike; a score equal to
+    the threshold is kept. Without labels nothing is learned, every score is 0.5 and all documents go.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.scorer(docs, model) >= quality.THRESHOLD)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of equal texts."""
+    """Keeps the least id of each group of equal texts.
+
+    Null texts equal empty ones. Of rows with the same id and text one stays; a null id loses against others.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near-duplicates."""
+    """Keeps the least id of each group of near-duplicates.
+
+    Null and empty texts have no shingles, link with nothing and stay, as do rows without an id. Rows of one id share its fate.
+    """
     return ngram_join.drop_near_copies(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind's mark and counts the characters anew."""
+    """Replaces personal data by its kind's mark and counts the characters anew.
+
+    Null texts stay null, with a null count. Rows are redacted one by one, repeated ones alike.
+    """
     return docs.withColumn("text", pii.redacted()).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of up to 2048 tokens."""
+    """Packs the texts into sequences of up to 2048 tokens.
+
+    Null and empty texts are their end id alone. Repeated rows are packed as separate documents.
+    """
     import public_tokenizers
 
     return packing.piece_digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
