@@ -158,6 +158,11 @@ class PrefixCoder:
 
     def fill(self, words: list[bytes]) -> list[np.ndarray]:
         """For each piece the last token of each of its prefixes."""
+        last, first, _ = self._fill(words)
+        return np.split(last, first[1:]) if words else []
+
+    def _fill(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entries of all pieces in one array, with each piece's begin and size."""
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         first = np.cumsum(sizes) - sizes
         buffer = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
@@ -187,7 +192,7 @@ class PrefixCoder:
                 # Of prefixes that are settled no further token is tried; of the others the next one.
                 left = ~new & (last[e - 1] < 0)
                 e, t = e[left], t[left]
-        return np.split(last, first[1:]) if len(words) else []
+        return last, first, sizes
 
     def _walk(self, last: np.ndarray, ends: list[int], tokens: list[int], begin: int = 0) -> None:
         """Fills one piece's entries from `begin` on, of matches in order."""
@@ -238,12 +243,30 @@ class PrefixCoder:
 
     def encode_pieces(self, words: list[bytes]) -> list[bytes]:
         """Ids of each piece (of one byte at least), as little-endian unsigned 32-bit integers."""
-        parts = [x for x in words if x not in self.rank]
-        found = dict(zip(parts, map(self._back, parts, self.fill(parts)), strict=True))
-        return [found[x] if x in found else self.rank[x].to_bytes(4, "little") for x in words]
-
-    def _back(self, piece: bytes, last: np.ndarray) -> bytes:
-        return np.array(self.ids(piece, last.tolist()), dtype="<u4").tobytes()
+        out = [self.rank[x].to_bytes(4, "little") if x in self.rank else b"" for x in words]
+        where = [i for i, x in enumerate(out) if not x]
+        last, first, sizes = self._fill([words[i] for i in where])
+        for k in np.flatnonzero(sizes > LONG_PIECE).tolist():
+            ids = self.ids(words[where[k]], last[first[k] : first[k] + sizes[k]].tolist())
+            out[where[k]] = np.array(ids, dtype="<u4").tobytes()
+        who = np.flatnonzero(sizes <= LONG_PIECE)
+        at, owners, tokens = (first + sizes)[who], [who[:0]], [last[:0]]
+        # One step back for all pieces at a time.
+        while len(who):
+            owners.append(who)
+            tokens.append(last[at - 1])
+            at = at - self.length[tokens[-1]]
+            more = at > first[who]
+            who, at = who[more], at[more]
+        owner, token = np.concatenate(owners[::-1]), np.concatenate(tokens[::-1])
+        order = np.argsort(owner, kind="stable")
+        flat, ends = token[order].astype("<u4").tobytes(), np.cumsum(np.bincount(owner, minlength=len(where)) * 4).tolist()
+        begin = 0
+        for i, end in zip(where, ends, strict=True):
+            if end > begin:
+                out[i] = flat[begin:end]
+            begin = end
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
