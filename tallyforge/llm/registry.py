@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallyforge.llm import bpe, exact_dedup, hmm, langid, line_dedup, media, ngram_join, packing, pii, prefix_bpe, quality
+from tallyforge.llm import bpe, exact_dedup, hmm, langid, line_dedup, media, ngram_join, packing, pii, prefix_bpe, quality, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_media_columns": media.op10_media_columns,
         "op12_prefix_bpe": prefix_bpe.op12_prefix_bpe,
+        "op13_whitening": whitening.op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
