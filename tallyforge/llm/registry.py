@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallyforge.llm import bpe, exact_dedup, hmm, langid, line_dedup, media, ngram_join, packing, pii, prefix_bpe, quality, whitening
+from tallyforge.llm import bpe, collocations, exact_dedup, hmm, langid, line_dedup, media, ngram_join, packing, pii, prefix_bpe, quality, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_quality": quality.op8_quality,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_media_columns": media.op10_media_columns,
+        "op11_collocations": collocations.op11_collocations,
         "op12_prefix_bpe": prefix_bpe.op12_prefix_bpe,
         "op13_whitening": whitening.op13_whitening,
         "pipeline": corpus_pipeline.run,
@@ -31,4 +32,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op9_exact_dedup": exact_dedup.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL}
