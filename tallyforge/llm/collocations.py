@@ -35,9 +35,11 @@ from tallyforge.llm.batches import map_batches, texts
 from tallyforge.session import materialise, table
 
 #: Bytes of text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bitmap blocks that are extended at a time; each meets the words of its block, 64 at most.
-CHUNK = 1 << 14
+CHUNK = 1 << 12
+#: Phrases that are handed over at a time (about).
+ROWS = 1 << 16
 #: Bits of a gate: 8 MB.
 GATE_BITS = 1 << 26
 #: Classes of the first step of ranking.
@@ -219,6 +221,9 @@ def counted(docs: DataFrame, size: int, gates: list) -> DataFrame:
             for some, numbers in mine(shard, size, tables):
                 members.append(some)
                 counts.append(numbers)
+                if sum(map(len, counts)) >= ROWS:
+                    yield shard.rows(np.concatenate(members), np.concatenate(counts))
+                    members, counts = [], []
             if members:
                 yield shard.rows(np.concatenate(members), np.concatenate(counts))
             if size == 1:
