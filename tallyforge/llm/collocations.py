@@ -7,9 +7,11 @@ ANDed with the bitmaps of the words in the same blocks; what is left are the phr
 counts. Phrases are extended depth-first, a range of first words at a time, and an empty position stops every one.
 Spark sums the popcounts over shards.
 
-A phrase reaches the least count only if all its parts do. So phrases are counted by length, and from each
-length on a table of bits by hash says which parts may go on; its size is fixed (GATE_BITS), and what it
-lets through by chance only costs counting, never correctness. A table that fills up, as the corpus grows, prunes less.
+A phrase reaches the least count only if all its parts do. So words are counted first, then longer phrases by
+their checksums alone (a sum over all phrases of a checksum is no less than each one's), and from each
+length on a table of bits says which phrases may be frequent enough and go on. In the end those and the longest ones are counted by
+their words. A table's size is fixed (GATE_BITS); what it lets through by chance only costs counting, never
+correctness. A table that fills up, as the corpus grows, prunes less.
 
 Scores are quotients of whole numbers with 38 digits. The highest-ranked phrases of a language are picked in two
 steps, within hash classes first, so that no task sorts all candidates of a language.
@@ -38,8 +40,6 @@ from tallyforge.session import materialise, table
 SHARD_BYTES = 2 << 20
 #: Bitmap blocks that are extended at a time; each meets the words of its block, 64 at most.
 CHUNK = 1 << 12
-#: Phrases that are handed over at a time (about).
-ROWS = 1 << 16
 #: Bits of a gate: 8 MB.
 GATE_BITS = 1 << 26
 #: Classes of the first step of ranking.
@@ -161,14 +161,12 @@ class Bitmaps:
         return node[who], self.item[entry], block[who], both[hit]
 
 
-def mine(shard: Shard, size: int, gates: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(items of phrases, counts) of the shard's phrases of `size` words all whose parts the gates let through; gates[k]: of k + 1 words.
+def mine(shard: Shard, size: int, gates: list[np.ndarray], sums_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """(items of phrases, counts, checksums) of the shard's phrases of 2 to `size` words that the gates let through.
 
-    A phrase may come in several parts, whose counts add up.
+    gates[k] is for phrases of k + 1 words; of the longest phrases, which have no gate, all parts are let through. `sums_only`:
+    just the longest ones; else their checksums are left out. A phrase may come in several parts, whose counts add up.
     """
-    if size == 1:
-        yield np.arange(len(shard.count))[:, None], shard.count
-        return
     crc, spaced = shard.crcs()
     opens = lambda k, sums: (gates[k][(at := np.array(sums, dtype=np.int64) % GATE_BITS) >> 3] >> (at & 7)) & 1 > 0
     held = opens(0, crc)[shard.item]
@@ -176,32 +174,34 @@ def mine(shard: Shard, size: int, gates: list[np.ndarray]) -> Iterator[tuple[np.
     order = np.argsort(maps.item, kind="stable")
     n_items = len(shard.count)
 
-    def extend(members: np.ndarray, sums: list[int], node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def extend(members: np.ndarray, sums: list[int], node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
         """Phrases that begin with those of `members`; entries (node, block, mask) are the bitmaps."""
         parent, item, block, mask = maps.follow(node, block, mask)
         codes, node = np.unique(parent * n_items + item, return_inverse=True)
         parent, item = codes // n_items, codes % n_items
         members = np.hstack([members[parent], item[:, None]])
         length = members.shape[1]
+        counts = np.bincount(node, weights=np.bitwise_count(mask), minlength=len(codes))
         if length == size:
-            counts = np.bincount(node, weights=np.bitwise_count(mask), minlength=len(codes))
             if size > 2:
                 # The first words have been let through on the way; now all but the first.
                 tails = [crc[x] for x in members[:, 1].tolist()]
                 for column in members[:, 2:].T:
                     tails = [zlib.crc32(spaced[x], s) for x, s in zip(column.tolist(), tails, strict=True)]
                 good = opens(size - 2, tails)
-                members, counts = members[good], counts[good]
-            yield members, counts
+                members, counts, item, parent = members[good], counts[good], item[good], parent[good]
+            yield members, counts, [zlib.crc32(spaced[x], sums[p]) for x, p in zip(item.tolist(), parent.tolist(), strict=True)] if sums_only else []
             return
         sums = [zlib.crc32(spaced[x], sums[p]) for x, p in zip(item.tolist(), parent.tolist(), strict=True)]
         good = opens(length - 1, sums)
+        if not sums_only:
+            yield members[good], counts[good], []
         rest = np.flatnonzero(good[node])
         # Entries by node again, so that a range of them is a range of phrases.
         rest = rest[np.argsort(node[rest], kind="stable")]
         yield from ranges(members, sums, node[rest], block[rest], mask[rest])
 
-    def ranges(members: np.ndarray, sums: list[int], node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def ranges(members: np.ndarray, sums: list[int], node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
         for begin in range(0, len(node), CHUNK):
             part = slice(begin, begin + CHUNK)
             low, high = int(node[part][0]), int(node[part][-1]) + 1
@@ -210,50 +210,61 @@ def mine(shard: Shard, size: int, gates: list[np.ndarray]) -> Iterator[tuple[np.
     yield from ranges(np.arange(n_items)[:, None], crc, maps.item[order], maps.block[order], maps.mask[order])
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, phrase, f of all words; all words of a language together under phrase null."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for shard in (Shard(*x) for x in _shards(batches)):
+            yield shard.rows(np.arange(len(shard.count))[:, None], shard.count)
+            totals = np.bincount(shard.lang_of, weights=shard.count, minlength=len(shard.langs)).astype(np.int64)
+            yield {"lang": shard.langs, "phrase": [None] * len(totals), "f": totals}
+
+    return map_batches(docs, work, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def sum_counts(docs: DataFrame, size: int, gates: list) -> DataFrame:
+    """crc, f: how many phrases of `size` words that the gates (broadcast tables) let through have a checksum."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        tables = [np.frombuffer(x.value, dtype=np.uint8) for x in gates]
+        for shard in (Shard(*x) for x in _shards(batches)):
+            for _, counts, sums in mine(shard, size, tables, sums_only=True):
+                yield {"crc": np.array(sums, dtype=np.uint32).view(np.int32), "f": counts.astype(np.int64)}
+
+    return map_batches(docs, work, "crc int, f bigint").groupBy("crc").agg(F.sum("f").alias("f")).select(F.expr("crc & 4294967295L").alias("crc"), "f")
+
+
 def counted(docs: DataFrame, size: int, gates: list) -> DataFrame:
-    """lang, phrase, f: how often each phrase of `size` words that the gates (broadcast tables) let through occurs; for one word also all words, phrase null."""
+    """lang, phrase, f: how often each phrase of 2 to `size` words that the gates (broadcast tables) let through occurs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         tables = [np.frombuffer(x.value, dtype=np.uint8) for x in gates]
-        for body, langs in _shards(batches):
-            shard = Shard(body, langs)
-            members, counts = [], []
-            for some, numbers in mine(shard, size, tables):
-                members.append(some)
-                counts.append(numbers)
-                if sum(map(len, counts)) >= ROWS:
-                    yield shard.rows(np.concatenate(members), np.concatenate(counts))
-                    members, counts = [], []
-            if members:
-                yield shard.rows(np.concatenate(members), np.concatenate(counts))
-            if size == 1:
-                totals = np.bincount(shard.lang_of, weights=shard.count, minlength=len(shard.langs)).astype(np.int64)
-                yield {"lang": shard.langs, "phrase": [None] * len(totals), "f": totals}
+        for shard in (Shard(*x) for x in _shards(batches)):
+            for members, counts, _ in mine(shard, size, tables):
+                yield shard.rows(members, counts)
 
     return map_batches(docs, work, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def gate_of(phrases: DataFrame) -> bytes:
-    """GATE_BITS bits: set where a phrase's checksum of language and words falls."""
-    bit = F.crc32(F.concat("lang", F.lit("\0"), "phrase").cast("binary")) % GATE_BITS + 1
-    found = phrases.where(F.col("phrase").isNotNull()).select(bit.alias("bit"))
+def gate_of(sums: DataFrame) -> bytes:
+    """GATE_BITS bits, set where a checksum of column `crc` falls."""
+    found = sums.select((F.col("crc") % GATE_BITS + 1).alias("bit"))
     out = bytearray(GATE_BITS // 8)
     for number, bits in found.groupBy(F.bitmap_bucket_number("bit").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit"))).collect():
         out[(number - 1) * len(bits) : number * len(bits)] = bits
     return bytes(out)
 
 
-def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> list[DataFrame]:
-    """For each length up to `longest`: lang, phrase, f of the phrases that occur `least` times; with the words, all words of a language under phrase null."""
-    spark = docs.sparkSession
+def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """lang, phrase, f of the words and of the phrases of 2 to `longest` words that occur `least` times; with the words, all words of a language under phrase null."""
+    context = docs.sparkSession.sparkContext
     read = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    levels, gates = [], []
-    for size in range(1, longest + 1):
-        found = counted(read, size, gates).where((F.col("f") >= least) | F.col("phrase").isNull())
-        levels.append(materialise(found, f"phrases{size}"))
-        if size < longest:
-            gates.append(spark.sparkContext.broadcast(gate_of(levels[-1])))
-    return levels
+    words = materialise(word_counts(read).where((F.col("f") >= least) | F.col("phrase").isNull()), "words")
+    known = words.where(F.col("phrase").isNotNull()).select(F.crc32(F.concat("lang", F.lit("\0"), "phrase").cast("binary")).alias("crc"))
+    gates = [context.broadcast(gate_of(known))]
+    for size in range(2, longest):
+        gates.append(context.broadcast(gate_of(sum_counts(read, size, gates).where(F.col("f") >= least))))
+    return words, materialise(counted(read, longest, gates).where(F.col("f") >= least), "phrases")
 
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2_000, covers: int = 50, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -262,11 +273,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     A phrase's score is that of its weakest cut; phrases inside a longer candidate that has at least `covers` per cent of their
     count are dropped.
     """
-    levels = phrase_counts(docs, longest, least, text_col, lang_col)
-    known = levels[0].where(F.col("phrase").isNotNull())
-    for level in levels[1:]:
-        known = known.unionByName(level)
-    phrases = known.where(F.instr("phrase", " ") > 0).select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
+    words, found = phrase_counts(docs, longest, least, text_col, lang_col)
+    known = words.where(F.col("phrase").isNotNull()).unionByName(found)
+    phrases = found.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
     parts = phrases.where(F.size("words") > 2).select(
         "lang", "a", F.explode(F.expr("flatten(transform(sequence(2, size(words) - 1), m -> transform(sequence(1, size(words) - m + 1), i -> array_join(slice(words, i, m), ' '))))")).alias("phrase")
     )
@@ -285,7 +294,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     classes = Window.partitionBy("lang", F.crc32(F.col("phrase").cast("binary")) % CLASSES).orderBy(*order)
     some = scored.withColumn("rank", F.row_number().over(classes)).where(F.col("rank") <= top)
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)
-    totals = levels[0].where(F.col("phrase").isNull()).select("lang", F.col("f").alias("n"))
+    totals = words.where(F.col("phrase").isNull()).select("lang", F.col("f").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -79,7 +79,9 @@ def test_small_shards_and_full_gates(spark, monkeypatch):
     got = Counter()
     for texts in ([x] for x in body):
         shard = Shard(texts, ["en"])
-        for members, counts in mine(shard, 3, full):
+        for members, counts, _ in mine(shard, 3, full):
+            if members.shape[1] == 2:
+                continue
             out = shard.rows(members, counts)
             for phrase, f in zip(out["phrase"].to_pylist(), out["f"].to_pylist(), strict=True):
                 got[phrase] += f
