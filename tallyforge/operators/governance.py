@@ -36,9 +36,16 @@ OFF_SCOPE = (
     r"\b(?:translate|translation|paraphrase)\b.{0,50}\b(?:this|text|paragraph|document|sentence|into|from)\b",
     r"\b(?:plan|book|recommend|organize)\b.{0,60}\b(?:trip|travel|vacation|flight|hotel|itinerary)\b",
     r"\b(?:solve|answer|do|complete|write)\b.{0,50}\b(?:homework|exam|assignment|quiz|thesis)\b",
+    r"\b(?:give|provide|offer|seek|need|want|request)\b.{0,50}\b(?:medical|health|symptom|diagnos|treatment|medication|legal|lawyer|lawsuit|contract\s+advice|tax\s+advice)\b",
+    r"\b(?:medical|health|symptom|diagnos|treatment|medication|legal|lawyer|lawsuit|contract\s+advice|tax\s+advice)\b.{0,50}\b(?:advice|help|diagnos|treatment)\b",
+    r"\b(?:give|provide|write|create|recommend|suggest)\b.{0,40}\b(?:recipe|cooking|meal\s+plan|workout|fitness\s+plan)\b",
 )
 ALWAYS_OFF_SCOPE = 5
-IN_SCOPE = r"\b(?:order|orders|merchant|restaurant|item|items|price|prices|fee|fees|tax|taxes|discount|discounts|invoice|invoices|delivery|spend|spending|refund|platform|evidence)\b"
+#: Words of the domain.
+IN_SCOPE = (
+    r"\b(?:order|invoice|receipt|meal|food|restaurant|merchant|outlet|item|price|cost|fee|delivery|discount|promotion|tax|payment|refund|spend(?:ing)?|membership|subscription|platform|"
+    r"swiggy|zomato|biryani|grocery|instamart|history|reconcile|reconciliation|elasticity|substitution|anomaly|financial|economic|evidence|document|transaction|charge|tip|coupon|total)\b"
+)
 #: Keywords that a read-only query text can't have.
 WRITES = r"\b(?:CREATE|MERGE|DELETE|DETACH|SET|REMOVE|DROP)\b"
 
@@ -55,11 +62,16 @@ COMPONENT_WORDS = (
     ("refund", ("refund", "refunded")),
 )
 PLATFORM_WORDS = ("swiggy", "zomato")
+#: Names that a public payload can't have.
+FORBIDDEN_NAMES = ("address", "document_id", "email", "fssai", "gstin", "invoice_id", "message_id", "order_id", "pan", "payment_reference", "phone", "sha256", "source_hash")
+#: The data files that a repository may have, and the endings of private files.
+PUBLIC_DATA = ("data/public/README.md", "data/evals/README.md")
+PRIVATE_ENDINGS = (".eml", ".key", ".mbox", ".pdf", ".pem", ".zip")
 
 
-@F.udf(T.StringType())
+@F.udf(T.StringType(), useArrow=True)
 def _normal_form(text):
-    """NFKC; null if a control or format character is in it."""
+    """NFKC; null for null and if a control or format character is in it."""
     if text is None:
         return None
     text = unicodedata.normalize("NFKC", text)
@@ -76,7 +88,8 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
 def clean_question(text: Column) -> Column:
     """The question in compatibility form with single spaces; null where a control or format character makes it unfit."""
     plain = text.rlike(r"^[\x20-\x7E\s]*$") & ~text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
-    return F.when(plain, F.trim(F.regexp_replace(text, r"\s+", " "))).otherwise(_normal_form(text))
+    # Python sees every row before the choice is made, so plain texts are handed over as null.
+    return F.when(plain, F.trim(F.regexp_replace(text, r"\s+", " "))).otherwise(_normal_form(F.when(~plain, text)))
 
 
 def refusal(question: Column) -> Column:
@@ -156,15 +169,13 @@ def last_turns(turns: DataFrame, session: str, order: str, n: int = 8) -> DataFr
 
 def private_columns(frame: DataFrame) -> list[str]:
     """Names of columns, nested ones too, that a public frame can't have."""
-    forbidden = ("sha256", "source_hash", "order_id", "message_id", "document_id", "chunk_id")
-
     def walk(kind, path):
         found = []
         if isinstance(kind, T.StructType):
             for field in kind.fields:
                 name = field.name.lower()
                 here = f"{path}.{field.name}" if path else field.name
-                found += [here] if name in forbidden or "private" in name or name.startswith("raw_") else walk(field.dataType, here)
+                found += [here] if name in FORBIDDEN_NAMES or "private" in name or name.startswith("raw_") else walk(field.dataType, here)
         elif isinstance(kind, T.ArrayType):
             found += walk(kind.elementType, path)
         elif isinstance(kind, T.MapType):
@@ -182,9 +193,11 @@ def private_values(frame: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def repository_fault(path: Column) -> Column:
-    """Why a file path can't be published, null if it can. The patterns are fixed values."""
+    """Why a file path can't be tracked in public, null if it can: data files, private endings (case aside) and environment files."""
+    path = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", "")
+    name = F.substring_index(path, "/", -1)
     return (
-        F.when(path.rlike(r"(?i)(^|/)\.env(\.|$)"), "secret_file")
-        .when(path.rlike(r"(?i)\.(pdf|mbox|eml|sqlite|parquet|jsonl)$"), "private_data")
-        .when(path.rlike(r"(^|/)(__pycache__|node_modules|\.venv)/"), "build_output")
+        F.when(path.startswith("data/") & ~path.isin(*PUBLIC_DATA), "data_file")
+        .when(path.rlike("(?i)(?:" + "|".join(map(re.escape, PRIVATE_ENDINGS)) + r")\z"), "private_file")
+        .when((name != ".env.example") & ((name == ".env") | name.startswith(".env.")), "secret_file")
     )

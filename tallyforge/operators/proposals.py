@@ -2,7 +2,7 @@
 
 Proposals come in as rows; nothing here calls a model. Chunks: bundle_id, cohort, chunk_id,
 place, text. Proposed regions: region_id, bundle_id, chunk_ids, facts, entities, title, summary,
-notes.
+embedding_text, notes, money (interpretations' texts), relations, conflicts (flags).
 """
 
 from __future__ import annotations
@@ -102,41 +102,43 @@ def span_faults(facts: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def audit(regions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds to each region its issues, in order.
+    """Adds to each region its issues, in order (names and rules are fixed values).
 
-    `sources` has region_id, source_text, source_facts, source_entities: what the region's chunks hold.
+    `sources` has region_id, source_text, source_facts, source_entities: what the region's chunks hold. Null arrays
+    count as empty, null texts as empty text. `notes` is an array of texts.
     """
+    held = regions.join(sources, "region_id", "left")
+    some = lambda name: F.coalesce(F.col(name), F.array().cast("array<string>"))
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
     lacks = lambda a, b: F.size(F.array_except(a, b)) > 0
-    texts = F.concat_ws("\n", "title", "summary")
-    aliases = F.filter(F.regexp_extract_all(texts, F.lit(ALIAS), F.lit(1)), lambda x: ~F.col("source_text").contains(x))
+    texts = F.concat_ws("\n", "title", "summary", "embedding_text")
+    aliases = F.filter(F.regexp_extract_all(texts, F.lit(ALIAS), F.lit(1)), lambda x: ~text("source_text").contains(x))
     numbers = lambda x: F.transform(F.regexp_extract_all(x, F.lit(f"({NUMBER})"), F.lit(1)), lambda y: F.replace(y, F.lit(","), F.lit("")))
-    sparse = (F.size("facts") == 0) & (F.size("entities") == 0) & (F.coalesce(F.length("notes"), F.lit(0)) == 0) & (F.size(F.split(F.trim("summary"), r"\s+")) < 8)
+    says_something = ("facts", "entities", "money", "relations", "conflicts", "notes")
+    sparse = (sum((F.size(some(x)) for x in says_something), F.lit(0)) == 0) & (F.size(F.filter(F.split(text("summary"), r"\s+"), lambda x: x != "")) < 8)
+    fallback = text("title").startswith("Preserved ") | F.exists(some("money"), lambda x: x.contains("Deterministic fallback"))
     checks = (
-        ("missing_fact_candidate", lacks("source_facts", "facts")),
-        ("missing_entity_candidate", lacks("source_entities", "entities")),
-        ("unsupported_fact_candidate", lacks("facts", "source_facts")),
-        ("unsupported_entity_candidate", lacks("entities", "source_entities")),
         ("temporary_source_alias", F.size(aliases) > 0),
-        ("duplicate_retrieval_text", F.col("title") == F.col("summary")),
+        ("missing_fact_candidate", lacks(some("source_facts"), some("facts"))),
+        ("missing_entity_candidate", lacks(some("source_entities"), some("entities"))),
+        ("unsupported_fact_candidate", lacks(some("facts"), some("source_facts"))),
+        ("unsupported_entity_candidate", lacks(some("entities"), some("source_entities"))),
+        ("duplicate_retrieval_text", F.trim(text("summary")) == F.trim(text("embedding_text"))),
+        ("deterministic_fallback", fallback),
         ("short_structurally_sparse", sparse),
-        ("uncited_amount_conflict", F.coalesce(lacks(numbers(F.col("notes")), numbers(F.col("source_text"))), F.lit(False))),
+        ("uncited_amount_conflict", F.array_contains(some("conflicts"), "amount_scope_conflict") & lacks(numbers(F.array_join(some("notes"), " ")), numbers(text("source_text")))),
     )
     found = F.filter(F.array(*[F.when(check, F.lit(name)) for name, check in checks]), lambda x: x.isNotNull())
-    return regions.join(sources, "region_id", "left").withColumn("issues", found)
+    return held.withColumn("issues", found)
 
 
 def repair(audited: DataFrame) -> DataFrame:
     """Drops what the sources don't support, restores what they hold, and takes temporary aliases out of texts."""
     clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s*\(?\bc\d{4}\b\)?", ""), r"\s+([,.;:])", "$1"))
     keep = lambda mine, source: F.array_sort(F.array_union(F.array_intersect(mine, source), source))
-    return audited.withColumns(
-        {
-            "facts": keep(F.col("facts"), F.col("source_facts")),
-            "entities": keep(F.col("entities"), F.col("source_entities")),
-            "title": F.when(F.array_contains("issues", "temporary_source_alias"), clean(F.col("title"))).otherwise(F.col("title")),
-            "summary": F.when(F.array_contains("issues", "temporary_source_alias"), clean(F.col("summary"))).otherwise(F.col("summary")),
-        }
-    )
+    named = F.array_contains("issues", "temporary_source_alias")
+    texts = {x: F.when(named, clean(F.col(x))).otherwise(F.col(x)) for x in ("title", "summary", "embedding_text")}
+    return audited.withColumns({"facts": keep(F.col("facts"), F.col("source_facts")), "entities": keep(F.col("entities"), F.col("source_entities"))} | texts)
 
 
 def quality_score(issues: Column) -> Column:

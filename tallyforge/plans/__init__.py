@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from tallyforge.plans import economics_queries, graph_queries, invariant_queries, region_queries, retrieval_queries, templates, text_queries, traversal_queries  # noqa: F401
+from tallyforge.plans import economics_queries, graph_queries, invariant_queries, proposal_queries, region_queries, retrieval_queries, templates, text_queries, traversal_queries  # noqa: F401

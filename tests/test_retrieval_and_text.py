@@ -127,7 +127,10 @@ def test_batches(spark):
 
 
 def test_audit_repair_and_choice(spark):
-    regions = spark.createDataFrame([("r1", "b", ["f1", "bad"], [], "Fee c0001", "Platform fee noted here (c0001) , plainly and at some length", "amount 12")], "region_id string, bundle_id string, facts array<string>, entities array<string>, title string, summary string, notes string")
+    regions = spark.createDataFrame(
+        [("r1", "b", ["f1", "bad"], [], "Fee c0001", "Platform fee noted here (c0001) , plainly and at some length", "fee text", ["amount 12"], [], [], ["amount_scope_conflict"])],
+        "region_id string, bundle_id string, facts array<string>, entities array<string>, title string, summary string, embedding_text string, notes array<string>, money array<string>, relations array<string>, conflicts array<string>",
+    )
     sources = spark.createDataFrame([("r1", "Platform fee 10", ["f1", "f2"], ["e"])], "region_id string, source_text string, source_facts array<string>, source_entities array<string>")
     found = proposals.audit(regions, sources)
     assert set(found.first().issues) == {"missing_fact_candidate", "missing_entity_candidate", "unsupported_fact_candidate", "temporary_source_alias", "uncited_amount_conflict"}
