@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.operators.archives import write_archive  # noqa: F401
 from tallyforge.operators.ingestion import visible_text
 
 MAIL = "path string, place bigint, message_id string, sender string, subject string, sent_at string, body string, is_html boolean, attachments array<struct<name: string, bytes: bigint, is_pdf: boolean, sha256: string>>"
@@ -97,24 +98,6 @@ def attachment_faults(files: DataFrame, declared: DataFrame) -> DataFrame:
     return both.withColumn("fault", fault).where("fault is not null").select("path", "fault")
 
 
-def write_archive(tables: dict[str, DataFrame], path: str, upstream: str = "") -> dict[str, tuple[int, str]]:
-    """Writes the tables as Parquet with a manifest of their row counts and digests; returns it.
-
-    A digest is the sum of the rows' hashes, so it depends on neither order nor partitions. Each
-    table's job commits as a whole, and the manifest is written last: an archive without one isn't complete.
-    """
-    found = {}
-    for name, frame in sorted(tables.items()):
-        frame.write.mode("overwrite").parquet(f"{path}/{name}")
-        back = frame.sparkSession.read.parquet(f"{path}/{name}")
-        n, total = back.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(F.to_json(F.struct(*sorted(back.columns)))).cast("decimal(38,0)")), F.lit(0))).first()
-        found[name] = (n, str(total))
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(name, n, digest, upstream) for name, (n, digest) in found.items()]
-    spark.createDataFrame(rows, "name string, rows bigint, digest string, upstream string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return found
-
-
 def embedding_faults(vectors: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """Vectors that break their contract and inputs without one: candidate_id, fault."""
     bad = F.when(F.size("embedding") != size, "wrong_size").when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), "not_a_number")
