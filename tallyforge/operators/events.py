@@ -91,32 +91,31 @@ def rollup(events: DataFrame, entities: DataFrame) -> DataFrame:
 
     `entities` has (orderkey, entity_id). Each chunk has its level, identity, number of events,
     exact total, period, and a digest of its events' ids. The digests stand for the lineage, which
-    is joined from `events` when needed; a year's event ids are never gathered in one row. The five
-    levels read the events from a table written once.
+    is joined from `events` when needed; a year's event ids are never gathered in one row. Bundles, entities
+    and years are added up from one aggregation by order and year, whose exchange they share; nothing is written, so columns that a reader leaves out are never made.
     """
-    base = materialise(events.select("event_id", "component_key", "orderkey", "amount", "occurred_at"), "events")
-    one = lambda level, identity: base.select(
+    lineage = F.xxhash64("event_id").cast("decimal(38,0)")
+    one = lambda level, identity: events.select(
         F.lit(level).alias("level"),
         F.col(identity).alias("identity"),
         F.lit(1).cast("bigint").alias("events"),
         F.col("amount").cast(SUM).alias("total"),
         F.col("occurred_at").alias("period_start"),
         F.col("occurred_at").alias("period_end"),
-        F.xxhash64("event_id").cast("decimal(38,0)").alias("lineage"),
+        lineage.alias("lineage"),
+    )
+    sums = events.groupBy("orderkey", F.year("occurred_at").alias("year")).agg(
+        F.count("*").alias("events"), F.sum("amount").cast(SUM).alias("total"), F.min("occurred_at").alias("period_start"), F.max("occurred_at").alias("period_end"), F.sum(lineage).cast("decimal(38,0)").alias("lineage")
     )
     many = lambda level, frame, identity: frame.groupBy(F.lit(level).alias("level"), identity.alias("identity")).agg(
-        F.count("*").alias("events"),
-        F.sum("amount").cast(SUM).alias("total"),
-        F.min("occurred_at").alias("period_start"),
-        F.max("occurred_at").alias("period_end"),
-        F.sum(F.xxhash64("event_id").cast("decimal(38,0)")).cast("decimal(38,0)").alias("lineage"),
+        F.sum("events").alias("events"), F.sum("total").cast(SUM).alias("total"), F.min("period_start").alias("period_start"), F.max("period_end").alias("period_end"), F.sum("lineage").cast("decimal(38,0)").alias("lineage")
     )
     chunks = [
         one("evidence_cell", "component_key"),
         one("event", "event_id"),
-        many("order_bundle", base, F.col("orderkey").cast("string")),
-        many("entity", base.join(entities.select("orderkey", "entity_id").distinct(), "orderkey"), F.col("entity_id")),
-        many("year_window", base, F.year("occurred_at").cast("string")),
+        many("order_bundle", sums, F.col("orderkey").cast("string")),
+        many("entity", sums.join(entities.select("orderkey", "entity_id").distinct(), "orderkey"), F.col("entity_id")),
+        many("year_window", sums, F.col("year").cast("string")),
     ]
     found = chunks[0]
     for chunk in chunks[1:]:

@@ -133,18 +133,20 @@ def latency_metrics(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Nearest-rank p50 and p95 of measured latencies; nulls don't count.
 
     Values are cut at approximate percentiles of their key. The pieces' exact counts tell which piece
-    holds a rank, and only those pieces, a hundredth of a key or so, are ordered; no key is gathered.
+    holds a rank, and only those pieces' distinct values, a hundredth of a key's or so, are ordered; no key is gathered, and a value that
+    many rows share is one row.
     """
     known = runs.where(F.col("latency_ms").isNotNull())
     cuts = known.groupBy(*keys).agg(F.percentile_approx("latency_ms", [i / 100 for i in range(1, 100)], 1_000).alias("cuts"))
-    cut = known.join(cuts, keys).withColumn("piece", F.size(F.filter("cuts", lambda x: x < F.col("latency_ms")))).drop("cuts")
+    values = known.groupBy(*keys, "latency_ms").agg(F.count("*").alias("times"))
+    cut = values.join(cuts, keys).withColumn("piece", F.size(F.filter("cuts", lambda x: x < F.col("latency_ms")))).drop("cuts")
     so_far = Window.partitionBy(*keys).orderBy("piece")
     # At most a hundred pieces a key.
-    pieces = cut.groupBy(*keys, "piece").agg(F.count("*").alias("n")).withColumn("end", F.sum("n").over(so_far)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+    pieces = cut.groupBy(*keys, "piece").agg(F.sum("times").alias("n")).withColumn("end", F.sum("n").over(so_far)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
     shares = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.lit(share) * F.col("all")).alias("rank")) for name, share in (("p50", 0.5), ("p95", 0.95))]))
     wanted = pieces.select(*keys, "piece", "n", "end", shares.alias("x")).where("x.rank <= end and x.rank > end - n").select(*keys, "piece", "x.name", (F.col("x.rank") - F.col("end") + F.col("n")).alias("place"))
-    placed = cut.join(wanted.select(*keys, "piece").distinct(), [*keys, "piece"]).withColumn("at", F.row_number().over(Window.partitionBy(*keys, "piece").orderBy("latency_ms")))
-    found = placed.join(wanted, [*keys, "piece"]).where("at = place").groupBy(*keys)
+    placed = cut.join(wanted.select(*keys, "piece").distinct(), [*keys, "piece"]).withColumn("at", F.sum("times").over(Window.partitionBy(*keys, "piece").orderBy("latency_ms")))
+    found = placed.join(wanted, [*keys, "piece"]).where("place > at - times and place <= at").groupBy(*keys)
     return found.agg(*[F.max(F.when(F.col("name") == name, F.col("latency_ms"))).alias(name) for name in ("p50", "p95")])
 
 
