@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tallyforge.operators.archives import write_archive  # noqa: F401
 from tallyforge.operators.ingestion import visible_text
 
-MAIL = "path string, place bigint, message_id string, sender string, subject string, sent_at string, body string, is_html boolean, attachments array<struct<name: string, bytes: bigint, is_pdf: boolean, sha256: string>>"
+MAIL = "path string, place bigint, message_id string, raw_sha256 string, provider_id string, sender string, subject string, sent_at string, body string, is_html boolean, attachments array<struct<name: string, bytes: bigint, is_pdf: boolean, sha256: string>>"
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -43,7 +43,9 @@ def _parts(raw: bytes) -> dict:
             text = payload.decode(part.get_content_charset() or "utf-8", "replace") if _known(part.get_content_charset()) else payload.decode("utf-8", "replace")
             body, is_html = text, part.get_content_subtype() == "html"
     return {
-        "message_id": "msg_" + hashlib.sha256(raw).hexdigest()[:16],
+        "message_id": "msg_" + (digest := hashlib.sha256(raw).hexdigest())[:16],
+        "raw_sha256": digest,
+        "provider_id": str(message.get("message-id", "") or ""),
         "sender": str(message.get("from", "")),
         "subject": str(message.get("subject", "")),
         "sent_at": str(message.get("date", "")),
@@ -63,7 +65,12 @@ def _known(charset: str | None) -> bool:
 
 
 def read_mailboxes(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each message of mbox files, equal messages once: Spark splits the files at "From " lines.
+    """The messages of mbox files, equal ones once."""
+    return read_messages(spark, path).dropDuplicates(["message_id"])
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each message of mbox files: Spark splits the files at "From " lines.
 
     Messages are read as records, so a mailbox of any size is never in memory whole. A record's bytes
     are handed on as they are in the file: each part is decoded by its own character set. The body is
@@ -78,9 +85,9 @@ def read_mailboxes(spark: SparkSession, path: str) -> DataFrame:
                 _, _, raw = value.partition(b"\n")
                 if raw.strip():
                     rows.append({"path": p, "place": at, **_parts(raw)})
-            yield pd.DataFrame(rows, columns=["path", "place", "message_id", "sender", "subject", "sent_at", "body", "is_html", "attachments"])
+            yield pd.DataFrame(rows, columns=["path", "place", "message_id", "raw_sha256", "provider_id", "sender", "subject", "sent_at", "body", "is_html", "attachments"])
 
-    mails = lines.mapInPandas(work, MAIL).dropDuplicates(["message_id"])
+    mails = lines.mapInPandas(work, MAIL)
     return mails.withColumn("body", F.when(F.col("is_html"), visible_text(F.col("body"))).otherwise(F.col("body"))).drop("is_html")
 
 
