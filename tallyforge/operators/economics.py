@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,14 +175,28 @@ def anomalies(series: DataFrame, keys: list[str], threshold: float = 3.5, segmen
     )
 
 
+def running_medians(values: list[float]) -> list[float]:
+    """The median of each prefix, by a heap of the lower half and one of the upper half."""
+    low, high, out = [], [], []
+    for x in values:
+        heapq.heappush(low, -heapq.heappushpop(high, x))
+        if len(low) > len(high) + 1:
+            heapq.heappush(high, -heapq.heappop(low))
+        out.append(-low[0] if len(low) > len(high) else (-low[0] + high[0]) / 2)
+    return out
+
+
 def change_points(series: DataFrame, keys: list[str], segment: int = 3, threshold: float = 0.5) -> DataFrame:
-    """Splits at which the median after differs from the one before by `threshold` of it or more (from 0: by anything)."""
-    found = anomalies(series, keys, segment=segment)
+    """Splits at which the median after differs from the one before by `threshold` of it or more (from 0: by anything).
+
+    Medians of all prefixes and of all suffixes come from one run each, so a series of n takes n log n steps.
+    """
 
-    def changes(i: Column) -> Column:
-        before = exact_median(F.slice("values", F.lit(1), i))
-        after = exact_median(F.slice("values", i + 1, F.size("values") - i))
-        return F.when(before == 0, after != 0).otherwise(F.abs(after - before) / F.abs(before) >= threshold)
+    @F.udf("array<int>", useArrow=True)
+    def splits(values):
+        values = list(values)
+        before, after = running_medians(values), running_medians(values[::-1])[::-1]
+        changed = lambda a, b: b != 0 if a == 0 else abs(b - a) / abs(a) >= threshold
+        return [i for i in range(segment, len(values) - segment + 1) if changed(before[i - 1], after[i])]
 
-    splits = F.filter(F.sequence(F.lit(segment), F.size("values") - segment), changes)
-    return found.select(*keys, splits.alias("change_points"))
+    return anomalies(series, keys, segment=segment).select(*keys, splits("values").alias("change_points"))

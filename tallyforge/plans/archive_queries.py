@@ -1,11 +1,11 @@
-"""Registered queries over content digests."""
+"""Registered queries over content digests and time windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import archives
+from tallyforge.operators import archives, intervals
 from tallyforge.plans.catalog import query
 from tallyforge.session import table
 
@@ -53,3 +53,16 @@ def layout_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.map_from_entries(F.when(F.col("l_orderkey") % 2 == 0, F.array(flag, status)).otherwise(F.array(status, flag)))
     nested = table(spark, sf_dir, "lineitem").select(F.struct(shape.alias("page"), F.lit(1).alias("pages")).alias("shape"))
     return archives.layout_groups(nested, "shape").select("rows")
+
+
+@query(
+    "window_containment",
+    """WITH w AS (SELECT o_orderkey AS window_id, CAST(o_orderdate AS DATE) AS begins, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 700 AS INTEGER) AS ends FROM orders WHERE o_orderkey % 400 = 3)
+    SELECT window_id, count(*) AS lines, CAST(min(CAST(l_shipdate AS DATE)) AS VARCHAR) AS first_on FROM lineitem JOIN w ON CAST(l_shipdate AS DATE) >= begins AND CAST(l_shipdate AS DATE) < ends GROUP BY window_id""",
+)
+def window_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipped lines in windows of a day to two years, which overlap."""
+    begins = F.col("o_orderdate").cast("date")
+    windows = _orders(spark, sf_dir).where("o_orderkey % 400 = 3").select(F.col("o_orderkey").alias("window_id"), begins.alias("begins"), F.date_add(begins, (F.col("o_orderkey") % 700).cast("int")).alias("ends"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("shipped"))
+    return intervals.containing(lines, windows, "shipped", "begins", "ends").groupBy("window_id").agg(F.count("*").alias("lines"), F.min("shipped").cast("string").alias("first_on"))
