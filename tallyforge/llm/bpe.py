@@ -7,7 +7,7 @@ scan, deletion and refresh is one numpy call for thousands of words. A word long
 LONG_WORD bytes (a scan for each merge would take quadratic time) goes by a heap instead.
 
 Words come from the tokenizer file's own splitting rule; ids of a word are kept for its next
-occurrence, in a table that is emptied when it is full. The tokenizer file's path is a
+occurrence, in a table that is emptied when its bytes are too many; very long words aren't kept. The tokenizer file's path is a
 parameter; results equal those of the `tokenizers` library without special tokens added. A
 special token's own string in a text becomes its id, as there.
 
@@ -33,8 +33,8 @@ from tallyforge.llm.batches import id_and_text, map_batches, pieces, texts
 from tallyforge.session import table
 
 LONG_WORD = 64
-#: Words whose ids are kept at a time.
-KEPT_WORDS = 250_000
+#: Bytes of words and their ids that are kept at a time (about), what an entry takes besides them, and the longest word that is kept.
+KEPT_BYTES, ENTRY_BYTES, KEPT_WORD = 64 << 20, 200, 1 << 10
 NONE = np.int32(1 << 30)
 
 #: Fixed value: the splitting rule of byte-level BPE.
@@ -157,18 +157,24 @@ class Merges:
 
 
 class WordTable(dict):
-    """Ids of words met so far."""
+    """Ids of words met so far, within KEPT_BYTES and one batch."""
 
     def __init__(self, merges: Merges, to_bytes: Callable[[str], bytes]):
         super().__init__()
-        self.merges, self.to_bytes = merges, to_bytes
+        self.merges, self.to_bytes, self.bytes, self.long = merges, to_bytes, 0, []
 
     def learn(self, lists: list[list[str]]) -> None:
-        """Makes the ids of all words of the lists available."""
-        if len(self) > KEPT_WORDS:
+        """Makes the ids of all words of the lists available until the next call; long ones of the last call go."""
+        for word in self.long:
+            self.pop(word, None)
+        if self.bytes > KEPT_BYTES:
             self.clear()
+            self.bytes = 0
         new = [x for x in set().union(*lists) if x not in self]
-        self.update(zip(new, self.merges.encode_words([self.to_bytes(x) for x in new]), strict=True))
+        ids = self.merges.encode_words([self.to_bytes(x) for x in new])
+        self.update(zip(new, ids, strict=True))
+        self.long = [x for x in new if len(x) > KEPT_WORD]
+        self.bytes += sum(ENTRY_BYTES + 4 * len(x) + len(i) for x, i in zip(new, ids, strict=True) if len(x) <= KEPT_WORD)
 
 
 class ByteLevelEncoder:

@@ -8,7 +8,8 @@ time << 32 | first bin << 16 | second bin << 4 | distance.
 
 Null text counts as empty text, whose payload is 64 zero bytes. Equal texts give equal values.
 Other columns than the two named aren't read; an empty table gives an empty result. A very long
-text's samples are transformed in blocks of frames.
+text's samples become numbers and are transformed in blocks of frames, so beside its bytes and codes (some two thirds of a byte for
+each sample) it takes no more memory than a short one.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ RATE = 8_000
 #: Frames overlap by half, so that every sample stands near the middle of some window.
 FRAME, HOP = 512, 256
 PEAKS, AHEAD = 3, 2
-#: Frames that are transformed at a time, so that a long text needs no more memory than a short one.
-BLOCK = 4_096
+#: Frames that are transformed at a time.
+BLOCK = 512
 _WINDOW = np.hanning(FRAME)
 
 
@@ -59,14 +60,15 @@ def decode(media: bytes) -> bytes:
 
 
 def _peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, bins): the PEAKS strongest local maxima of each frame, by magnitude then bin; bin -1: none."""
+    """(frames, bins) of 8-bit samples: the PEAKS strongest local maxima of each frame, by magnitude then bin; bin -1: none."""
     n = max(1, -(-len(samples) // HOP))
-    padded = np.zeros((n - 1) * HOP + FRAME)
-    padded[: len(samples)] = samples
     bins = np.full((n, PEAKS), -1, dtype=np.int64)
     for begin in range(0, n, BLOCK):
         end = min(n, begin + BLOCK)
-        frames = np.lib.stride_tricks.sliding_window_view(padded[begin * HOP : (end - 1) * HOP + FRAME], FRAME)[::HOP]
+        part = samples[begin * HOP : (end - 1) * HOP + FRAME]
+        padded = np.zeros((end - begin - 1) * HOP + FRAME)
+        np.subtract(part, 128.0, out=padded[: len(part)])
+        frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
         power = np.round(np.log1p(np.abs(np.fft.rfft(frames * _WINDOW, axis=1))), 6)
         inner = power[:, 1:-1]
         inner = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, -1.0)
@@ -80,7 +82,7 @@ def _peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(samples: bytes) -> np.ndarray:
     """Time-coded peak pairs of 8-bit samples, in order of time, then of bins."""
-    time, bins = _peaks(np.frombuffer(samples, dtype=np.uint8).astype(np.float64) - 128.0)
+    time, bins = _peaks(np.frombuffer(samples, dtype=np.uint8))
     codes, n = [], len(time)
     for ahead in range(AHEAD + 1):
         for i in range(PEAKS):

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tallyforge.llm import bpe
 from tallyforge.llm.bpe import ByteLevelEncoder, Merges, decode, digests, encode
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,3 +53,12 @@ def test_frame(spark):
     want = sorted((str(i), len(ids_of(t or "")) // 4, hashlib.sha256(ids_of(t or "")).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert digests(decode(encode(docs.limit(0), PATH), PATH)).count() == 0
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 100_000)
+    coder = ByteLevelEncoder(PATH)
+    for i in range(40):
+        batch = [f"{i}x{k}y" * 3 for k in range(100)] + ["a" * 5000 + chr(97 + i % 26)]
+        assert coder.encode_batch(batch) == [ids_of(x) for x in batch]
+        assert coder.words.bytes < 300_000 and sum(len(x) > bpe.KEPT_WORD for x in coder.words) <= 1

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 
+from tallyforge.llm import media
 from tallyforge.llm.media import AHEAD, FRAME, HOP, PEAKS, decode, encode, features, fingerprints, payload_of, store
 
 
@@ -63,3 +64,21 @@ def test_equals_plain_transform():
     loud = quiet.copy()
     loud[FRAME - 4 : FRAME + 4] = bytes([0, 255] * 4)
     assert len(fingerprints(bytes(quiet))) == 0 < len(fingerprints(bytes(loud)))
+
+
+def test_long_texts_go_in_blocks(monkeypatch):
+    """Codes don't depend on the blocks, and numbers of a whole text are never made at once."""
+    import tracemalloc
+
+    samples = np.random.default_rng(1).integers(0, 256, 200_000, dtype=np.uint8).tobytes()
+    whole = media.fingerprints(samples)
+    monkeypatch.setattr(media, "BLOCK", 7)
+    assert np.array_equal(media.fingerprints(samples), whole)
+    monkeypatch.undo()
+    long = samples * 50
+    tracemalloc.start()
+    codes = media.fingerprints(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Codes twice over while they are sorted, the peaks, and a block; eight bytes a sample would be 80 MB.
+    assert peak < 4 * codes.nbytes + (24 << 20) < 8 * len(long)
