@@ -1,3 +1,3 @@
 """Registered queries; importing this package fills the registry."""
 
-from tallyforge.plans import archive_queries, economics_queries, graph_queries, inventory_queries, invariant_queries, median_queries, proposal_queries, region_queries, retrieval_queries, templates, text_queries, traversal_queries  # noqa: F401
+from tallyforge.plans import archive_queries, economics_queries, graph_queries, inventory_queries, invariant_queries, median_queries, proposal_queries, region_queries, retrieval_queries, session_queries, templates, text_queries, traversal_queries  # noqa: F401
