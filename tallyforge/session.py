@@ -80,6 +80,12 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name."""
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
 def discard(frame: DataFrame) -> None:
     """Deletes the files of a materialised frame that nothing will read any more."""
     place, files = _place(frame.sparkSession, frame.materialised_at)
