@@ -86,6 +86,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
 def discard(frame: DataFrame) -> None:
     """Deletes the files of a materialised frame that nothing will read any more."""
     place, files = _place(frame.sparkSession, frame.materialised_at)
