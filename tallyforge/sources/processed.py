@@ -29,14 +29,14 @@ def document_manifests(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """One manifest for each document: counts, digest of the whole text, processing status, and faults against what the inventory declared.
 
     documents: document_id, sha256, page_count, role, message_id. A document with a page that isn't accepted is quarantined and needs
-    OCR; one without pages is complete only if it declares none. Pages of no document aren't seen here (`page_faults`). Pages of
-    one document meet in one row, as its text does.
+    OCR; one without pages is complete only if it declares none. Pages of no document aren't seen here (`page_faults`). The digest is
+    the SHA-256 of the sum of its pages' 60-bit hashes (over number and text), so texts aren't moved and a document of very many pages is no single task's work.
     """
     judged = page_quality(pages)
-    order = F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"))))
+    page_hash = F.conv(F.left(F.sha2(F.concat_ws(":", "page_number", F.coalesce("text", F.lit(""))), 256), F.lit(15)), 16, 10).cast("decimal(38,0)")
     whole = judged.groupBy("document_id").agg(
         F.count("*").alias("found_pages"), F.sum("text_character_count").alias("text_character_count"), F.every("accepted").alias("quality_accepted"), F.every(F.col("text_character_count") > 0).alias("native_text_available"),
-        F.sha2(F.array_join(F.transform(order, lambda p: p["text"]), "\f"), 256).alias("full_text_sha256"),
+        F.sha2(F.sum(page_hash).cast("string"), 256).alias("full_text_digest"),
     )
     both = documents.join(whole, "document_id", "left").withColumns({"found_pages": F.coalesce("found_pages", F.lit(0)), "text_character_count": F.coalesce("text_character_count", F.lit(0))})
     accepted = F.coalesce("quality_accepted", F.lit(True))
@@ -69,26 +69,30 @@ def replace_rows(path: str, new: DataFrame, sources: DataFrame, key: str, bucket
     touched = {r.bucket for r in ids.select("bucket").distinct().collect()}  # `buckets` numbers at most
     if not touched:
         return
-    rows = new.withColumn("bucket", _bucket(key, buckets))
+    # New rows of a bucket meet, a large bucket in several tasks; kept rows lie by bucket already and aren't moved.
+    rows = new.withColumn("bucket", _bucket(key, buckets)).hint("rebalance", "bucket")
+    emptied: set[int] = set()
     if exists(spark, path):
-        kept = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(*touched)).join(ids.select(key), key, "left_anti")
-        rows = kept.select(*rows.columns).unionByName(rows)
-    rows = materialise(rows, "replaced")
-    left = {r.bucket for r in rows.select("bucket").distinct().collect()}
-    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        kept = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(*touched)).join(ids.select(key), key, "left_anti").select(*rows.columns)
+        rows = kept.unionByName(rows)
+        emptied = touched - {r.bucket for r in rows.select("bucket").distinct().collect()}
+    # Written apart first and put in place when all parts are there, so the table may be read meanwhile.
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     # An overwrite by parts leaves a part alone that has no row any more.
-    for bucket in touched - left:
+    for bucket in emptied:
         remove(spark, f"{path}/bucket={bucket}")
 
 
 def write_documents(path: str, documents: DataFrame, pages: DataFrame, buckets: int = 256) -> DataFrame:
     """Stores documents with their pages below `path`, in place of what was stored of them, and returns their manifests.
 
-    Documents with faults aren't stored, nor are pages of no document.
+    Documents with faults aren't stored, nor are pages of no document. Refused ids are narrow; where they are few, the pages
+    that carry the texts aren't shuffled to leave them out.
     """
     manifests = materialise(document_manifests(documents, pages), "manifests")
     sound = manifests.where(F.size("faults") == 0).drop("faults")
-    replace_rows(f"{path}/pages", page_quality(pages).join(sound.select("document_id"), "document_id", "left_semi"), sound, "document_id", buckets)
+    refused = materialise(pages.select("document_id").distinct().join(sound.select("document_id"), "document_id", "left_anti"), "refused", small=True)
+    replace_rows(f"{path}/pages", page_quality(pages).join(refused, "document_id", "left_anti"), sound, "document_id", buckets)
     replace_rows(f"{path}/documents", sound, sound, "document_id", buckets)
     return manifests
 
