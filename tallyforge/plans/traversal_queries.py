@@ -152,7 +152,7 @@ def resolution_archive_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "orders").select(key.alias("order_id"), key.alias("bundle_id"), key.alias("resolution_id"), F.array(key * 2).alias("candidate_ids"), customer.alias("c"))
     bundles = base.select("bundle_id", F.when(F.col("c") % 4 == 0, -1).otherwise(F.col("order_id")).alias("order_id"), "candidate_ids")
     differ = (F.col("c") % 4 == 2) & (F.col("order_id") % 3 == 0)
-    decisions = base.where(~((F.col("c") % 4 == 1) & (F.col("order_id") % 2 == 0))).select("resolution_id", F.when(differ, F.array(F.lit(0))).otherwise(F.col("candidate_ids")).alias("candidate_ids"))
+    decisions = base.where(~((F.col("c") % 4 == 1) & (F.col("order_id") % 2 == 0))).select("resolution_id", F.when(differ, F.array(F.lit(-1))).otherwise(F.col("candidate_ids")).alias("candidate_ids"))
     spare = base.where("order_id % 50 = 0").select((F.col("order_id") * 2 + 1).alias("candidate_id"))
     candidates = base.select((F.col("order_id") * 2).alias("candidate_id")).unionByName(spare)
     return traversal.archive_faults(candidates, base.drop("c"), bundles, decisions).groupBy("fault").agg(F.count("*").alias("n"))
