@@ -92,7 +92,8 @@ def event_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with faults planted by order, counted by the rule that each breaks."""
     events = ev.financial_events(domain.money_components(spark, sf_dir), domain.orders(spark, sf_dir))
     events = events.withColumns({
-        "event_id": _planted("orderkey % 7 = 0", F.upper("event_id"), "event_id"),
+        # Some ids have no letter, so upper case alone would leave them right.
+        "event_id": _planted("orderkey % 7 = 0", F.concat(F.lit("x"), "event_id"), "event_id"),
         "valid_from": _planted("orderkey % 11 = 0", F.lit("2001-01-01").cast("timestamp"), "valid_from"),
         "valid_to": _planted("orderkey % 11 = 0", F.lit("2000-01-01").cast("timestamp"), "valid_to"),
         "source_hash": _planted("orderkey % 13 = 0", F.lit(""), "source_hash"),

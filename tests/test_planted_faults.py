@@ -17,3 +17,9 @@ def tables(spark, path, orders):
 def test_candidates_of_order_0_differ(spark, tmp_path):
     found = QUERIES["resolution_archive_faults"](spark, tables(spark, tmp_path, [(0, 2), (3, 2), (1, 3)])).collect()
     assert {r.fault: r.n for r in found} == {"candidates_differ": 2, "not_in_exactly_one_order": 1}
+
+
+def test_an_id_without_letters_is_still_planted(spark, tmp_path):
+    # The content id of this order's total has digits only, so its upper case is the id itself.
+    found = QUERIES["event_faults"](spark, tables(spark, tmp_path, [(21432040, 1), (1, 1)])).collect()
+    assert {r.rule: r.n for r in found} == {"id_follows_from_the_content": 1}
