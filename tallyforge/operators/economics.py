@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.expressions import exact_median, ratio
+from tallyforge.functions.expressions import MONEY, exact_median, ratio
 
 SUM = "decimal(38,2)"
 
@@ -61,26 +61,28 @@ def price_index(base: DataFrame, current: DataFrame, keys: list[str]) -> DataFra
     )
 
 
-EXACT = "decimal(38,10)"
+#: Quantities of a group in a decomposition: with spend as MONEY, a product fits 38 digits and its quotient keeps eight places.
+QUANTITY = "decimal(13,2)"
 
 
 def decompose_spending(base: DataFrame, current: DataFrame, base_totals: DataFrame, current_totals: DataFrame, keys: list[str]) -> DataFrame:
     """Change of the observed total, split into effects that sum to it exactly.
 
     Baskets are frames of `basket_groups(..., comparable_only=False)`; totals have fees, taxes,
-    discounts, benefits and observed_total. Unit prices are rounded to ten places once, and
-    what that leaves goes to the residual, so the effects close.
+    discounts, benefits and observed_total. A group's spend at the other period's price is rounded to eight
+    places once and enters all three effects alike, so they close; unit prices are never rounded.
     """
     prices = _paired(base, current, keys, "full_outer")
-    p0, p1 = (F.col("s0") / F.col("q0")).cast(EXACT), (F.col("s1") / F.col("q1")).cast(EXACT)
-    dp, dq = (p1 - p0), (F.col("q1") - F.col("q0"))
+    s0, s1, q0, q1 = (F.col(x).cast(kind) for x, kind in (("s0", MONEY), ("s1", MONEY), ("q0", QUANTITY), ("q1", QUANTITY)))
+    # Old quantities at new prices, and new quantities at old prices.
+    repriced, old_cost = s1 * q0 / q1, s0 * q1 / q0
     both = F.col("s0").isNotNull() & F.col("s1").isNotNull()
     part = lambda x: F.coalesce(F.sum(F.when(both, x.cast("decimal(38,8)"))), F.lit(0)).cast("decimal(38,8)")
     mix = F.when(F.col("s0").isNull(), F.col("s1")).when(F.col("s1").isNull(), -F.col("s0"))
     effects = prices.groupBy(*keys).agg(
-        part(dp * F.col("q0")).alias("price_effect"),
-        part(dq * p0).alias("quantity_effect"),
-        part(dp * dq).alias("interaction_effect"),
+        part(repriced - s0).alias("price_effect"),
+        part(old_cost - s0).alias("quantity_effect"),
+        part(s1 + s0 - repriced - old_cost).alias("interaction_effect"),
         F.coalesce(F.sum(mix), F.lit(0)).cast(SUM).alias("item_mix_effect"),
     )
     names = ("fees", "taxes", "discounts", "benefits", "observed_total")

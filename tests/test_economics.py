@@ -33,6 +33,16 @@ def test_decomposition_closes(spark, baskets):
     assert effects == [40, 100, 20, 30, 5, 1, -10, -10, 0] and sum(effects) == got.observed_change == 176
 
 
+def test_decomposition_of_prices_without_an_end(spark):
+    basket = lambda *row: spark.createDataFrame([(1, "a", *map(Decimal, row))], "k int, `group` string, quantity decimal(38,2), spend decimal(38,2)")
+    schema = "k int, fees decimal(18,2), taxes decimal(18,2), discounts decimal(18,2), benefits decimal(18,2), observed_total decimal(18,2)"
+    old = spark.createDataFrame([(1, *map(Decimal, (0, 0, 0, 0, 100)))], schema)
+    new = spark.createDataFrame([(1, *map(Decimal, (0, 0, 0, 0, 100_000_000)))], schema)
+    got = economics.decompose_spending(basket(3, 100), basket(3_000_000, 100_000_000), old, new, ["k"]).first()
+    # Old and new price are both 100 / 3.
+    assert (got.price_effect, got.quantity_effect, got.interaction_effect, got.unexplained_residual) == (0, 99_999_900, 0, 0)
+
+
 def test_platform_economics(spark):
     schema = "k int, gross decimal(18,2), fees decimal(18,2), discounts decimal(18,2), benefits decimal(18,2), cost decimal(18,2), observed_total decimal(18,2), orders int"
     frame = spark.createDataFrame([(1, *map(Decimal, (440, 15, 30, 10, 100, 421)), 2), (2, *map(Decimal, (0, 1, 0, 0, 0, 0)), 1), (3, *map(Decimal, (1, 1, 0, 0, 5, 1)), 1)], schema)
