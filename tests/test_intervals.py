@@ -51,3 +51,10 @@ def test_running_medians_and_long_series(spark):
     begin = time.perf_counter()
     assert 60_000 in economics.change_points(long, ["k"]).first().change_points
     assert time.perf_counter() - begin < 60
+
+
+def test_lines_are_counted_by_day_before_windows_meet_them(spark):
+    from tallyforge.plans.catalog import QUERIES
+
+    plan = QUERIES["window_containment"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Join", 1)[1]
