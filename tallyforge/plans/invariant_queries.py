@@ -159,7 +159,7 @@ def archive_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda frame, name: frame.groupBy("component_type").agg(
         F.count("*").alias("rows"), F.sum("amount").cast("decimal(38,2)").alias("total"), F.sum(F.xxhash64("component_key", F.col("amount").cast("string")).cast("decimal(38,0)")).alias(name)
     )
-    dealt = digest(components.repartition(7, "amount"), "again").select("component_type", "again")
+    dealt = digest(components.repartition("amount"), "again").select("component_type", "again")
     return digest(components, "once").join(dealt, "component_type").select("component_type", "rows", "total", (F.col("once") == F.col("again")).alias("stable"))
 
 

@@ -23,3 +23,8 @@ def test_an_id_without_letters_is_still_planted(spark, tmp_path):
     # The content id of this order's total has digits only, so its upper case is the id itself.
     found = QUERIES["event_faults"](spark, tables(spark, tmp_path, [(21432040, 1), (1, 1)])).collect()
     assert {r.rule: r.n for r in found} == {"id_follows_from_the_content": 1}
+
+
+def test_rows_of_archive_digests_are_dealt_to_as_many_tasks_as_the_session_has(spark, tmp_path):
+    plan = QUERIES["archive_digests"](spark, tables(spark, tmp_path, [(1, 1)]))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
