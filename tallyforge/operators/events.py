@@ -37,7 +37,12 @@ def financial_events(components: DataFrame, sources: DataFrame) -> DataFrame:
     `untimed`. The observation clock is the latest time of the sources joined (see `observed_at`).
     """
     timed = components.join(sources.select("orderkey", "occurred_at"), "orderkey", "left")
-    return timed.select(
+    return events_of(timed, "occurred_at", F.col("occurred_at").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+
+
+def events_of(components: DataFrame, *times: Column | str) -> DataFrame:
+    """One event for each component, with the given columns of its times; without any, no source is met."""
+    return components.select(
         content_id(F.lit("financial-event-v1"), F.col("component_key")).alias("event_id"),
         "component_key",
         "orderkey",
@@ -46,9 +51,7 @@ def financial_events(components: DataFrame, sources: DataFrame) -> DataFrame:
         "component_type",
         "amount",
         "currency",
-        "occurred_at",
-        F.col("occurred_at").alias("valid_from"),
-        F.lit(None).cast("timestamp").alias("valid_to"),
+        *times,
         "source_key",
         F.sha2("source_key", 256).alias("source_hash"),
     )

@@ -11,7 +11,7 @@ from tallyforge.plans.catalog import query
 from tallyforge.plans.economics_queries import COMPONENTS
 from tallyforge.plans.templates import plan_questions
 from tallyforge.plans.text_queries import COMPONENT, PLATFORM, REFUSED, Q, _questions
-from tallyforge.session import materialise, table
+from tallyforge.session import table
 from tallyforge.sources import domain
 
 STEP_ACTION = "CASE l_returnflag WHEN 'A' THEN 'finish_answer' WHEN 'R' THEN 'run_metric' ELSE 'expand_neighbors' END"
@@ -113,13 +113,12 @@ def extended_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that events add to the graph; a customer's orders' totals supersede each other."""
     components, orders = domain.money_components(spark, sf_dir), domain.orders(spark, sf_dir)
     nodes, edges = graph.commerce_graph(orders, domain.lines(spark, sf_dir), domain.platforms(spark, sf_dir), components)
-    events = materialise(ev.financial_events(components, orders), "events")
-    totals = events.where("component_type = 'customer_total'").join(orders.select("orderkey", "custkey"), "orderkey")
+    totals = ev.financial_events(components.where("component_type = 'customer_total'"), orders).join(orders.select("orderkey", "custkey"), "orderkey")
     from pyspark.sql import Window
 
     before = F.lag("event_id").over(Window.partitionBy("custkey").orderBy("occurred_at", "orderkey"))
     links = totals.select(F.col("event_id").alias("new_id"), before.alias("old_id")).where("old_id is not null")
-    _, all_edges, missing = traversal.extend_with_events(nodes, edges, events, links)
+    _, all_edges, missing = traversal.extend_with_events(nodes, edges, ev.events_of(components), links)
     of_events = all_edges.where("source_node_id like 'financial_event:%' or target_node_id like 'financial_event:%'")
     kind = F.when(F.col("relationship_type") == "EVIDENCED_BY", "EVENT_EVIDENCE").otherwise(F.col("relationship_type"))
     lost = missing.groupBy().agg(F.count("*").alias("missing"))
