@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators import keys
 from tallyforge.operators.traversal import MOST_ROWS
+from tallyforge.session import materialise
 
 TOTAL = "decimal(38,2)"
 EVIDENCE = ["chunk_id", "source_id", "source_hash"]
@@ -58,10 +60,15 @@ def component_sums(facts: DataFrame) -> DataFrame:
     hashes, which needs no list of terms and doesn't depend on their order.
     """
     kept = facts.where("coalesce(component_id, '') <> '' and coalesce(currency, '') <> '' and amount is not null")
-    once = kept.groupBy("question_id", "component_id").agg(
-        F.min("amount").alias("amount"), F.max("amount").alias("most"), F.min("currency").alias("currency"), F.max("currency").alias("other"),
-        F.min("component_type").alias("component_type"), F.min("platform").alias("platform"),
-    )
+    # Most components come once: they stay where they are, and only those that may repeat meet by their ids.
+    alone, several = keys.divided(kept.select("question_id", "component_id", "amount", "currency", "component_type", "platform"), "question_id", "component_id")
+    once = alone.withColumns({"most": F.col("amount"), "other": F.col("currency")})
+    if several is not None:
+        again = several.groupBy("question_id", "component_id").agg(
+            F.min("amount").alias("amount"), F.max("amount").alias("most"), F.min("currency").alias("currency"), F.max("currency").alias("other"),
+            F.min("component_type").alias("component_type"), F.min("platform").alias("platform"),
+        )
+        once = once.unionByName(again)
     term = F.concat_ws("|", "component_id", "currency", F.col("amount").cast("string"))
     hashed = F.conv(F.substring(F.sha2(term, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     sums = once.groupBy("question_id").agg(
@@ -69,6 +76,8 @@ def component_sums(facts: DataFrame) -> DataFrame:
         F.max((F.col("amount") != F.col("most")) | (F.col("currency") != F.col("other"))).alias("conflict"), F.sum(hashed).alias("hashes"),
         F.min("component_type").alias("component_type"), F.min("platform").alias("platform"),
     )
+    # One row for each question.
+    sums = materialise(sums, "sums")
     # Only the terms of short sums are gathered: their number is the bound.
     few = once.join(sums.where(F.col("n") <= WRITTEN_TERMS).select("question_id"), "question_id", "left_semi")
     terms = few.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("component_id", _amount(F.col("amount"), F.col("currency")).alias("t")))).alias("terms"))

@@ -1,8 +1,10 @@
 """Steps that move hashes of wide keys: results as by the keys themselves, also where hashes meet."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evidence_graph, graph, keys, traversal
+from tallyforge.operators import answers, evidence_graph, graph, keys, traversal
 
 
 def frame(spark, rows, schema):
@@ -62,3 +64,13 @@ def test_events_whose_ends_are_missing(spark):
     assert more.count() == 5 and linked.count() == 7 and [r.node_id for r in missing.collect()] == ["chunk:z"]
     again = traversal.extend_with_events(more, linked, events, links)
     assert again[0].count() == 5 and again[1].count() == 7
+
+
+def test_components_that_come_once_stay_where_they_are(spark):
+    rows = [("q", f"c{i:02}", i, "INR", "tax", "p") for i in range(25)] + [("q", "c00", 0, "INR", "tax", "p"), ("s", "a", 1, "INR", "tax", "p"), ("s", "b", 2, "INR", "tax", "p"), ("s", "a", 1, "INR", "tax", "p"), ("t", "a", 1, "INR", "tax", "p"), ("t", "a", 2, "INR", "tax", "p")]
+    facts = frame(spark, [(q, c, Decimal(amount), *rest) for q, c, amount, *rest in rows], "question_id string, component_id string, amount decimal(18,2), currency string, component_type string, platform string")
+    found = {r.question_id: r for r in answers.component_sums(facts).collect()}
+    assert {k: (r.facts, r.fault) for k, r in found.items()} == {"q": (25, None), "s": (2, None), "t": (1, "conflicting_components")}
+    assert found["s"].calculation == "INR 1.00 + INR 2.00 = INR 3.00" and "= INR 300.00; term digest=" in found["q"].calculation
+    kept, several = keys.divided(facts, "question_id", "component_id")
+    assert kept.count() == 25 and {(r.question_id, r.component_id) for r in several.collect()} == {("q", "c00"), ("s", "a"), ("t", "a")}
