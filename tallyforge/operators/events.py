@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.expressions import content_id, lines_digest, sorted_set
+from tallyforge.operators import keys
 from tallyforge.session import materialise
 
 #: Component types of each event type (fixed values); what isn't listed is a residual.
@@ -36,8 +37,12 @@ def financial_events(components: DataFrame, sources: DataFrame) -> DataFrame:
     `sources` has orderkey and occurred_at. Components whose source has no time are found by
     `untimed`. The observation clock is the latest time of the sources joined (see `observed_at`).
     """
-    timed = components.join(sources.select("orderkey", "occurred_at"), "orderkey", "left")
-    return events_of(timed, "occurred_at", F.col("occurred_at").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    return timed_events(components.join(sources.select("orderkey", "occurred_at"), "orderkey", "left"))
+
+
+def timed_events(components: DataFrame) -> DataFrame:
+    """One event for each component that has its source's time, occurred_at, with it."""
+    return events_of(components, "occurred_at", F.col("occurred_at").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
 
 
 def events_of(components: DataFrame, *times: Column | str) -> DataFrame:
@@ -128,9 +133,8 @@ def rollup(events: DataFrame, entities: DataFrame) -> DataFrame:
 
 def uncovered(components: DataFrame, events: DataFrame) -> DataFrame:
     """Component keys that don't have exactly one event, and events of unknown components."""
-    wanted = components.groupBy("component_key").agg(F.count("*").alias("wanted"))
-    got = events.groupBy("component_key").agg(F.count("*").alias("got"))
-    return wanted.join(got, "component_key", "full_outer").where("wanted is null or got is null or wanted <> 1 or got <> 1")
+    found = keys.times(components.select("component_key"), events.select("component_key"), "component_key").withColumnsRenamed({"left": "wanted", "right": "got"})
+    return found.where("wanted is null or got is null or wanted <> 1 or got <> 1")
 
 
 def archive_digest(frame: DataFrame, line: Column, keys: list[str]) -> DataFrame:

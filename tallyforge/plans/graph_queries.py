@@ -20,7 +20,7 @@ events_ AS (SELECT orderkey, suppkey, {EVENT_TYPE} AS event_type, amount, CAST(o
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.financial_events(domain.money_components(spark, sf_dir), domain.orders(spark, sf_dir))
+    return ev.timed_events(domain.timed_components(spark, sf_dir))
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import answers, evidence_graph, graph, keys, traversal
+from tallyforge.operators import answers, events, evidence_graph, graph, keys, traversal
+from tallyforge.sources import domain
 
 
 def frame(spark, rows, schema):
@@ -74,3 +75,22 @@ def test_components_that_come_once_stay_where_they_are(spark):
     assert found["s"].calculation == "INR 1.00 + INR 2.00 = INR 3.00" and "= INR 300.00; term digest=" in found["q"].calculation
     kept, several = keys.divided(facts, "question_id", "component_id")
     assert kept.count() == 25 and {(r.question_id, r.component_id) for r in several.collect()} == {("q", "c00"), ("s", "a"), ("t", "a")}
+
+
+def test_coverage_counts_as_by_keys(spark):
+    rows = lambda *values: frame(spark, [(x,) for x in values], "component_key string")
+    found = events.uncovered(rows("a", "b", "b", "c", None), rows("a", "b", "d", "d", "e", None))
+    wanted = {("b", 2, 1), ("c", 1, None), ("d", None, 2), ("e", None, 1), (None, 1, None), (None, None, 1)}
+    assert {(r.component_key, r.wanted, r.got) for r in found.collect()} == wanted and found.count() == 6
+    # Counted without the keys, hashes alone are moved.
+    assert "min(component_key" not in plan(found.groupBy("wanted", "got").count())
+
+
+def test_timed_components_are_those_that_meet_their_order(spark, tmp_path):
+    frame(spark, [(1, 1, 1, 1, 1.0, 2.0, 0.0, 0.0, "O", "1996-01-01"), (3, 1, 1, 1, 1.0, 2.0, 0.5, 0.1, "F", "1996-01-02")],
+          "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linestatus string, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = frame(spark, [(1, 1, "O", 2.0, "1996-01-01"), (2, 1, "O", 3.0, "1996-01-01"), (2, 1, "O", 3.0, "1996-02-01")], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string")
+    orders.withColumn("o_orderdate", F.to_timestamp("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    timed = events.timed_events(domain.timed_components(spark, str(tmp_path)))
+    joined = events.financial_events(domain.money_components(spark, str(tmp_path)), domain.orders(spark, str(tmp_path)))
+    assert timed.columns == joined.columns and sorted(map(str, timed.collect())) == sorted(map(str, joined.collect())) and timed.count() == 11
