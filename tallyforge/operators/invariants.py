@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.expressions import content_id
+from tallyforge.operators import keys
 from tallyforge.operators.finance import require_none
 
 
@@ -22,9 +24,17 @@ def repeated(frame: DataFrame, key: str) -> DataFrame:
     return frame.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(f"unique_{key}").alias("rule"), F.col(key).cast("string").alias("key"))
 
 
+def violated(frame: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """`broken` and `repeated` together: one pass finds the hashes of keys that may recur or break a rule, and only rows that have one are looked at again."""
+    wrong = reduce(or_, [~F.coalesce(rule, F.lit(False)) for rule in rules.values()], F.lit(False))
+    hashes = keys.suspects(frame, key, wrong)
+    rows = frame.limit(0) if hashes.isEmpty() else keys.among(frame, key, hashes)
+    return broken(rows, key, rules).unionByName(repeated(rows, key))
+
+
 def orphans(frame: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
-    """Keys that `known` lacks."""
-    return frame.join(known.select(F.col(known_key).alias(key)), key, "left_anti").select(F.lit(f"known_{key}").alias("rule"), F.col(key).cast("string").alias("key")).distinct()
+    """Keys that `known` lacks. Each goes once to where it is looked up."""
+    return frame.select(key).distinct().join(known.select(F.col(known_key).alias(key)), key, "left_anti").select(F.lit(f"known_{key}").alias("rule"), F.col(key).cast("string").alias("key"))
 
 
 def together(parts: list[DataFrame]) -> DataFrame:
