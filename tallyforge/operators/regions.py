@@ -87,7 +87,8 @@ def chunk_documents(sources: DataFrame, blocks: DataFrame, cells: DataFrame) ->
     Results: source_id, strategy, status, reason, chunks. A document is refused whole: for a role
     that nobody knows, for a failed extraction, or for having nothing to cut.
     """
-    regions = block_regions(blocks).unionByName(table_regions(cells))
+    # Blocks go to their source before they meet its tables, so that what follows finds regions by source and moves no text again.
+    regions = block_regions(blocks.repartition("source_id")).unionByName(table_regions(cells))
     strategy = ingestion.chunk_strategy(F.col("role"))
     sound = F.coalesce(F.col("complete") & F.col("quality_accepted"), F.lit(False))
     judged = sources.select("source_id", strategy.alias("strategy"), F.when(strategy == "unknown_layout", "unknown_document_role").when(~sound, "phase1_quality_rejected").alias("reason"))

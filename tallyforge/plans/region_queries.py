@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators import ingestion, regions
@@ -29,15 +29,21 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as a table: a header row whose last header spans two columns, and a row for each line number."""
+    """Order lines as a table: a header row whose last header spans two columns, and a row for each line number. Lines are dealt by order once, before they become cells."""
     amount = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     row = F.col("l_linenumber").cast("int")
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_quantity", "l_extendedprice")).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
+    # A line is small and its cells are much work, so the number of parts is given: parts joined by their size would be too few.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").repartition(parts, "l_orderkey")
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_quantity", "l_extendedprice")).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
     cell = lambda column, text, span=1: F.struct(row.alias("row_index"), F.lit(column).alias("column_index"), F.lit(span).alias("column_span"), F.lit(False).alias("is_header"), text.alias("text"), F.lit(column * 10).alias("x0"), (row * 10 + 100).alias("y0"))
     head = lambda column, text, span=1: F.struct(F.lit(0).alias("row_index"), F.lit(column).alias("column_index"), F.lit(span).alias("column_span"), F.lit(True).alias("is_header"), F.lit(text).alias("text"), F.lit(column * 10).alias("x0"), F.lit(100).alias("y0"))
-    body = lines.select("l_orderkey", F.explode(F.array(cell(0, F.concat(F.lit(" part "), F.col("l_partkey").cast("string"))), cell(1, F.col("l_quantity").cast("int").cast("string")), cell(2, amount), cell(3, F.lit("INR")))).alias("c"))
-    top = lines.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(head(0, "Item"), head(1, "Quantity"), head(2, "Amount", 2))).alias("c"))
-    return top.unionByName(body).select(
+    body = F.array(cell(0, F.concat(F.lit(" part "), F.col("l_partkey").cast("string"))), cell(1, F.col("l_quantity").cast("int").cast("string")), cell(2, amount), cell(3, F.lit("INR")))
+    top = F.array(head(0, "Item"), head(1, "Quantity"), head(2, "Amount", 2))
+    # An order's first line brings the header row.
+    first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) == 1
+    cells = lines.withColumn("first", first).select("l_orderkey", F.explode(F.when(F.col("first"), F.concat(top, body)).otherwise(body)).alias("c"))
+    return cells.select(
         F.col("l_orderkey").alias("source_id"), F.lit(1).alias("page"), F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("table_id"), "c.*", F.lit(0).alias("table_x0"), F.lit(100).alias("table_y0")
     )
 

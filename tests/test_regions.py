@@ -101,3 +101,15 @@ def test_batches_of_inputs(spark):
     assert found[2]["path"] == "batches/" + hashlib.sha256(b'{"dimension":8,"model":"m","node_ids":[8,9]}').hexdigest() + ".json"
     with pytest.raises(ValueError):
         regions.embedding_batches(spark.range(1).select(F.col("id").alias("node_id")), 0, "m", 8)
+
+
+def test_text_of_dealt_cells_moves_once(spark):
+    rows = cells(spark, [(0, 0, 1, True, "Amount"), (1, 0, 1, False, "5")]).repartition("source_id")
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan(regions.table_regions(rows))
+    sources = spark.createDataFrame([(1, "zomato_merchant_invoice", True, True)], SOURCE)
+    blocks = spark.createDataFrame([(1, 1, "Order", 0, 0, 0)], BLOCK)
+    _, chunks = regions.chunk_documents(sources, blocks, rows)
+    # Cells, blocks and sources are dealt by source; regions aren't dealt again for their order.
+    assert "Union" in plan(chunks) and "ENSURE_REQUIREMENTS" not in plan(chunks).split("Union")[0]
+    assert [(r.kind, r.reading_order) for r in chunks.orderBy("reading_order").collect()] == [(0, 0), (1, 1), (2, 2)]
