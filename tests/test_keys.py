@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import answers, events, evidence_graph, graph, keys, traversal
+from tallyforge.operators import answers, events, evidence_graph, finance, graph, keys, traversal
 from tallyforge.sources import domain
 
 
@@ -94,3 +94,15 @@ def test_timed_components_are_those_that_meet_their_order(spark, tmp_path):
     timed = events.timed_events(domain.timed_components(spark, str(tmp_path)))
     joined = events.financial_events(domain.money_components(spark, str(tmp_path)), domain.orders(spark, str(tmp_path)))
     assert timed.columns == joined.columns and sorted(map(str, timed.collect())) == sorted(map(str, joined.collect())) and timed.count() == 11
+
+
+def test_dealt_components_are_the_same_and_move_once(spark, tmp_path):
+    frame(spark, [(1, 1, 1, 1, 1.0, 2.0, 0.0, 0.0, "O", "1996-01-01"), (1, 2, 1, 1, 1.0, 5.0, 0.5, 0.1, "O", "1996-01-01"), (3, 1, 1, 1, None, 2.0, 0.5, 0.1, "F", None), (None, 1, 1, 1, 1.0, 2.0, 0.5, 0.1, "F", "1996-01-02")],
+          "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linestatus string, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = frame(spark, [(1, 1, "O", 7.0), (2, 1, "O", None), (2, 1, "O", 3.0), (None, 1, "O", 3.0)], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double")
+    orders.withColumn("o_orderdate", F.lit(None).cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
+    one, other = domain.dealt_components(spark, str(tmp_path)), domain.money_components(spark, str(tmp_path))
+    assert one.columns and sorted(map(str, one.select(other.columns).collect())) == sorted(map(str, other.collect())) and one.count() == 16
+    found = finance.reconcile_bundles(one)
+    assert sorted(map(str, found.collect())) == sorted(map(str, finance.reconcile_bundles(other).collect()))
+    assert plan(finance.reconcile_bundles(one)).count("Exchange hashpartitioning") == 1
