@@ -91,3 +91,14 @@ def test_expressions(spark):
         unit_price(F.lit(Decimal("10.00")), F.lit(Decimal("3.00"))).alias("u"),
     ).first()
     assert (one.odd, one.even, one.p50, one.p95, one.t, one.u) == (Decimal("2.20"), 2.5, 20, 100, Decimal("0.01"), Decimal("3.33"))
+
+
+def test_sums_of_components_that_repeat(spark):
+    """Repeated components count once, by their greatest amount; those that come once move by no key."""
+    rows = components(spark, [(1, "tax", "1", ""), (1, "tax", "2", ""), (2, "tax", "4", ""), (2, "item_gross", "8", "")])
+    plan = finance.distinct_sum(rows, ["orderkey"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(orderkey" in plan and "component_key" not in plan.split("Exchange hashpartitioning")[1].split("\n")[0]
+    again = rows.unionByName(rows.where("amount = 1").withColumn("amount", F.lit(Decimal("1.50")).cast("decimal(18,2)"))).unionByName(rows.withColumn("currency", F.lit(None).cast("string")))
+    got = {tuple(r) for r in finance.distinct_sum(again, ["orderkey"]).collect()}
+    assert got == {(1, "INR", 2, Decimal("3.50")), (2, "INR", 2, Decimal("12.00"))}
+    assert {tuple(r) for r in finance.distinct_sum(again, []).collect()} == {("INR", 4, Decimal("15.50"))}
