@@ -12,6 +12,8 @@ currencies) is a row here: status `refused`, with the rule as the reason.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +34,12 @@ MERCHANT_LIMIT = "Merchant identity follows the current reviewed resolution stat
 MENTION_LIMIT = "Repeated names are mention-level evidence unless a reviewed person identity resolution exists."
 
 
-def paged(facts: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first rows of each group in the given order, with their `place`, as many as any question may read; each task keeps no more of a group before the shuffle."""
-    return facts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= MOST_ROWS)
+def paged(facts: DataFrame, keys: list[str], order: list[Column | str], place: Callable[[], Column] = F.row_number) -> DataFrame:
+    """The first rows of each group in the given order, with their `place`, as many as any question may read; each task keeps no more of a group before the shuffle.
+
+    With `dense_rank`, rows that repeat share a place.
+    """
+    return facts.withColumn("place", place().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= MOST_ROWS)
 
 
 def _amount(value: Column, currency: Column) -> Column:

@@ -17,7 +17,7 @@ from tallyforge.session import materialise
 MOST_HASHES = 1_000_000
 
 
-def _near(hashes: DataFrame) -> DataFrame:
+def near(hashes: DataFrame) -> DataFrame:
     """Hashes (written before), marked for broadcast where they are few."""
     return F.broadcast(hashes) if hashes.count() <= MOST_HASHES else hashes
 
@@ -33,7 +33,7 @@ def divided(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame | None]:
     again = materialise(_dealt(rows.select(h.alias("_h"))).groupBy("_h").count().where("count > 1").select("_h"), "again")
     if again.isEmpty():
         return rows, None
-    marked, again = rows.withColumn("_h", h), _near(again)
+    marked, again = rows.withColumn("_h", h), near(again)
     return marked.join(again, "_h", "left_anti").drop("_h"), marked.join(again, "_h", "left_semi").drop("_h")
 
 
@@ -71,9 +71,20 @@ def times(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.agg(F.min(key).alias(key), n(~F.col("_r")).alias("left"), n(F.col("_r")).alias("right")).drop("_h", "_g")
 
 
+def lacking(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """(key): the values of a narrow key that `known` has not, once each (null among them); only the keys move."""
+    return materialise(rows.select(key).distinct().join(known.select(key), key, "left_anti"), "lacking")
+
+
+def known_rows(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """The rows whose key `known` has. Where all have one, as is usual, no row moves or is looked at again; else the few keys that are missing go to the rows."""
+    rows, lost = rows.where(F.col(key).isNotNull()), lacking(rows.where(F.col(key).isNotNull()), key, known)
+    return rows if lost.isEmpty() else rows.join(near(lost), key, "left_anti")
+
+
 def among(rows: DataFrame, key: str, hashes: DataFrame) -> DataFrame:
     """The rows whose id is among hashes (of `uneven`)."""
-    return rows.withColumn("_h", F.xxhash64(key)).join(_near(hashes.select("_h")), "_h", "left_semi").drop("_h")
+    return rows.withColumn("_h", F.xxhash64(key)).join(near(hashes.select("_h")), "_h", "left_semi").drop("_h")
 
 
 def without(rows: DataFrame, key: str, others: DataFrame) -> DataFrame:

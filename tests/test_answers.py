@@ -4,6 +4,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tallyforge.operators import answers, traversal
+from tallyforge.plans import answer_queries
 
 EVIDENCE = "chunk_id string, source_id string, source_hash string"
 FULL = ("c", "s", "h")
@@ -113,3 +114,25 @@ def test_products_of_orders_are_paged_where_they_lie(spark):
     plan = facts._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert dealt and not any("question_id" in line.split("hashpartitioning(")[1].split("#")[0] for line in dealt)
+
+
+def test_merchants_of_one_name_and_lines_without_an_order(spark, tmp_path):
+    """Sellers of one name are one merchant; a repeated line is one chunk; lines of unknown orders and sellers count nowhere; lines move by no order's key."""
+    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save("region", [(0, "ASIA")], "r_regionkey int, r_name string")
+    save("nation", [(0, "INDIA", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    save("supplier", [(1, "A", 0), (2, "B", 0), (3, "A", 0), (4, "C", 0)], "s_suppkey bigint, s_name string, s_nationkey int")
+    save("orders", [(i, 1, "O", 1.0, None) for i in (1, 2, 2, 3)], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp")
+    lines = [(1, 1, 1), (1, 3, 1), (2, 3, 1), (2, 3, 1), (9, 1, 1), (None, 1, 1), (3, 2, 1), (3, 2, 2), (3, 77, 1), (3, None, 1)]
+    lines = [(o, 5, s, n, 1.0, 2.0, 0.0, 0.0, "O", None) for o, s, n in lines]
+    save("lineitem", lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linestatus string, l_shipdate timestamp")
+    got = {r.question_id: (r.status, r.facts, r.citations) for r in answer_queries.answers_merchant_orders(spark, str(tmp_path)).collect()}
+    assert got == {"1": ("verified", 2, 3), "3": ("verified", 2, 3), "2": ("verified", 1, 2), "4": ("abstained", 0, 0)}
+    bound = traversal.bind_slots(answer_queries._questions(spark.range(1), F.lit(1), "merchant_order_count", merchant_name=F.lit("a")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        facts = answer_queries.merchant_order_facts(spark, str(tmp_path), bound)
+        assert facts.count() == 3 and "hashpartitioning(orderkey" not in answer_queries.merchant_order_facts(spark, str(tmp_path), bound)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
