@@ -96,5 +96,6 @@ def scenario_pack_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.when(key % 19 == 0, "maybe").otherwise("inconclusive").alias("status"), F.lit("unresolved").alias("reconciliation_status"), F.lit(None).cast("decimal(18,2)").alias("residual"), F.when(key % 5 != 0, "no evidence").alias("abstention_reason")).alias("expected"),
     )
     path = _place(spark, "packs")
-    packs.write.json(path)
+    # Packs are as long as their lines' amounts in words, which repeat.
+    packs.write.json(path, compression="gzip")
     return scenarios.pack_faults(scenarios.read_packs(spark, path, lines=True)).groupBy("rule").agg(F.count("*").alias("n"))

@@ -101,3 +101,17 @@ def test_scenario_packs(spark, tmp_path):
     assert [tuple(r) for r in scenarios.uncited_money(packs).collect()] == [("scenario-pack:c7", "scenario-money:a", "scenario-doc:z")]
     both = scenarios.pack_faults(packs.where("scenario_id = 'scenario-pack:a-1'").unionByName(packs.where("scenario_id = 'scenario-pack:a-1'").drop("documents"), allowMissingColumns=True))
     assert {"unique_scenario_id", "documents_are_two_or_more", "money_names_a_declared_document"} <= {r.rule for r in both.collect()}
+
+
+def test_packs_are_written_compressed(spark):
+    """Packs in words are about twelve times as long as what they hold."""
+    from pathlib import Path
+
+    from tallyforge.plans import processed_queries
+    from tallyforge.session import shared_dir
+
+    place = Path(shared_dir(spark).removeprefix("file:")) / "tallyforge"
+    before = set(place.glob("packs-*"))
+    assert {r.rule for r in processed_queries.scenario_pack_faults(spark, "/root/testdata/sf0.001").collect()} >= {"documents_are_unique", "title_is_long_enough"}
+    (made,) = set(place.glob("packs-*")) - before
+    assert {"".join(x.suffixes[-2:]) for x in made.glob("part-*")} == {".json.gz"}
