@@ -82,6 +82,19 @@ def known_rows(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
     return rows if lost.isEmpty() else rows.join(near(lost), key, "left_anti")
 
 
+def values(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """(group, end, n): a row for each value of each column in a group, with the column's name and how many rows have it; nulls are left out.
+
+    Values are told apart by 96 bits, two hashes of different kinds, so no value moves.
+    """
+    ends = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).cast("tinyint").alias("end"), F.xxhash64(F.lit(i), c).alias("_h"), F.hash(F.lit(i), c).alias("_g"))) for i, c in enumerate(columns, 1)]
+    told = rows.select(group, F.explode(F.filter(F.array(*ends), lambda x: x.isNotNull())).alias("e")).select(group, "e.*")
+    # Hashes are small and pack well, so parts joined by their size would be too much for a task's memory: their number is given.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = told.repartition(parts, "_h").groupBy(group, "end", "_h", "_g").agg(F.count("*").alias("n"))
+    return each.select(group, F.element_at(F.array(*map(F.lit, columns)), F.col("end").cast("int")).alias("end"), "n")
+
+
 def among(rows: DataFrame, key: str, hashes: DataFrame) -> DataFrame:
     """The rows whose id is among hashes (of `uneven`)."""
     return rows.withColumn("_h", F.xxhash64(key)).join(near(hashes.select("_h")), "_h", "left_semi").drop("_h")

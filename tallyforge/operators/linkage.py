@@ -42,21 +42,24 @@ def known_tokens(texts: DataFrame, key: str, text: str, known: DataFrame, token:
     return near.select(key, "token").join(ids, "token").select(key, "token").distinct()
 
 
-def region_links(evidence: DataFrame, messages: DataFrame, regions: DataFrame) -> DataFrame:
-    """(evidence_id, region_id): regions that share a source with an evidence's message or its attachments.
+def region_links(evidence: DataFrame, messages: DataFrame, regions: DataFrame, *more: str) -> DataFrame:
+    """(evidence_id, region_id, more columns of the evidence): regions that share a source with an evidence's message or its attachments.
 
     evidence: evidence_id, message_id, kind, order_id; messages: message_id, attachments; regions:
     region_id, source_ids, order_ids. A history row links only to regions that name its order too: a
     statement's many rows and regions meet on source and order, not on the source alone.
     """
     scope = messages.select("message_id", F.explode(F.array_distinct(F.concat(F.array("message_id"), F.coalesce("attachments", F.array().cast("array<string>"))))).alias("source"))
-    reach = evidence.join(scope, "message_id")
+    reach = evidence.select("evidence_id", "message_id", "order_id", *dict.fromkeys(("kind", *more))).join(scope, "message_id")
+    link = ["evidence_id", "region_id", *more]
     sources = regions.select("region_id", "order_ids", F.explode(F.array_distinct("source_ids")).alias("source"))
     history = F.col("kind") == "history_row"
     named = sources.select("region_id", "source", F.explode(F.array_distinct("order_ids")).alias("order_id"))
-    rows = reach.where(history).join(named, ["source", "order_id"]).select("evidence_id", "region_id")
-    others = reach.where(~F.coalesce(history, F.lit(False))).join(sources.drop("order_ids"), "source").select("evidence_id", "region_id")
-    return rows.unionByName(others).distinct()
+    rows = reach.where(history).join(named, ["source", "order_id"]).select(*link)
+    others = reach.where(~F.coalesce(history, F.lit(False))).join(sources.drop("order_ids"), "source").select(*link)
+    # Links are dealt before they are told apart: nearly all differ, so that a task that joins them would only fill its memory with them.
+    parts = int(evidence.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.unionByName(others).repartition(parts, "evidence_id", "region_id").distinct()
 
 
 def link_faults(evidence: DataFrame, messages: DataFrame, regions: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import linkage
+from tallyforge.operators import keys, linkage
 from tallyforge.plans.catalog import query
 from tallyforge.session import table
 
@@ -53,8 +53,11 @@ LINES = "l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem)
 def evidence_region_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How labels and statements' rows link to regions."""
     evidence, messages, regions = _collection(spark, sf_dir)
-    links = linkage.region_links(evidence, messages, regions).join(evidence.select("evidence_id", "kind"), "evidence_id")
-    return links.groupBy("kind").agg(F.count("*").alias("links"), F.countDistinct("evidence_id").alias("evidence"), F.countDistinct("region_id").alias("regions"))
+    links = linkage.region_links(evidence, messages, regions, "kind")
+    # A link is there once and so is its side of a pair of ends: both ends are counted as rows of hashes, and links with the evidence's.
+    n = lambda end: F.count_if(F.col("end") == end)
+    ends = keys.values(links, "kind", "evidence_id", "region_id")
+    return ends.groupBy("kind").agg(F.sum(F.when(F.col("end") == "evidence_id", F.col("n"))).alias("links"), n("evidence_id").alias("evidence"), n("region_id").alias("regions"))
 
 
 @query(

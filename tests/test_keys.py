@@ -106,3 +106,9 @@ def test_dealt_components_are_the_same_and_move_once(spark, tmp_path):
     found = finance.reconcile_bundles(one)
     assert sorted(map(str, found.collect())) == sorted(map(str, finance.reconcile_bundles(other).collect()))
     assert plan(finance.reconcile_bundles(one)).count("Exchange hashpartitioning") == 1
+
+
+def test_values_are_counted_by_hashes(spark):
+    rows = frame(spark, [("g", "a", "x"), ("g", "a", "y"), ("h", "a", "a"), ("g", None, "x"), (None, "b", "b")], "g string, p string, q string")
+    found = keys.values(rows, "g", "p", "q")
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("g", "p", 2), ("g", "q", 2), ("g", "q", 1), ("h", "p", 1), ("h", "q", 1), (None, "p", 1), (None, "q", 1)]))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import linkage
+from tallyforge.plans import linkage_queries
 
 EVIDENCE = "evidence_id string, message_id string, kind string, order_id string"
 MESSAGES = "message_id string, attachments array<string>"
@@ -96,3 +97,11 @@ def test_from_chunks_to_reconciliations(spark):
     assert [r.component_id for r in missing.collect()] == ["gone"]
     runs = spark.createDataFrame([("x", "k1"), ("x", "k2"), ("x", "k3"), ("y", "k3"), ("z", "k2")], "run_id string, component_id string")
     assert sorted(tuple(r) for r in linkage.reconciled_orders(runs, found).collect()) == [("x", "o1"), ("x", "o2"), ("z", "o1"), ("z", "o2")]
+
+
+def test_links_carry_columns_and_are_counted_without_joining_again(spark):
+    evidence, messages, regions = (spark.createDataFrame(rows, schema) for rows, schema in zip(collection(4), (EVIDENCE, MESSAGES, REGIONS)))
+    links = linkage.region_links(evidence, messages, regions, "kind")
+    assert sorted(map(str, links.collect())) == sorted(map(str, linkage.region_links(evidence, messages, regions).join(evidence.select("evidence_id", "kind"), "evidence_id").collect()))
+    plan = linkage_queries.evidence_region_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("Join Inner") == 4
