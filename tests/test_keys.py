@@ -112,3 +112,13 @@ def test_values_are_counted_by_hashes(spark):
     rows = frame(spark, [("g", "a", "x"), ("g", "a", "y"), ("h", "a", "a"), ("g", None, "x"), (None, "b", "b")], "g string, p string, q string")
     found = keys.values(rows, "g", "p", "q")
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("g", "p", 2), ("g", "q", 2), ("g", "q", 1), ("h", "p", 1), ("h", "q", 1), (None, "p", 1), (None, "q", 1)]))
+
+
+def test_nodes_are_counted_without_their_properties(spark):
+    mentions = frame(spark, [("a", "merchant", "A", None, "p"), ("b", None, None, None, None), ("c", "delivery_partner", "C", "c", "p"), (None, "merchant", "A", "a", "p")], "mention_id string, entity_type string, raw_value string, normalized_value string, platform string")
+    tables = {"mentions": mentions, "platforms": frame(spark, [("x",), (None,)], "platform string"), "merchants": frame(spark, [], "merchant_id string, platform string, display_name string, normalized_name string")}
+    found = evidence_graph.node_counts(tables)
+    filled = F.size(F.map_filter("properties", lambda k, v: v.isNotNull()))
+    wanted = evidence_graph.nodes(tables).groupBy("label").agg(F.count("*").alias("n"), F.sum(filled).cast("bigint").alias("filled"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect())) and found.schema.simpleString() == wanted.schema.simpleString()
+    assert {r.label for r in found.collect()} == {"EntityMention", "PersonMention", "Platform"} and "map(" not in plan(evidence_graph.node_counts(tables))
