@@ -96,7 +96,8 @@ def reconciled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def known_id_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order numbers that whole texts name; each text is given one of its own, one that all share, and longer runs of digits."""
-    own, shared = (F.lit(FIRST) + F.col("doc_id") * 20).cast("string"), F.lit(str(FIRST + 7))
+    # A row without an id is given the shared number alone.
+    own, shared = F.coalesce((F.lit(FIRST) + F.col("doc_id") * 20).cast("string"), F.lit("")), F.lit(str(FIRST + 7))
     text = F.concat(F.coalesce("text", F.lit("")), F.lit(" order "), own, F.lit("; and "), shared, F.lit(", not "), own, F.lit("000000"), F.lit(" x"), shared, F.lit("x"))
     texts = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     known = table(spark, sf_dir, "orders").select((F.lit(FIRST) + F.col("o_orderkey")).cast("string").alias("id"))

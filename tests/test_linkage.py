@@ -105,3 +105,11 @@ def test_links_carry_columns_and_are_counted_without_joining_again(spark):
     assert sorted(map(str, links.collect())) == sorted(map(str, linkage.region_links(evidence, messages, regions).join(evidence.select("evidence_id", "kind"), "evidence_id").collect()))
     plan = linkage_queries.evidence_region_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and plan.count("Join Inner") == 4
+
+
+def test_texts_without_an_id_name_their_numbers(spark, tmp_path):
+    """A null id takes no number away; a number that a text has by itself is found (the SQL, which reads no text, knows none)."""
+    spark.createDataFrame([(None, "x"), (1, "see 1000000009"), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7,), (9,), (20,)], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in linkage_queries.known_id_tokens(spark, str(tmp_path)).collect()}
+    assert got == {(None, "1000000007"), (1, "1000000007"), (2, "1000000007"), (1, "1000000020"), (1, "1000000009")}
