@@ -197,8 +197,12 @@ def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", content_id(F.lit("item"), F.col("p_partkey").cast("string"), F.col("p_name")).alias("id"))
 
 
+def _commerce(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return domain.orders(spark, sf_dir), domain.lines(spark, sf_dir), domain.platforms(spark, sf_dir), domain.money_components(spark, sf_dir)
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return graph.commerce_graph(domain.orders(spark, sf_dir), domain.lines(spark, sf_dir), domain.platforms(spark, sf_dir), domain.money_components(spark, sf_dir))
+    return graph.commerce_graph(*_commerce(spark, sf_dir))
 
 
 @query(
@@ -229,7 +233,7 @@ def graph_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("closure_violations", "SELECT 0 AS violations")
 def closure_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.faults(*_graph(spark, sf_dir)).agg(F.count("*").cast("int").alias("violations"))
+    return graph.commerce_faults(*_commerce(spark, sf_dir)).agg(F.count("*").cast("int").alias("violations"))
 
 
 @query(
@@ -239,11 +243,11 @@ def closure_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def closure_faults_of_a_torn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What `faults` finds after some merchants are taken out and some orders are put in twice."""
-    nodes, edges = _graph(spark, sf_dir)
     key = F.substring_index("node_id", ":", -1).cast("bigint")
     gone = (F.col("label") == "Merchant") & (key % 10 == 0)
-    twice = nodes.where((F.col("label") == "Order") & (key % 1000 == 0))
-    return graph.faults(nodes.where(~gone).unionByName(twice), edges).groupBy("fault").agg(F.count("*").alias("n"))
+    twice = (F.col("label") == "Order") & (key % 1000 == 0)
+    torn = lambda nodes: nodes.where(~gone).unionByName(nodes.where(twice))
+    return graph.commerce_faults(*_commerce(spark, sf_dir), torn).groupBy("fault").agg(F.count("*").alias("n"))
 
 
 @query(

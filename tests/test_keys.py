@@ -122,3 +122,38 @@ def test_nodes_are_counted_without_their_properties(spark):
     wanted = evidence_graph.nodes(tables).groupBy("label").agg(F.count("*").alias("n"), F.sum(filled).cast("bigint").alias("filled"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect())) and found.schema.simpleString() == wanted.schema.simpleString()
     assert {r.label for r in found.collect()} == {"EntityMention", "PersonMention", "Platform"} and "map(" not in plan(evidence_graph.node_counts(tables))
+
+
+def commerce(spark, lines, orders):
+    """Tables of a small shop: lines (orderkey, suppkey, line_key), orders, three sellers, and the components of both."""
+    line = frame(spark, lines, "orderkey bigint, suppkey bigint, line_key string").withColumns({"gross": F.lit(Decimal(1)), "discount": F.lit(Decimal(1)), "tax": F.lit(Decimal(1))})
+    order = frame(spark, [(o, f"t{o}", Decimal(1)) for o in orders], "orderkey bigint, occurred_at string, total decimal(18,2)")
+    sellers = frame(spark, [(1, "a", "p"), (2, "b", "p"), (20, "c", "q")], "suppkey bigint, merchant string, platform string")
+    return order, line, sellers, domain._with_totals(domain.line_components(line), order)
+
+
+def test_faults_of_doubtful_orders_are_all_faults(spark):
+    key = F.substring_index("node_id", ":", -1).cast("bigint")
+    torn = lambda nodes: nodes.where(~((F.col("label") == "Merchant") & (key % 10 == 0)) & ~((F.col("label") == "Order") & (key == 9))).unionByName(nodes.where((F.col("label") == "Order") & (key == 3)))
+    sound = [(1, 1, "1|1"), (1, 2, "1|2"), (2, 20, "2|20"), (3, 20, "3|20")]
+    tables = {
+        "sound": (sound, [1, 2, 3, 4]),
+        "repeated line, unknown order and seller": ([*sound, (1, 2, "1|2"), (5, 1, "5|1"), (2, 7, "2|7")], [1, 2, 3, 4, 9]),
+        "repeated order": (sound, [1, 1, 2, 3, 9]),
+        "without order or seller": ([*sound, (None, 1, "1|1"), (2, None, "2|x")], [1, 2, 3, None]),
+        "empty": ([], []),
+    }
+    for name, (lines, orders) in tables.items():
+        shop = commerce(spark, lines, orders)
+        for change in (lambda nodes: nodes, torn):
+            nodes, edges = graph.commerce_graph(*shop)
+            want = sorted(map(str, graph.faults(change(nodes), edges).collect()))
+            assert sorted(map(str, graph.commerce_faults(*shop, change).collect())) == want, name
+            assert bool(want) == (name not in ("sound", "empty") or (name == "sound" and change is torn))
+
+
+def test_sound_orders_move_a_row_for_each_line(spark):
+    order, line, _, _ = commerce(spark, [(1, 1, "1|1"), (1, 2, "1|2"), (2, 1, "2|1"), (2, 1, "2|1")], [1, 2])
+    assert [r.orderkey for r in graph.doubtful_orders(order, line, order).collect()] == [2]
+    assert [r.orderkey for r in graph.doubtful_orders(order, line.dropDuplicates(), order.where("orderkey = 1")).collect()] == [2]
+    assert graph.doubtful_orders(order, line.dropDuplicates(), order).count() == 0
