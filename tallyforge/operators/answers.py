@@ -76,15 +76,19 @@ def component_sums(facts: DataFrame) -> DataFrame:
         once = once.unionByName(again)
     term = F.concat_ws("|", "component_id", "currency", F.col("amount").cast("string"))
     hashed = F.conv(F.substring(F.sha2(term, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    sums = once.groupBy("question_id").agg(
-        F.count("*").alias("n"), F.sum("amount").cast(TOTAL).alias("total"), F.min("currency").alias("currency"), F.max("other").alias("other"),
-        F.max((F.col("amount") != F.col("most")) | (F.col("currency") != F.col("other"))).alias("conflict"), F.sum(hashed).alias("hashes"),
+    # Texts are keys here: as least and greatest values they would have every component sorted by its question.
+    conflict = (F.col("amount") != F.col("most")) | (F.col("currency") != F.col("other"))
+    parts = once.groupBy("question_id", "currency", "other", "component_type", "platform").agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.max(conflict).alias("conflict"), F.sum(hashed).alias("hashes"))
+    sums = parts.groupBy("question_id").agg(
+        F.sum("n").alias("n"), F.sum("total").cast(TOTAL).alias("total"), F.min("currency").alias("currency"), F.max("other").alias("other"),
+        F.max("conflict").alias("conflict"), F.sum("hashes").cast("decimal(38,0)").alias("hashes"),
         F.min("component_type").alias("component_type"), F.min("platform").alias("platform"),
     )
     # One row for each question.
     sums = materialise(sums, "sums")
-    # Only the terms of short sums are gathered: their number is the bound.
-    few = once.join(sums.where(F.col("n") <= WRITTEN_TERMS).select("question_id"), "question_id", "left_semi")
+    # Only the terms of short sums are gathered: their number is the bound. Where there are none, no component is looked at again.
+    short = sums.where(F.col("n") <= WRITTEN_TERMS).select("question_id")
+    few = once.limit(0) if short.isEmpty() else once.join(keys.near(short), "question_id", "left_semi")
     terms = few.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("component_id", _amount(F.col("amount"), F.col("currency")).alias("t")))).alias("terms"))
     both = sums.join(terms, "question_id", "left")
     total = _amount(F.col("total"), F.col("currency"))

@@ -23,8 +23,11 @@ def near(hashes: DataFrame) -> DataFrame:
 
 
 def _dealt(hashes: DataFrame) -> DataFrame:
-    """Hashes dealt by themselves before they are counted: nearly all differ, so that counting them in each task first would fill its memory and save nothing."""
-    return hashes.repartition("_h")
+    """Hashes dealt by themselves before they are counted: nearly all differ, so that counting them in each task first would fill its memory and save nothing.
+
+    They are small and pack well, so parts joined by their size would be too much for a task's memory: their number is given.
+    """
+    return hashes.repartition(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h")
 
 
 def divided(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame | None]:
@@ -89,9 +92,7 @@ def values(rows: DataFrame, group: str, *columns: str) -> DataFrame:
     """
     ends = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).cast("tinyint").alias("end"), F.xxhash64(F.lit(i), c).alias("_h"), F.hash(F.lit(i), c).alias("_g"))) for i, c in enumerate(columns, 1)]
     told = rows.select(group, F.explode(F.filter(F.array(*ends), lambda x: x.isNotNull())).alias("e")).select(group, "e.*")
-    # Hashes are small and pack well, so parts joined by their size would be too much for a task's memory: their number is given.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = told.repartition(parts, "_h").groupBy(group, "end", "_h", "_g").agg(F.count("*").alias("n"))
+    each = _dealt(told).groupBy(group, "end", "_h", "_g").agg(F.count("*").alias("n"))
     return each.select(group, F.element_at(F.array(*map(F.lit, columns)), F.col("end").cast("int")).alias("end"), "n")
 
 

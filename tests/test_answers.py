@@ -136,3 +136,35 @@ def test_merchants_of_one_name_and_lines_without_an_order(spark, tmp_path):
         assert facts.count() == 3 and "hashpartitioning(orderkey" not in answer_queries.merchant_order_facts(spark, str(tmp_path), bound)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_long_sums_are_not_sorted_and_lines_do_not_move(spark, tmp_path):
+    """Components of a large sum are added up by hashing, without a sort; a line without an order is a fact without a source."""
+    rows = [("q", f"c{i:02}", i, "INR" if i else "USD", "tax", "p") for i in range(25)] + [("r", "a", 1, "INR", "tax", "p"), ("r", "b", None, "INR", "tax", "p"), ("s", "a", 1, "", "tax", "p")]
+    schema = "question_id string, component_id string, amount int, currency string, component_type string, platform string"
+    facts = spark.createDataFrame(rows, schema).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    seen = {}
+
+    def kept(frame, label, **more):
+        seen[label] = frame._jdf.queryExecution().executedPlan().toString()
+        return keep(frame, label, **more)
+
+    keep, answers.materialise = answers.materialise, kept
+    try:
+        found = {r.question_id: r for r in answers.component_sums(facts).collect()}
+    finally:
+        answers.materialise = keep
+    assert {k: (r.facts, r.fault) for k, r in found.items()} == {"q": (25, "mixed_currencies"), "r": (1, None)} and found["r"].calculation == "INR 1.00 = INR 1.00"
+    assert seen["sums"].count("HashAggregate") >= 2 and "question_id" in seen["sums"]
+    # Sorted are at most the rows of the second sum, one for each question and currency.
+    assert "Sort" not in seen["sums"][seen["sums"].rindex("hashpartitioning") :]
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linestatus string, l_shipdate string"
+    spark.createDataFrame([(1, 1, 1, 1, 1.0, 2.0, 0.0, 0.0, "O", None), (9, 1, 1, 1, 1.0, 2.0, 0.0, 0.0, "O", None), (None, 1, 1, 1, 1.0, 2.0, 0.0, 0.0, "O", None), (1, 1, 5, 1, 1.0, 2.0, 0.0, 0.0, "O", None)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1, "O", 2.0, None)], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "a", 0)], "s_suppkey bigint, s_name string, s_nationkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "n", 0)], "n_nationkey bigint, n_name string, n_regionkey bigint").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "ASIA")], "r_regionkey bigint, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    bound = spark.createDataFrame([("q", "financial_component_sum", {"component_type": "tax", "platform": "asia", "limit": "50"}, None)], "question_id string, template string, parameters map<string,string>, abstention_reason string")
+    facts = answer_queries.component_sum_facts(spark, str(tmp_path), bound)
+    assert sorted((r.chunk_id.split("|")[0], r.source_id or "") for r in facts.collect()) == [("1", ""), ("1", "order:1"), ("9", "")]
+    assert "hashpartitioning" not in facts._jdf.queryExecution().executedPlan().toString()
