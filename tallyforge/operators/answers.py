@@ -51,10 +51,10 @@ def _counted(n: Column, before: str, one: str, many: str) -> Column:
     return F.when(n > 0, F.concat(F.lit(before), n.cast("string"), F.when(n == 1, f" {one}.").otherwise(f" {many}.")))
 
 
-def _draft(frame: DataFrame, facts: Column, answer: Column, limitation: Column | None = None, calculation: Column | None = None, fault: Column | None = None) -> DataFrame:
+def _draft(frame: DataFrame, facts: Column, answer: Column, limitation: Column | None = None, calculation: Column | None = None, fault: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     none = F.lit(None).cast("string")
     pick = lambda x: none if x is None else x
-    return frame.select("question_id", facts.cast("bigint").alias("facts"), answer.alias("direct_answer"), pick(calculation).alias("calculation"), pick(limitation).alias("limitation"), pick(fault).alias("fault"))
+    return frame.select("question_id", facts.cast("bigint").alias("facts"), answer.alias("direct_answer"), pick(calculation).alias("calculation"), pick(limitation).alias("limitation"), pick(fault).alias("fault"), *more)
 
 
 def component_sums(facts: DataFrame) -> DataFrame:
@@ -145,8 +145,12 @@ def delivery_mentions(facts: DataFrame) -> DataFrame:
 
 def found_facts(facts: DataFrame) -> DataFrame:
     """Drafts for the other templates: how many rows there are."""
-    found = facts.groupBy("question_id").agg(F.count("*").alias("n"))
-    return _draft(found, F.col("n"), F.concat(F.lit("The governed graph query returned "), F.col("n").cast("string"), F.lit(" source-backed facts.")))
+    return _found(facts.groupBy("question_id").agg(F.count("*").alias("rows")))
+
+
+def _found(counted: DataFrame, *more: str) -> DataFrame:
+    n = F.col("rows")
+    return _draft(counted, n, F.concat(F.lit("The governed graph query returned "), n.cast("string"), F.lit(" source-backed facts.")), more=more)
 
 
 DRAFTS = {
@@ -176,7 +180,12 @@ def grounded(bound: DataFrame, facts: DataFrame, template: str, budget: bool = F
         full = full & (F.coalesce(name, F.lit("")) != "")
     flagged = F.array_contains("quality_flags", "conflicting") if "quality_flags" in facts.columns else F.lit(False)
     cited = facts.groupBy("question_id").agg(F.count_if(full).alias("citations"), F.count_if(full & flagged).alias("flagged"), F.count("*").alias("rows"))
-    rows = bound.where(F.col("template") == template).join(cited, "question_id", "left").join(DRAFTS[template](facts), "question_id", "left")
+    rows = bound.where(F.col("template") == template)
+    if DRAFTS[template] is found_facts:
+        # The draft counts the rows that are counted here, so facts are made once.
+        rows = rows.join(_found(cited, "citations", "flagged", "rows"), "question_id", "left")
+    else:
+        rows = rows.join(cited, "question_id", "left").join(DRAFTS[template](facts), "question_id", "left")
     limit = F.element_at("parameters", "limit").cast("bigint")
     over = F.lit(budget and template == "financial_component_sum") & (F.col("rows") >= MOST_PAGES * limit)
     reason = (

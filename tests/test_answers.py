@@ -168,3 +168,31 @@ def test_long_sums_are_not_sorted_and_lines_do_not_move(spark, tmp_path):
     facts = answer_queries.component_sum_facts(spark, str(tmp_path), bound)
     assert sorted((r.chunk_id.split("|")[0], r.source_id or "") for r in facts.collect()) == [("1", ""), ("1", "order:1"), ("9", "")]
     assert "hashpartitioning" not in facts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_odd_orders(spark, tmp_path):
+    """Pages hold the first rows of all pairs, also where lines or orders repeat or are more than a page may hold; they are made without sorting the pairs."""
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linestatus string, l_shipdate string"
+    parts = {1: [2, 20, 3], 2: [2, 2, 2, 20], 3: list(range(205)), 4: [n % 120 for n in range(210)], 8: [1]}
+    spark.createDataFrame([(o, p, 1, 1, 1.0, 2.0, 0.0, 0.0, "O", "1996-01-01") for o, ps in parts.items() for p in ps], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    customers = {1: [None], 2: [2], 3: [3], 4: [4], 6: [6, 6]}
+    spark.createDataFrame([(o, c, "O", 2.0, None) for o, cs in customers.items() for c in cs], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    want = []
+    for o, cs in customers.items():
+        lines = [f"{o}|{p}|1|1|1.00|2.00|0.0000|0.0000|1996-01-01" for p in parts.get(o, [])]
+        near = [("HAS_COMPONENT", f"{k}:{t}") for k in lines for t in ("item_gross", "coupon_discount", "tax")] + [("HAS_ITEM_OBSERVATION", f"observation:{k}") for k in lines]
+        for c in cs:
+            near += [("HAS_COMPONENT", f"{o}:customer_total"), ("DOCUMENTED_BY", f"order:{o}")] + ([("HAS_DELIVERY_MENTION", f"mention/{c}/{o}")] if c else [])
+        pairs = sorted((*n, c) for n in near for c in lines + [str(o)] * len(cs))
+        want += [(f"{o}/{limit}", *p) for limit in (1, 7, 50, 200) for p in pairs[:limit]]
+    asked = spark.createDataFrame([(f"{o}/{limit}", ["order_reconstruction"], {"order_id": str(o), "limit": str(limit)}) for o in (*customers, 8, 9) for limit in (1, 7, 50, 200)], "question_id string, templates array<string>, slots map<string,string>")
+    facts = answer_queries.reconstruction_facts(spark, str(tmp_path), traversal.bind_slots(asked))
+    answered = answers.grounded(traversal.bind_slots(asked), facts, "order_reconstruction")
+    for found in (facts, answered):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [") == 1 and "neighbour_id" not in plan.split("Window [")[1]
+    assert sorted((r.question_id, r.relationship_type, r.neighbour_id, r.chunk_id) for r in facts.collect()) == sorted(want)
+    counted = {}
+    for question, *_ in want:
+        counted[question] = counted.get(question, 0) + 1
+    assert {r.question_id: r.facts for r in answered.collect() if r.facts} == counted
