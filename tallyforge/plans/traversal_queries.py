@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import events as ev
-from tallyforge.operators import graph, traversal
+from tallyforge.operators import traversal
 from tallyforge.plans.catalog import query
 from tallyforge.plans.economics_queries import COMPONENTS
 from tallyforge.plans.templates import plan_questions
@@ -112,18 +111,14 @@ def top_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extended_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that events add to the graph; a customer's orders' totals supersede each other."""
     components, orders = domain.money_components(spark, sf_dir), domain.orders(spark, sf_dir)
-    nodes, edges = graph.commerce_graph(orders, domain.lines(spark, sf_dir), domain.platforms(spark, sf_dir), components)
-    totals = ev.financial_events(components.where("component_type = 'customer_total'"), orders).join(orders.select("orderkey", "custkey"), "orderkey")
     from pyspark.sql import Window
 
-    before = F.lag("event_id").over(Window.partitionBy("custkey").orderBy("occurred_at", "orderkey"))
-    links = totals.select(F.col("event_id").alias("new_id"), before.alias("old_id")).where("old_id is not null")
-    _, all_edges, missing = traversal.extend_with_events(nodes, edges, ev.events_of(components), links)
-    of_events = all_edges.where("source_node_id like 'financial_event:%' or target_node_id like 'financial_event:%'")
-    kind = F.when(F.col("relationship_type") == "EVIDENCED_BY", "EVENT_EVIDENCE").otherwise(F.col("relationship_type"))
-    lost = missing.groupBy().agg(F.count("*").alias("missing"))
-    # One row of faults beside four of counts.
-    return of_events.groupBy(kind.alias("kind")).agg(F.count("*").alias("edges")).crossJoin(lost)
+    # Totals are put in order by numbers; their keys, which are long, are made after.
+    before = F.lag("orderkey").over(Window.partitionBy("custkey").orderBy("occurred_at", "orderkey"))
+    totals = orders.where("orderkey is not null").select("orderkey", before.alias("old"))
+    total = lambda key: F.concat_ws(":", F.col(key).cast("string"), F.lit("customer_total"))
+    superseded = totals.where("old is not null").select(total("orderkey").alias("new_key"), total("old").alias("old_key"))
+    return traversal.event_edge_counts(orders, domain.lines(spark, sf_dir), domain.platforms(spark, sf_dir), components, superseded)
 
 
 @query(

@@ -157,3 +157,18 @@ def test_sound_orders_move_a_row_for_each_line(spark):
     assert [r.orderkey for r in graph.doubtful_orders(order, line, order).collect()] == [2]
     assert [r.orderkey for r in graph.doubtful_orders(order, line.dropDuplicates(), order.where("orderkey = 1")).collect()] == [2]
     assert graph.doubtful_orders(order, line.dropDuplicates(), order).count() == 0
+
+
+def test_edges_that_events_add_are_counted_as_extended(spark):
+    """Counts by sound and doubtful orders are those of the whole extended graph."""
+    sound = [(1, 1, "1|1"), (1, 2, "1|2"), (2, 20, "2|20"), (3, 20, "3|20")]
+    total = lambda *pairs: frame(spark, [(f"{a}:customer_total", f"{b}:customer_total") for a, b in pairs], "new_key string, old_key string")
+    for lines, orders, pairs in ((sound, [1, 2, 3], [(2, 1), (3, 2), (3, 2)]), ([*sound, (1, 2, "1|2"), (5, 1, "5|1")], [1, 2, 2, 3, 4], [(2, 1), (4, 8)]), ([*sound, (None, 1, "1|1")], [1, 2, 3, None], [(2, 1)]), ([], [], [])):
+        shop, superseded = commerce(spark, lines, orders), total(*pairs)
+        found = {r.kind: (r.edges, r.missing) for r in traversal.event_edge_counts(*shop, superseded).collect()}
+        event = lambda key: events.content_id(F.lit("financial-event-v1"), F.col(key))
+        _, linked, missing = traversal.extend_with_events(*graph.commerce_graph(*shop), events.events_of(shop[3]), superseded.select(event("new_key").alias("new_id"), event("old_key").alias("old_id")))
+        want = {"HAS_FINANCIAL_EVENT": 0, "EVENT_FOR_COMPONENT": 0, "EVENT_EVIDENCE": 0, "SUPERSEDES": 0}
+        for r in linked.where("source_node_id like 'financial_event:%' or target_node_id like 'financial_event:%'").collect():
+            want["EVENT_EVIDENCE" if r.relationship_type == "EVIDENCED_BY" else r.relationship_type] += 1
+        assert found == {kind: (n, missing.count()) for kind, n in want.items()}
