@@ -161,53 +161,67 @@ class Bitmaps:
         return node[who], self.item[entry], block[who], both[hit]
 
 
-def mine(shard: Shard, size: int, gates: list[np.ndarray], sums_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """(items of phrases, counts, checksums) of the shard's phrases of 2 to `size` words that the gates let through.
+class Mining:
+    """A shard's bitmaps on their way through phrases; methods and no nested functions, which would name each other and so keep every shard until a collection of garbage."""
+
+    def __init__(self, shard: Shard, size: int, gates: list[np.ndarray], sums_only: bool):
+        self.size, self.gates, self.sums_only = size, gates, sums_only
+        self.crc, self.spaced = shard.crcs()
+        held = self.opens(0, self.crc)[shard.item]
+        self.maps = Bitmaps.of(shard.position[held], shard.item[held])
+        self.n_items = len(shard.count)
+
+    def opens(self, k: int, sums: list[int]) -> np.ndarray:
+        """Which checksums the gate of phrases of k + 1 words lets through."""
+        at = np.array(sums, dtype=np.int64) % GATE_BITS
+        return (self.gates[k][at >> 3] >> (at & 7)) & 1 > 0
+
+    def phrases(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+        maps, order = self.maps, np.argsort(self.maps.item, kind="stable")
+        yield from self.ranges(np.arange(self.n_items)[:, None], self.crc, maps.item[order], maps.block[order], maps.mask[order])
+
+    def ranges(self, members: np.ndarray, sums: list[int], node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+        for begin in range(0, len(node), CHUNK):
+            part = slice(begin, begin + CHUNK)
+            low, high = int(node[part][0]), int(node[part][-1]) + 1
+            yield from self.extend(members[low:high], sums[low:high], node[part] - low, block[part], mask[part])
 
-    gates[k] is for phrases of k + 1 words; of the longest phrases, which have no gate, all parts are let through. `sums_only`:
-    just the longest ones; else their checksums are left out. A phrase may come in several parts, whose counts add up.
-    """
-    crc, spaced = shard.crcs()
-    opens = lambda k, sums: (gates[k][(at := np.array(sums, dtype=np.int64) % GATE_BITS) >> 3] >> (at & 7)) & 1 > 0
-    held = opens(0, crc)[shard.item]
-    maps = Bitmaps.of(shard.position[held], shard.item[held])
-    order = np.argsort(maps.item, kind="stable")
-    n_items = len(shard.count)
-
-    def extend(members: np.ndarray, sums: list[int], node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    def extend(self, members: np.ndarray, sums: list[int], node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
         """Phrases that begin with those of `members`; entries (node, block, mask) are the bitmaps."""
-        parent, item, block, mask = maps.follow(node, block, mask)
-        codes, node = np.unique(parent * n_items + item, return_inverse=True)
-        parent, item = codes // n_items, codes % n_items
+        crc, spaced = self.crc, self.spaced
+        parent, item, block, mask = self.maps.follow(node, block, mask)
+        codes, node = np.unique(parent * self.n_items + item, return_inverse=True)
+        parent, item = codes // self.n_items, codes % self.n_items
         members = np.hstack([members[parent], item[:, None]])
         length = members.shape[1]
         counts = np.bincount(node, weights=np.bitwise_count(mask), minlength=len(codes))
-        if length == size:
-            if size > 2:
+        if length == self.size:
+            if self.size > 2:
                 # The first words have been let through on the way; now all but the first.
                 tails = [crc[x] for x in members[:, 1].tolist()]
                 for column in members[:, 2:].T:
                     tails = [zlib.crc32(spaced[x], s) for x, s in zip(column.tolist(), tails, strict=True)]
-                good = opens(size - 2, tails)
+                good = self.opens(self.size - 2, tails)
                 members, counts, item, parent = members[good], counts[good], item[good], parent[good]
-            yield members, counts, [zlib.crc32(spaced[x], sums[p]) for x, p in zip(item.tolist(), parent.tolist(), strict=True)] if sums_only else []
+            yield members, counts, [zlib.crc32(spaced[x], sums[p]) for x, p in zip(item.tolist(), parent.tolist(), strict=True)] if self.sums_only else []
             return
         sums = [zlib.crc32(spaced[x], sums[p]) for x, p in zip(item.tolist(), parent.tolist(), strict=True)]
-        good = opens(length - 1, sums)
-        if not sums_only:
+        good = self.opens(length - 1, sums)
+        if not self.sums_only:
             yield members[good], counts[good], []
         rest = np.flatnonzero(good[node])
         # Entries by node again, so that a range of them is a range of phrases.
         rest = rest[np.argsort(node[rest], kind="stable")]
-        yield from ranges(members, sums, node[rest], block[rest], mask[rest])
+        yield from self.ranges(members, sums, node[rest], block[rest], mask[rest])
 
-    def ranges(members: np.ndarray, sums: list[int], node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-        for begin in range(0, len(node), CHUNK):
-            part = slice(begin, begin + CHUNK)
-            low, high = int(node[part][0]), int(node[part][-1]) + 1
-            yield from extend(members[low:high], sums[low:high], node[part] - low, block[part], mask[part])
 
-    yield from ranges(np.arange(n_items)[:, None], crc, maps.item[order], maps.block[order], maps.mask[order])
+def mine(shard: Shard, size: int, gates: list[np.ndarray], sums_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """(items of phrases, counts, checksums) of the shard's phrases of 2 to `size` words that the gates let through.
+
+    gates[k] is for phrases of k + 1 words; of the longest phrases, which have no gate, all parts are let through. `sums_only`:
+    just the longest ones; else their checksums are left out. A phrase may come in several parts, whose counts add up.
+    """
+    yield from Mining(shard, size, gates, sums_only).phrases()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
+import gc
 import random
 import re
+import weakref
 from collections import Counter
 
 import duckdb
@@ -131,3 +133,17 @@ def test_query_against_its_sql(spark):
     rows = spark.read.parquet(f"{path}/documents.parquet").select("lang", "text").collect()
     want = brute([(r.lang, r.text) for r in rows])
     assert want and result(got) == want == sorted(db.execute(ORACLE_SQL).fetchall())
+
+
+def test_a_mined_shard_is_freed_at_once(monkeypatch):
+    """No shard's bitmaps wait for a collection of garbage; a task that works on many would hold them all."""
+    alive, make = [], Bitmaps.of.__func__
+    monkeypatch.setattr(Bitmaps, "of", classmethod(lambda cls, *x: (maps := make(cls, *x), alive.append(weakref.ref(maps)))[0]))
+    full = [np.full(module.GATE_BITS // 8, 255, dtype=np.uint8)] * 2
+    gc.disable()
+    try:
+        for sums_only in (False, True):
+            assert sum(len(counts) for _, counts, _ in mine(Shard([b"one two three four"], ["en"]), 3, full, sums_only))
+        assert len(alive) == 2 and not any(x() for x in alive)
+    finally:
+        gc.enable()
