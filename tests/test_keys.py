@@ -172,3 +172,18 @@ def test_edges_that_events_add_are_counted_as_extended(spark):
         for r in linked.where("source_node_id like 'financial_event:%' or target_node_id like 'financial_event:%'").collect():
             want["EVENT_EVIDENCE" if r.relationship_type == "EVIDENCED_BY" else r.relationship_type] += 1
         assert found == {kind: (n, missing.count()) for kind, n in want.items()}
+
+
+def test_rows_among_many_hashes_are_foretold_before_they_move(spark, monkeypatch):
+    monkeypatch.setattr(keys, "MOST_HASHES", 2)
+    rows = frame(spark, [(f"k{i % 50}", i) for i in range(200)] + [(None, 1)], "k string, v int")
+    hashes = frame(spark, [(f"k{i}",) for i in (3, 7, 7, 11, 99)], "k string").select(F.xxhash64("k").alias("_h"))
+    found = keys.among(rows, "k", hashes)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shape = plan(keys.among(rows, "k", hashes))
+        # The bits are met below the exchange of the rows.
+        assert shape.index("SortMergeJoin") < shape.index("hashpartitioning(_h") < shape.index("BroadcastHashJoin")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, found.collect())) == sorted((f"k{i % 50}", i) for i in range(200) if i % 50 in (3, 7, 11)) and found.columns == ["k", "v"]
